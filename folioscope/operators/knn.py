@@ -45,7 +45,7 @@ def _pair_distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return total
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def squared_l2(a: pa.Array, b: pa.Array) -> pa.Array:
     """Squared L2 distance of two vector columns."""
     return pa.array(_pair_distances(_matrix(a).T, _matrix(b).T))

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folioscope.functions.text import two_decimals
+
 
 def reciprocal_rank(rank: Column) -> Column:
     """``1 / rank`` with ranks from 1 and no smoothing constant."""
@@ -47,7 +49,7 @@ def shortlist(fused: DataFrame, t: float = 0.8, qid: str = "qid") -> DataFrame:
 
 def shortlist_report(kept: DataFrame, qid: str = "qid") -> DataFrame:
     """One text per question: how many documents are considered, then a line ``score, title`` for each."""
-    line = F.format_string("%.2f \t %s\n", "score", "title")
+    line = F.concat(two_decimals(F.col("score")), F.lit(" \t "), F.coalesce("title", F.lit("None")), F.lit("\n"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda r: r["line"]), "")
     head = F.format_string("Considering the following %d relevant documents.\n", F.count(F.lit(1)))
     return kept.groupBy(qid).agg(F.concat(head, lines).alias("report"))

@@ -16,7 +16,7 @@ from folioscope.operators.summary import base_metadata, summarize
 from folioscope.schema import CHUNK_INDEX, MARKS, SUMMARY_INDEX
 from folioscope.session import cut_lineage
 from folioscope.sources.pages import changed_pages, fetch_pages, page_blocks, project_metadata
-from folioscope.sources.tables import open_index, read_mark, write_batch, write_mark
+from folioscope.sources.tables import open_index, read_mark, stamp, stamp_text, write_batch, write_mark
 
 
 @dataclass
@@ -110,16 +110,16 @@ def run_ingest(spark: SparkSession, sources: Sequence[Source], root: str, index:
     for source in sources:
         state = open_index(spark, f"{root}/marks", MARKS, "loader")
         name = spark.range(1).select(F.lit(source.name).alias("loader"))
-        mark = read_mark(state, name).first()["ts"]
-        ids = cut_lineage(source.pages.filter(F.col("last_edited") > F.lit(mark)).select("page_id", "last_edited"))
-        newest = ids.agg(F.max("last_edited").alias("ts")).first()["ts"]
+        mark = read_mark(state, name).select(stamp_text(F.col("ts"))).first()[0]
+        ids = cut_lineage(changed_pages(source.pages, stamp(F.lit(mark)), keep=["last_edited"]))
+        newest = ids.select(stamp_text(F.max("last_edited"))).first()[0]
         fed[source.name] = newest is not None
         if newest is None:
             continue
         pages = fetch_pages(source.pages, ids)
         for kind in source.indexes:
             write_batch(index_rows(kind, pages, source.blocks, source.config, index, source.pages), f"{root}/{kind}")
-        write_mark(name.withColumn("ts", F.lit(newest).cast("timestamp")), f"{root}/marks")
+        write_mark(name.withColumn("ts", stamp(F.lit(newest))), f"{root}/marks")
     return fed
 
 

@@ -14,15 +14,16 @@ SALTS = 64
 
 
 def join_chosen(large: DataFrame, chosen: DataFrame, on: str | Sequence[str], how: str = "inner",
-                salt_by: Sequence[str] = (), max_rows: int = MAX_BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+                salt_by: Sequence[str] = (), counted: DataFrame | None = None, max_rows: int = MAX_BROADCAST_ROWS,
+                hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join ``large`` with ``chosen`` on ``on``.
 
-    ``chosen`` is counted first. Within ``max_rows`` it is broadcast and ``large`` is read in place. Beyond that both
+    ``chosen`` (or ``counted``, if that has as many rows and is cheaper to read) is counted first. Within ``max_rows`` it is broadcast and ``large`` is read in place. Beyond that both
     are shuffled; keys with more than ``hot_rows`` rows in ``large`` are then spread over ``SALTS`` tasks by the
     columns ``salt_by``, with a copy of their ``chosen`` rows in each.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if fits_rows(chosen, max_rows):
+    if fits_rows(chosen if counted is None else counted, max_rows):
         return large.join(F.broadcast(chosen), on, how)
     if not salt_by:
         return large.join(chosen, on, how)

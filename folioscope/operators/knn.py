@@ -2,7 +2,7 @@
 
 Two physical forms give the same rows:
 
-* ``scan``: the questions fit a checked bound, so their vectors go to every task once and the index is read in place.
+* ``scan``: the questions fit a checked bound of rows and values, so their vectors go to every task once and the index is read in place.
   A task keeps only its own k best rows per question; what is shuffled is at most k rows per question and task.
 * ``cells``: beyond the bound both sides are shuffled. Rows go to the cell of their nearest pivot; the triangle
   inequality bounds the k-th distance of a question, and the question visits only cells that can hold a row inside
@@ -22,11 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from folioscope.session import cut_lineage
+
 MAX_SCAN_QUERIES = 32_768
+MAX_SCAN_VALUES = 16_000_000
 PAIR_TILE = 4_000_000
 PIVOTS = 256
 SLAB_ROWS = 100_000
 EPS = float(np.finfo(np.float64).eps)
+PLACE = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())])
 
 
 def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -150,7 +154,8 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 20, keys: Sequence[str] =
     index = index.select(id_col, vec_col, *carry).filter(F.col(vec_col).isNotNull())
     queries = queries.select(*keys, query_col).filter(F.col(query_col).isNotNull())
     asked = queries.limit(max_scan_queries + 1).toArrow()
-    if asked.num_rows <= max_scan_queries:
+    dim = len(asked[query_col][0]) if asked.num_rows else 0
+    if asked.num_rows <= max_scan_queries and asked.num_rows * dim <= MAX_SCAN_VALUES:
         rows = _scan(index, queries, asked, k, keys, id_col, vec_col, query_col, carry)
     else:
         rows = _cells(index, queries, k, keys, id_col, vec_col, query_col, carry, **cells)
@@ -172,19 +177,12 @@ def _scan(index, queries, asked: pa.Table, k, keys, id_col, vec_col, query_col,
     return index.mapInArrow(search, schema)
 
 
-def _pivot_distances(vectors: Column, pivots: np.ndarray) -> Column:
-    """Plain L2 distance of a vector to every pivot."""
-
-    @F.arrow_udf("array<double>")
-    def measure(rows: pa.Array) -> pa.Array:
-        x = _matrix(rows)
-        out = np.empty((len(x), len(pivots)))
-        step = max(1, PAIR_TILE // (len(pivots) * max(1, pivots.shape[1])))
-        for lo in range(0, len(x), step):
-            out[lo:lo + step] = np.sqrt(((x[lo:lo + step, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(pivots), pa.int32()), pa.array(out.reshape(-1)))
-
-    return measure(vectors)
+def _pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Plain L2 distance of every vector to every pivot, and a bound on the rounding of each vector's row."""
+    norms, sizes = (vectors**2).sum(axis=1), (pivots**2).sum(axis=1)
+    squares = norms[:, None] + sizes[None, :] - 2.0 * (vectors @ pivots.T)
+    slack = np.sqrt(8 * (pivots.shape[1] + 8) * EPS * (norms + sizes.max()))
+    return np.sqrt(np.maximum(squares, 0.0)), slack
 
 
 def _cells(index, queries, k, keys, id_col, vec_col, query_col, carry, pivots: int = PIVOTS,
@@ -199,11 +197,19 @@ def _cells(index, queries, k, keys, id_col, vec_col, query_col, carry, pivots: i
     if len(centres) == 0:
         return spark.createDataFrame([], schema)
 
-    measured = index.withColumn("_to", _pivot_distances(F.col(vec_col), centres))
-    placed = measured.withColumn("_r", F.array_min("_to")).withColumn("cell", (F.array_position("_to", F.col("_r")) - 1).cast("int")).drop("_to")
-    near = placed.select("cell", "_r").withColumn("_n", F.row_number().over(Window.partitionBy("cell").orderBy("_r"))).filter(F.col("_n") <= k)
-    radii = near.groupBy("cell").agg(F.array_sort(F.collect_list("_r")).alias("inner"))
-    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("_r").alias("outer"))
+    @F.arrow_udf(PLACE)
+    def nearest(rows: pa.Array) -> pa.Array:
+        to, slack = _pivot_distances(_matrix(rows), centres)
+        cell = to.argmin(axis=1)
+        reach = to[np.arange(len(to)), cell] + slack
+        return pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array(reach)], names=["cell", "reach"])
+
+    placed = index.withColumn("_place", nearest(F.col(vec_col)))
+    # Two numbers per row, written once: how far each cell reaches, and its k innermost rows.
+    places = cut_lineage(placed.select("_place.*"))
+    near = places.withColumn("_n", F.row_number().over(Window.partitionBy("cell").orderBy("reach"))).filter(F.col("_n") <= k)
+    radii = near.groupBy("cell").agg(F.array_sort(F.collect_list("reach")).alias("inner"))
+    sizes = places.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("outer"))
     # At most one row per pivot, each with at most k radii.
     stats = sizes.join(radii, "cell").collect()
     outer = np.full(len(centres), -np.inf)
@@ -215,16 +221,16 @@ def _cells(index, queries, k, keys, id_col, vec_col, query_col, carry, pivots: i
     owner = np.repeat(np.arange(len(centres)), [len(r) for r in inner])
     reach = np.concatenate(inner)
 
-    @F.arrow_udf("array<int>")
-    def visits(distances: pa.Array) -> pa.Array:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def visits(vectors: pa.Array) -> pa.Array:
         out = []
-        for to in _matrix(distances):
+        for to, slack in zip(*_pivot_distances(_matrix(vectors), centres)):
             upper = np.sort(to[owner] + reach)
-            limit = upper[k - 1] if len(upper) >= k else np.inf
-            out.append(np.flatnonzero(to - outer <= limit * (1 + 1e-9) + 1e-9).astype(np.int32))
+            limit = upper[k - 1] + slack if len(upper) >= k else np.inf
+            out.append(np.flatnonzero(to - slack - outer <= limit * (1 + 1e-9)).astype(np.int32))
         return pa.array(out, pa.list_(pa.int32()))
 
-    asked = queries.withColumn("_cells", visits(_pivot_distances(F.col(query_col), centres)))
+    asked = queries.withColumn("_cells", visits(F.col(query_col)))
     asked = asked.withColumn("cell", F.explode("_cells")).drop("_cells")
     visitors = np.zeros(len(centres), np.int64)
     for row in asked.groupBy("cell").count().collect():  # at most one row per pivot
@@ -238,7 +244,7 @@ def _cells(index, queries, k, keys, id_col, vec_col, query_col, carry, pivots: i
     def every(counts: Column) -> Column:
         return F.explode(F.sequence(F.lit(0), (counts[F.col("cell")] - 1).cast("int")))
 
-    left = placed.drop("_r").withColumn("slab", spread_by([F.col(id_col)], slab_of)).withColumn("grp", every(group_of))
+    left = placed.withColumn("cell", F.col("_place.cell")).drop("_place").withColumn("slab", spread_by([F.col(id_col)], slab_of)).withColumn("grp", every(group_of))
     right = asked.withColumn("grp", spread_by([F.col(c) for c in keys], group_of)).withColumn("slab", every(slab_of))
 
     def search(rows: pa.Table, questions: pa.Table) -> pa.Table:

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from folioscope.operators.joins import join_chosen
 from folioscope.operators.knn import squared_l2
 
+# Each broadcast row carries a question vector.
+MAX_VECTOR_ROWS = 20_000
+
 
 def chunks_of(shortlist: DataFrame, chunk_index: DataFrame, on: str = "doc_id", **bounds) -> DataFrame:
     """All chunks of every shortlisted document."""
@@ -16,10 +19,10 @@ def chunks_of(shortlist: DataFrame, chunk_index: DataFrame, on: str = "doc_id",
 
 
 def knn_within(chunk_index: DataFrame, questions: DataFrame, shortlist: DataFrame, k: int = 50, qid: str = "qid",
-               vec_col: str = "embedding", query_col: str = "qvec", **bounds) -> DataFrame:
+               vec_col: str = "embedding", query_col: str = "qvec", max_rows: int = MAX_VECTOR_ROWS, **bounds) -> DataFrame:
     """The ``k`` nearest chunks of each shortlisted document: the shortlist row, then ``rank``, the chunk, ``distance``."""
     wanted = shortlist.join(questions.select(qid, query_col), qid)
-    pairs = chunks_of(wanted, chunk_index, **bounds)
+    pairs = chunks_of(wanted, chunk_index, counted=shortlist, max_rows=max_rows, **bounds)
     # Distances are computed where the chunk is read; the vectors are dropped before anything is shuffled.
     near = pairs.withColumn("distance", squared_l2(F.col(vec_col), F.col(query_col))).drop(vec_col, query_col)
     order = Window.partitionBy(qid, "doc_id").orderBy("distance", "id")

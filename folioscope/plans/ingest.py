@@ -11,7 +11,7 @@ from folioscope.functions.hooks import Completion
 from folioscope.functions.properties import merge_metadata
 from folioscope.operators.blocks import read_blocks
 from folioscope.operators.embedding import embed
-from folioscope.operators.packing import chunk_arrays, explode_chunks, pack_chunks
+from folioscope.operators.packing import pack_chunks
 from folioscope.operators.summary import base_metadata, summarize
 from folioscope.schema import CHUNK_INDEX, MARKS, SUMMARY_INDEX
 from folioscope.session import cut_lineage
@@ -46,11 +46,16 @@ def described_pages(pages: DataFrame, cfg: LoaderConfig, lookup: DataFrame | Non
     return project_metadata(pages, cfg.metadata, cfg.title, cfg.edited, lookup).withColumnRenamed("page_id", "id")
 
 
-def chunked_docs(pages: DataFrame, blocks: DataFrame, cfg: LoaderConfig, lookup: DataFrame | None = None) -> DataFrame:
-    """Documents with their chunks as an array; a page without blocks has none."""
-    packed = chunk_arrays(read_blocks(page_blocks(blocks, pages, cfg.max_blocks), cfg.encode), cfg.max_tokens)
-    return described_pages(pages, cfg, lookup).join(packed.withColumnRenamed("page_id", "id"), "id", "left").withColumn(
-        "chunks", F.coalesce("chunks", F.expr("cast(array() as array<string>)")))
+def packed_chunks(blocks: DataFrame, cfg: LoaderConfig) -> DataFrame:
+    """``page_id, chunk_id, text`` of blocks."""
+    return pack_chunks(read_blocks(blocks, cfg.encode), cfg.max_tokens)
+
+
+def chunked_docs(described: DataFrame, packed: DataFrame) -> DataFrame:
+    """Described pages with their chunks as an array; a page without blocks has none."""
+    parts = F.array_sort(F.collect_list(F.struct("chunk_id", "text")))
+    arrays = packed.groupBy(F.col("page_id").alias("id")).agg(F.transform(parts, lambda p: p["text"]).alias("chunks"))
+    return described.join(arrays, "id", "left").withColumn("chunks", F.coalesce("chunks", F.expr("cast(array() as array<string>)")))
 
 
 def chunk_rows(chunks: DataFrame) -> DataFrame:
@@ -63,26 +68,24 @@ def chunk_rows(chunks: DataFrame) -> DataFrame:
         "id", F.col("metadata")["doc_id"].alias("doc_id"), F.col("chunk_id").cast("int").alias("chunk_id"), "metadata", "document")
 
 
-def build_chunk_index(pages: DataFrame, blocks: DataFrame, cfg: LoaderConfig = LoaderConfig(), index: IndexConfig = IndexConfig(),
-                      lookup: DataFrame | None = None) -> DataFrame:
-    """Chunk index rows of ``pages``. Chunks stay rows throughout, so a page may have any number of them."""
-    packed = pack_chunks(read_blocks(page_blocks(blocks, pages, cfg.max_blocks), cfg.encode), cfg.max_tokens)
+def build_chunk_index(described: DataFrame, packed: DataFrame, index: IndexConfig = IndexConfig()) -> DataFrame:
+    """Chunk index rows. Chunks stay rows throughout, so a page may have any number of them."""
     named = packed.select(F.concat_ws("_", "page_id", "chunk_id").alias("id"), F.col("page_id").alias("doc_id"), "chunk_id",
                           F.col("text").alias("document"))
-    described = described_pages(pages, cfg, lookup).withColumnRenamed("id", "doc_id")
-    return embed(chunk_rows(named.join(described, "doc_id")), "document", index.dim, fn=index.vectors)
+    rows = chunk_rows(named.join(described.withColumnRenamed("id", "doc_id"), "doc_id"))
+    return embed(rows, "document", index.dim, fn=index.vectors)
 
 
 def build_summary_index(docs: DataFrame, index: IndexConfig = IndexConfig()) -> DataFrame:
-    """Summary index rows of ``docs``."""
+    """Summary index rows of ``docs`` (see ``chunked_docs``)."""
     return embed(summarize(docs, index.summary, index.parallelism), "document", index.dim, fn=index.vectors)
 
 
-def index_rows(kind: str, pages: DataFrame, blocks: DataFrame, cfg: LoaderConfig, index: IndexConfig, lookup: DataFrame) -> DataFrame:
+def index_rows(kind: str, described: DataFrame, packed: DataFrame, index: IndexConfig) -> DataFrame:
     if kind == "chunk":
-        return build_chunk_index(pages, blocks, cfg, index, lookup)
+        return build_chunk_index(described, packed, index)
     if kind == "summary":
-        return build_summary_index(chunked_docs(pages, blocks, cfg, lookup), index)
+        return build_summary_index(chunked_docs(described, packed), index)
     raise ValueError(f"unknown index kind: {kind}")
 
 
@@ -116,9 +119,10 @@ def run_ingest(spark: SparkSession, sources: Sequence[Source], root: str, index:
         fed[source.name] = newest is not None
         if newest is None:
             continue
-        pages = fetch_pages(source.pages, ids)
+        described = cut_lineage(described_pages(fetch_pages(source.pages, ids), source.config, source.pages))
+        packed = cut_lineage(packed_chunks(page_blocks(source.blocks, ids, source.config.max_blocks), source.config))
         for kind in source.indexes:
-            write_batch(index_rows(kind, pages, source.blocks, source.config, index, source.pages), f"{root}/{kind}")
+            write_batch(index_rows(kind, described, packed, index), f"{root}/{kind}")
         write_mark(name.withColumn("ts", stamp(F.lit(newest))), f"{root}/marks")
     return fed
 

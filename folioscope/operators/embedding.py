@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from folioscope.functions.rows import unnest
+
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -57,5 +59,5 @@ def embed(df: DataFrame, text_col: str, dim: int = 256, out: str = "embedding",
 
 def term_counts(df: DataFrame, id_col: str, vec_col: str = "embedding") -> DataFrame:
     """Non-zero cells of integer vectors as rows ``(id, bucket, tf)``."""
-    cells = df.select(id_col, F.posexplode(vec_col).alias("bucket", "tf")).filter("tf > 0")
+    cells = unnest(df, [id_col], vec_col, "bucket", "tf").filter("tf > 0")
     return cells.select(id_col, "bucket", F.col("tf").cast("bigint").alias("tf"))

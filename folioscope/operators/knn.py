@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from folioscope.functions.rows import unnest
 from folioscope.session import cut_lineage
 
 MAX_SCAN_QUERIES = 32_768
 MAX_SCAN_VALUES = 16_000_000
 PAIR_TILE = 4_000_000
+MIN_SCAN_TASKS = 4_096
 PIVOTS = 256
 SLAB_ROWS = 100_000
 EPS = float(np.finfo(np.float64).eps)
@@ -40,6 +42,11 @@ def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0)
 
 
+def _with_vectors(rows, vec_col: str):
+    """Rows of an Arrow batch or table that have a vector."""
+    return rows.filter(rows.column(vec_col).is_valid()) if rows.column(vec_col).null_count else rows
+
+
 def _pair_distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Squared L2 between equally long lists of vectors given column-major, summed in dimension order."""
     total = np.zeros(x.shape[1])
@@ -106,6 +113,7 @@ def _local_best(batches, questions: _Questions, k: int, vec_col: str, id_col: st
     """Fold Arrow batches of index rows into the k best rows per question."""
     best, bound = None, np.full(len(questions.vectors), np.inf)
     for batch in batches:
+        batch = _with_vectors(batch, vec_col)
         if batch.num_rows == 0:
             continue
         x = _matrix(batch.column(vec_col))
@@ -151,10 +159,10 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 20, keys: Sequence[str] =
         vec_col: str = "embedding", query_col: str = "qvec", carry: Sequence[str] = (),
         max_scan_queries: int = MAX_SCAN_QUERIES, **cells) -> DataFrame:
     """The ``k`` nearest index rows of every query: ``keys, rank, id, distance, carry``."""
-    index = index.select(id_col, vec_col, *carry).filter(F.col(vec_col).isNotNull())
-    queries = queries.select(*keys, query_col).filter(F.col(query_col).isNotNull())
+    # Rows without a vector are left out where the vectors are read: a filter here would compute them twice.
+    index, queries = index.select(id_col, vec_col, *carry), queries.select(*keys, query_col)
     asked = queries.limit(max_scan_queries + 1).toArrow()
-    dim = len(asked[query_col][0]) if asked.num_rows else 0
+    dim = max((len(v) for v in asked[query_col][:100] if v.is_valid), default=0)
     if asked.num_rows <= max_scan_queries and asked.num_rows * dim <= MAX_SCAN_VALUES:
         rows = _scan(index, queries, asked, k, keys, id_col, vec_col, query_col, carry)
     else:
@@ -165,7 +173,9 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 20, keys: Sequence[str] =
 def _scan(index, queries, asked: pa.Table, k, keys, id_col, vec_col, query_col, carry) -> DataFrame:
     schema = _output_schema(index, queries, keys, id_col, carry)
     arrow = _arrow_schema(schema)
-    sent = index.sparkSession.sparkContext.broadcast((asked.select(list(keys)).combine_chunks(), _matrix(asked[query_col])))
+    asked = _with_vectors(asked, query_col)
+    sc = index.sparkSession.sparkContext
+    sent = sc.broadcast((asked.select(list(keys)).combine_chunks(), _matrix(asked[query_col])))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, vectors = sent.value
@@ -174,7 +184,8 @@ def _scan(index, queries, asked: pa.Table, k, keys, id_col, vec_col, query_col,
             if best is not None:
                 yield from _answer(best, names, arrow).to_batches()
 
-    return index.mapInArrow(search, schema)
+    # Every task answers with up to k rows per question, so very many small splits are read by fewer tasks.
+    return index.coalesce(max(MIN_SCAN_TASKS, 4 * sc.defaultParallelism)).mapInArrow(search, schema)
 
 
 def _pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,20 +204,22 @@ def _cells(index, queries, k, keys, id_col, vec_col, query_col, carry, pivots: i
 
     # A bounded number of pivots, chosen by hash so that a repeated task chooses the same ones.
     chosen = index.orderBy(F.xxhash64(F.col(id_col)), id_col).select(vec_col).limit(pivots).toArrow()
-    centres = _matrix(chosen[vec_col])
+    centres = _matrix(_with_vectors(chosen, vec_col)[vec_col])
     if len(centres) == 0:
         return spark.createDataFrame([], schema)
 
     @F.arrow_udf(PLACE)
     def nearest(rows: pa.Array) -> pa.Array:
-        to, slack = _pivot_distances(_matrix(rows), centres)
-        cell = to.argmin(axis=1)
-        reach = to[np.arange(len(to)), cell] + slack
-        return pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array(reach)], names=["cell", "reach"])
+        to, slack = _pivot_distances(_matrix(rows.drop_null()), centres)
+        known = rows.is_valid().to_numpy(zero_copy_only=False)
+        cell, reach = np.full(len(rows), -1, np.int32), np.full(len(rows), np.nan)
+        cell[known] = to.argmin(axis=1)
+        reach[known] = to.min(axis=1, initial=np.inf) + slack
+        return pa.StructArray.from_arrays([pa.array(cell), pa.array(reach)], names=["cell", "reach"])
 
     placed = index.withColumn("_place", nearest(F.col(vec_col)))
     # Two numbers per row, written once: how far each cell reaches, and its k innermost rows.
-    places = cut_lineage(placed.select("_place.*"))
+    places = cut_lineage(placed.select("_place.*")).filter("cell >= 0")
     near = places.withColumn("_n", F.row_number().over(Window.partitionBy("cell").orderBy("reach"))).filter(F.col("_n") <= k)
     radii = near.groupBy("cell").agg(F.array_sort(F.collect_list("reach")).alias("inner"))
     sizes = places.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("outer"))
@@ -224,14 +237,15 @@ def _cells(index, queries, k, keys, id_col, vec_col, query_col, carry, pivots: i
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def visits(vectors: pa.Array) -> pa.Array:
         out = []
-        for to, slack in zip(*_pivot_distances(_matrix(vectors), centres)):
+        for to, slack in zip(*_pivot_distances(_matrix(vectors.drop_null()), centres)):
             upper = np.sort(to[owner] + reach)
             limit = upper[k - 1] + slack if len(upper) >= k else np.inf
             out.append(np.flatnonzero(to - slack - outer <= limit * (1 + 1e-9)).astype(np.int32))
-        return pa.array(out, pa.list_(pa.int32()))
+        places = np.cumsum(vectors.is_valid().to_numpy(zero_copy_only=False)) - 1
+        return pa.array([out[i] if v.is_valid else None for i, v in zip(places, vectors)], pa.list_(pa.int32()))
 
     asked = queries.withColumn("_cells", visits(F.col(query_col)))
-    asked = asked.withColumn("cell", F.explode("_cells")).drop("_cells")
+    asked = unnest(asked, [*keys, query_col], "_cells", "_at", "cell").drop("_at")
     visitors = np.zeros(len(centres), np.int64)
     for row in asked.groupBy("cell").count().collect():  # at most one row per pivot
         visitors[row["cell"]] = row["count"]
@@ -239,10 +253,10 @@ def _cells(index, queries, k, keys, id_col, vec_col, query_col, carry, pivots: i
     slab_of, group_of = (F.array(*[F.lit(int(v)) for v in counts]) for counts in (np.maximum(1, slabs), groups))
 
     def spread_by(columns, counts: Column) -> Column:
-        return F.pmod(F.xxhash64(*columns), counts[F.col("cell")]).cast("int")
+        return F.pmod(F.xxhash64(*columns), F.get(counts, F.col("cell"))).cast("int")
 
     def every(counts: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), (counts[F.col("cell")] - 1).cast("int")))
+        return F.explode(F.sequence(F.lit(0), (F.get(counts, F.col("cell")) - 1).cast("int")))
 
     left = placed.withColumn("cell", F.col("_place.cell")).drop("_place").withColumn("slab", spread_by([F.col(id_col)], slab_of)).withColumn("grp", every(group_of))
     right = asked.withColumn("grp", spread_by([F.col(c) for c in keys], group_of)).withColumn("slab", every(slab_of))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folioscope.functions.rows import unnest
 from folioscope.operators.blocks import STRIPE_ROWS, classify_blocks, split_long_pages, units
 from folioscope.operators.running import running_sums
 from folioscope.session import cut_lineage
@@ -100,7 +101,8 @@ def _fold_starts(ops: Column, entry: Column, max_tokens: int) -> Column:
 
 def _pack_stripes(ops: DataFrame, max_tokens: int, stripe_rows: int) -> DataFrame:
     """``page_id, chunk_id, text`` of pages too long for one task."""
-    flat = ops.withColumn("stripe", F.floor(F.col("unit") / stripe_rows)).select("page_id", "stripe", F.inline("ops"))
+    flat = ops.withColumn("stripe", F.floor(F.col("unit") / stripe_rows))
+    flat = unnest(flat, ["page_id", "stripe"], "ops", "at", "o").select("page_id", "stripe", "o.*")
     sizes = flat.groupBy("page_id", "stripe").agg(F.array_sort(F.collect_list(F.struct("ord", "op", "size"))).alias("ops"))
     following = Window.partitionBy("page_id").orderBy("stripe")
     nexts = flat.select("page_id", "stripe").distinct().withColumn("next", F.lead("stripe").over(following))
@@ -119,7 +121,7 @@ def _pack_stripes(ops: DataFrame, max_tokens: int, stripe_rows: int) -> DataFram
             break
         entries = checked.select("page_id", "stripe", F.col("handed").alias("entry"))
 
-    starts = folded.select("page_id", F.explode("end.starts").alias("ord")).withColumn("chunk_id", F.lit(1).cast("bigint"))
+    starts = unnest(folded, ["page_id"], "end.starts", "at", "ord").drop("at").withColumn("chunk_id", F.lit(1).cast("bigint"))
     items = flat.filter(F.col("op") != "B").select("page_id", "ord", "text")
     marked = items.join(starts, ["page_id", "ord"], "left").fillna(0, ["chunk_id"])
     numbered = running_sums(marked, ["page_id"], ["page_id", "ord"], ["chunk_id"])
@@ -147,7 +149,7 @@ def _pack(blocks: DataFrame, max_tokens: int, stripe_rows: int, drop_blank: bool
 def pack_chunks(blocks: DataFrame, max_tokens: int = 1024, stripe_rows: int = STRIPE_ROWS, drop_blank: bool = False) -> DataFrame:
     """``page_id, chunk_id, text`` of blocks ``page_id, pos, btype, text, n_tokens``; ``chunk_id`` counts from 1."""
     pages, striped = _pack(blocks, max_tokens, stripe_rows, drop_blank)
-    rows = pages.select("page_id", F.posexplode("chunks").alias("at", "text")).select("page_id", (F.col("at") + 1).alias("chunk_id"), "text")
+    rows = unnest(pages, ["page_id"], "chunks", "at", "text").select("page_id", (F.col("at") + 1).alias("chunk_id"), "text")
     return rows if striped is None else rows.unionByName(striped)
 
 
@@ -163,6 +165,6 @@ def chunk_arrays(blocks: DataFrame, max_tokens: int = 1024, stripe_rows: int = S
 def explode_chunks(docs: DataFrame) -> DataFrame:
     """One row per chunk of ``docs`` (``id, chunks, ...``): ``id`` becomes ``document_chunk`` and ``doc_id`` the document."""
     rest = [c for c in docs.columns if c not in ("id", "chunks")]
-    rows = docs.select(F.col("id").alias("doc_id"), *rest, F.posexplode("chunks").alias("_at", "document"))
+    rows = unnest(docs, [F.col("id").alias("doc_id"), *rest], "chunks", "_at", "document")
     chunk = F.col("_at") + 1
     return rows.select(F.concat_ws("_", "doc_id", chunk).alias("id"), "doc_id", chunk.alias("chunk_id"), *rest, "document")

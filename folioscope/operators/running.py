@@ -16,8 +16,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
     a range, plus what the earlier ranges of the key add up to, which is one row per key and range. The ranges are
     written to the checkpoint folder, so that a repeated task sees the same ones.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    ranged = cut_lineage(df.repartitionByRange(slots, *order).withColumn("_range", F.spark_partition_id()))
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(c) for c in columns])
     offsets = totals.select(*keys, "_range", *[F.sum(c).over(before).alias(f"_before_{c}") for c in columns])

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscope.operators.running import running_sums
 
 COUNTS = ["completion_tokens", "prompt_tokens"]
 
 
-def usage_by(calls: DataFrame, keys: Sequence[str], time: str = "response_time") -> DataFrame:
-    """Field-wise sum of usages per ``keys``; calls without a count are skipped by the sum."""
-    return calls.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in [*COUNTS, time]]).withColumn(
+def usage_by(calls: DataFrame, keys: Sequence[str], time: str = "response_time", *more: Column) -> DataFrame:
+    """Field-wise sum of usages per ``keys``, beside any ``more`` aggregates; calls without a count are skipped."""
+    return calls.groupBy(*keys).agg(*more, *[F.sum(c).alias(c) for c in [*COUNTS, time]]).withColumn(
         "total_tokens", F.coalesce(COUNTS[0], F.lit(0)) + F.coalesce(COUNTS[1], F.lit(0)))
 
 

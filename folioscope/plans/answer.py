@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscope.functions.hooks import Completion, complete, normalize_reply
 from folioscope.functions.messages import message
+from folioscope.functions.rows import unnest
 from folioscope.functions.text import n_tokens, query_list
 from folioscope.operators.context import assemble_context, build_prompt
 from folioscope.operators.embedding import embed
 from folioscope.operators.knn import knn
-from folioscope.operators.ranking import fuse, shortlist
+from folioscope.operators.ranking import fuse, query_report, shortlist, shortlist_report
 from folioscope.operators.snippets import knn_within, reassemble, token_budget
+from folioscope.operators.usage import usage_by
 from folioscope.session import cut_lineage
 
 EXPAND_INSTRUCTIONS = (
@@ -49,7 +51,7 @@ def expand_questions(questions: DataFrame, fn: Completion, parallelism: int = 5)
 
 def split_queries(replies: DataFrame, reply: str = "reply", separator: str = ";", keys: Sequence[str] = ("qid",)) -> DataFrame:
     """``keys, qpos, query``: one row per search query, in order from 0."""
-    return replies.select(*keys, F.posexplode(query_list(F.col(reply), separator)).alias("qpos", "query"))
+    return unnest(replies, list(keys), query_list(F.col(reply), separator), "qpos", "query")
 
 
 def shortlist_docs(queries: DataFrame, summary_index: DataFrame, cfg: AnswerConfig = AnswerConfig()) -> DataFrame:
@@ -78,12 +80,16 @@ def retrieve_snippets(questions: DataFrame, shortlisted: DataFrame, chunk_index:
     return token_budget(near.withColumn("n_tokens", n_tokens(F.col("document"), cfg.encode)), cfg.budget)
 
 
+def context_of(questions: DataFrame, chosen: DataFrame, chunk_index: DataFrame, cfg: AnswerConfig = AnswerConfig()) -> DataFrame:
+    """``qid, context`` from a shortlist that is cheap to read twice."""
+    return assemble_context(chosen, reassemble(retrieve_snippets(questions, chosen, chunk_index, cfg)))
+
+
 def answer_context(questions: DataFrame, queries: DataFrame, summary_index: DataFrame, chunk_index: DataFrame,
                    cfg: AnswerConfig = AnswerConfig()) -> DataFrame:
     """``qid, context`` of every question that found documents."""
     # The shortlist is small beside the indexes and used twice; it is written once.
-    chosen = cut_lineage(shortlist_docs(queries, summary_index, cfg))
-    return assemble_context(chosen, reassemble(retrieve_snippets(questions, chosen, chunk_index, cfg)))
+    return context_of(questions, cut_lineage(shortlist_docs(queries, summary_index, cfg)), chunk_index, cfg)
 
 
 def answer_prompt(questions: DataFrame, queries: DataFrame, summary_index: DataFrame, chunk_index: DataFrame,
@@ -92,13 +98,34 @@ def answer_prompt(questions: DataFrame, queries: DataFrame, summary_index: DataF
     return build_prompt(answer_context(questions, queries, summary_index, chunk_index, cfg), questions)
 
 
+def transcript(questions: DataFrame, summary_index: DataFrame, chunk_index: DataFrame, expand: Completion, reply: Completion,
+               cfg: AnswerConfig = AnswerConfig(), parallelism: int = 5) -> DataFrame:
+    """What the asker sees, ``qid, seq, role, content`` and usage: 0 the search queries, 1 the documents considered, 2 the answer.
+
+    Messages that called no model have no usage. Both models are called once per question.
+    """
+    counts = ["completion_tokens", "prompt_tokens", "response_us"]
+    expanded = cut_lineage(expand_questions(questions, expand, parallelism))
+    queries = split_queries(expanded)
+    chosen = cut_lineage(shortlist_docs(queries, summary_index, cfg))
+    replies = normalize_reply(complete(build_prompt(context_of(questions, chosen, chunk_index, cfg), questions), reply, parallelism), strict=True)
+
+    def said(rows: DataFrame, seq: int, role: str | Column, content: Column, usage: bool) -> DataFrame:
+        none = F.lit(None).cast("bigint")
+        return rows.select("qid", F.lit(seq).alias("seq"), (F.lit(role) if isinstance(role, str) else role).alias("role"), content.alias("content"),
+                           *[(F.col(c) if usage else none).alias(c) for c in counts])
+
+    # Fixed value: the text around the search queries.
+    asked = query_report(queries).join(expanded.select("qid", *counts), "qid")
+    return (
+        said(asked, 0, "system", F.concat(F.lit("Expanding your queries: \n "), F.col("queries"), F.lit("\n")), True)
+        .unionByName(said(shortlist_report(chosen), 1, "system", F.col("report"), False))
+        .unionByName(said(replies, 2, F.col("reply_role"), F.col("reply_content"), True))
+    )
+
+
 def answer(questions: DataFrame, summary_index: DataFrame, chunk_index: DataFrame, expand: Completion, reply: Completion,
            cfg: AnswerConfig = AnswerConfig(), parallelism: int = 5) -> DataFrame:
-    """The whole way from ``qid, question`` to replies, with the usage of both model calls added up per question."""
-    expanded = cut_lineage(expand_questions(questions, expand, parallelism))
-    prompts = answer_prompt(questions, split_queries(expanded), summary_index, chunk_index, cfg)
-    replies = normalize_reply(complete(prompts, reply, parallelism), strict=True)
-    counts = ["completion_tokens", "prompt_tokens", "response_us"]
-    first = expanded.select("qid", *[F.col(c).alias(f"_{c}") for c in counts])
-    summed = [(F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in counts]
-    return replies.join(first, "qid").select("qid", F.col("reply_content").alias("answer"), *summed)
+    """``qid, answer`` with the usage of both model calls added up per question."""
+    said = transcript(questions, summary_index, chunk_index, expand, reply, cfg, parallelism)
+    return usage_by(said, ["qid"], "response_us", F.max(F.when(F.col("seq") == 2, F.col("content"))).alias("answer")).filter(F.col("answer").isNotNull())

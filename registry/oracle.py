@@ -240,6 +240,12 @@ BODIES = {
     "prompt": PROMPT,
     "answers": r"""SELECT c.qid, 'assistant' AS role, regexp_replace(b.text, '^\s+|\s+$', '', 'g') AS content, len(regexp_extract_all(b.text, '\S+')) AS completion_tokens
       FROM contexts c JOIN benchmark b ON b.item_id = c.qid""",
+    "transcript": r"""SELECT item_id AS qid, CAST(0 AS BIGINT) AS seq, 'system' AS role,
+      'Expanding your queries: ' || chr(10) || ' ' || replace(text, '. ', ';') || chr(10) AS content, length(text) AS completion_tokens FROM benchmark
+      UNION ALL SELECT qid, 1, 'system', 'Considering the following ' || count(*) || ' relevant documents.' || chr(10) ||
+        string_agg(printf('%.2f', score) || ' ' || chr(9) || ' ' || title || chr(10), '' ORDER BY pos), NULL FROM kept GROUP BY qid
+      UNION ALL SELECT c.qid, 2, 'assistant', regexp_replace(b.text, '^\s+|\s+$', '', 'g'), len(regexp_extract_all(b.text, '\S+'))
+        FROM contexts c JOIN benchmark b ON b.item_id = c.qid""",
     "split_queries": """SELECT conv_id, turn, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS qpos, unnest(l) AS query
       FROM (SELECT conv_id, turn, string_split(text, '.') AS l FROM conversations WHERE role = 'user')""",
     "query_report": "SELECT item_id AS qid, replace(text, '. ', ';') AS queries FROM benchmark",

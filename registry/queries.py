@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from folioscope.functions.hooks import complete, normalize_reply
+from folioscope.functions.hooks import complete, lead_reply, normalize_reply
 from folioscope.functions.messages import message, message_from_json, message_str, message_to_json, to_request
 from folioscope.functions.properties import merge_metadata, metadata_map
+from folioscope.functions.rows import unnest
 from folioscope.functions.text import content_text, lead_sentences, n_tokens, two_decimals
 from folioscope.operators.blocks import classify_blocks, group_runs
 from folioscope.operators.context import assemble_context, build_prompt, number_context
@@ -20,7 +21,7 @@ from folioscope.operators.relations import resolve_relations
 from folioscope.operators.snippets import reassemble
 from folioscope.operators.summary import base_metadata, build_summary_prompt, full_text, summarize
 from folioscope.operators.usage import running_usage, usage_by
-from folioscope.plans.answer import nearest_snippets, retrieve_snippets, shortlist_vectors, split_queries
+from folioscope.plans.answer import nearest_snippets, retrieve_snippets, shortlist_vectors, split_queries, transcript
 from folioscope.plans.ingest import chunk_rows
 from folioscope.session import cut_lineage, run_dir
 from folioscope.sources.pages import changed_pages, fetch_pages, page_blocks, project_metadata
@@ -108,7 +109,7 @@ MAPPING = {"title": "Title", "source": "Source", "date": "Date", "edited": "Edit
 
 
 def _entries(df: DataFrame, column: str = "metadata") -> DataFrame:
-    return df.select("doc_id", F.explode(column).alias("key", "value"))
+    return df.select("doc_id", F.explode_outer(column).alias("key", "value")).filter(F.col("key").isNotNull())
 
 
 def q_props(spark, sf):
@@ -183,7 +184,7 @@ def q_full_text(spark, sf):
 
 def q_summary_prompt(spark, sf):
     asked = build_summary_prompt(full_text(chunk_arrays(V.blocks(spark, sf), V.MAX_TOKENS)))
-    return _doc_id(asked).select("doc_id", F.posexplode("messages").alias("seq", "m")).select(
+    return unnest(_doc_id(asked), ["doc_id"], "messages", "seq", "m").select(
         "doc_id", F.col("seq").cast("bigint").alias("seq"), F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 
@@ -311,7 +312,7 @@ def q_context(spark, sf):
 
 def q_prompt(spark, sf):
     asked = build_prompt(_context(spark, sf), V.questions(spark, sf))
-    return asked.select("qid", F.posexplode("messages").alias("seq", "m")).select(
+    return unnest(asked, ["qid"], "messages", "seq", "m").select(
         "qid", F.col("seq").cast("bigint").alias("seq"), F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 
@@ -322,6 +323,19 @@ def q_answers(spark, sf):
     return replies.select("qid", F.col("reply_role").alias("role"), F.col("reply_content").alias("content"), "completion_tokens")
 
 
+def _sentences(messages):
+    """Offline search queries: the sentences of the question."""
+    asked = messages[-1]["content"]
+    return {"role": "assistant", "content": asked.replace(". ", ";")}, {"completion_tokens": len(asked), "prompt_tokens": len(messages)}
+
+
+def q_transcript(spark, sf):
+    """Everything an asker sees, with both completion maps on their offline functions."""
+    summaries = V.summary_index(spark, sf).withColumn("metadata", base_metadata("title"))
+    said = transcript(V.questions(spark, sf), summaries, V.chunk_index(spark, sf), _sentences, lead_reply, V.CONFIG)
+    return said.select("qid", F.col("seq").cast("bigint").alias("seq"), "role", "content", "completion_tokens")
+
+
 # Messages and accounting
 
 
@@ -345,7 +359,7 @@ def q_requests(spark, sf):
     # A conversation is the message list of one model call, so it fits a row.
     talks = read.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "m"))).alias("turns"))
     sent = talks.select("conv_id", to_request(F.transform("turns", lambda t: t["m"])).alias("request"))
-    return sent.select("conv_id", F.posexplode("request").alias("seq", "m")).select(
+    return unnest(sent, ["conv_id"], "request", "seq", "m").select(
         "conv_id", F.col("seq").cast("bigint").alias("seq"), F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 

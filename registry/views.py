@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.functions.properties import parse_properties
+from folioscope.functions.rows import unnest
 from folioscope.functions.text import lead_sentences, n_tokens
 from folioscope.operators.embedding import embed
 from folioscope.operators.packing import pack_chunks
@@ -12,7 +13,7 @@ from folioscope.plans.answer import AnswerConfig, split_queries
 from folioscope.session import spread
 
 MAX_TOKENS = 128
-CONFIG = AnswerConfig(chunk_results=3, budget=1_000)
+CONFIG = AnswerConfig(chunk_results=2, budget=100)
 MARK = "2024-01-15 00:00:00"
 
 
@@ -26,7 +27,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
     """The lines of every document as blocks with a type each."""
-    lines = documents(spark, sf).select(F.col("doc_id").cast("string").alias("page_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    lines = unnest(documents(spark, sf), [F.col("doc_id").cast("string").alias("page_id")], F.split("text", "\n", -1), "pos", "text")
     pos = F.col("pos")
     btype = (
         F.when(pos == 0, "heading_1").when(pos % 11 == 5, "divider").when((pos % 7).isin(2, 3), "bulleted_list_item")
@@ -47,9 +48,6 @@ def mark() -> F.Column:
 
 def described(spark: SparkSession, sf: str) -> DataFrame:
     """A property bag per document, read back from JSON: ``page_id, properties``."""
-    docs = documents(spark, sf)
-    count = table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n_docs"))  # one row
-    docs.join(F.broadcast(count)).createOrReplaceTempView("folioscope_documents")
     bag = spark.sql(r"""
         SELECT CAST(doc_id AS STRING) AS page_id, to_json(named_struct(
           'Title', named_struct('type', 'title', 'title', transform(slice(regexp_extract_all(text, r'\S+', 0), 1, 2), x -> named_struct('plain_text', x))),
@@ -58,7 +56,7 @@ def described(spark: SparkSession, sf: str) -> DataFrame:
           'Edited', named_struct('type', 'last_edited_time', 'last_edited_time', concat('2024-02-', lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0'))),
           'Date', named_struct('type', 'date', 'date', if(doc_id % 5 = 0, null, named_struct('start', concat('2024-01-', lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0'))))),
           'Files', named_struct('type', 'files', 'files', array(source)))) AS properties
-        FROM folioscope_documents""")
+        FROM (SELECT *, (SELECT count(*) FROM {counted}) AS n_docs FROM {docs})""", docs=documents(spark, sf), counted=table(spark, sf, "documents"))
     return bag.select("page_id", parse_properties(F.col("properties")).alias("properties"))
 
 

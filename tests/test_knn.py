@@ -11,16 +11,16 @@ def vectors(spark):
     rng = np.random.default_rng(3)
     points = np.vstack([rng.normal(c, 0.3, (40, 6)) for c in range(5)]).astype(np.float32)
     points[50:90] = points[50]  # a large group of copies
-    index = spark.createDataFrame([(f"d{i:03}", p.tolist()) for i, p in enumerate(points)], "id string, embedding array<float>")
-    asked = spark.createDataFrame([(i % 7, i // 7, rng.normal(i % 5, 1, 6).astype(np.float32).tolist()) for i in range(35)],
+    index = spark.createDataFrame([(f"d{i:03}", p.tolist()) for i, p in enumerate(points)] + [("none", None)], "id string, embedding array<float>")
+    asked = spark.createDataFrame([(i % 7, i // 7, rng.normal(i % 5, 1, 6).astype(np.float32).tolist()) for i in range(35)] + [(99, 0, None)],
                                   "qid int, qpos int, qvec array<float>")
     return index.repartition(4).cache(), asked.cache()
 
 
 def brute(index, asked, k):
-    ids = [(r.id, np.array(r.embedding, np.float64)) for r in index.collect()]
+    ids = [(r.id, np.array(r.embedding, np.float64)) for r in index.collect() if r.embedding]
     out = set()
-    for q in asked.collect():
+    for q in asked.filter("qvec is not null").collect():
         vec = np.array(q.qvec, np.float64)
         best = sorted((sum(float(s) for s in (x - vec) ** 2), i) for i, x in ids)[:k]
         out |= {(q.qid, q.qpos, n + 1, i, round(d, 9)) for n, (d, i) in enumerate(best)}

@@ -19,13 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from folioscope.functions.rows import unnest
 from folioscope.session import cut_lineage
 
-MAX_SCAN_QUERIES = 32_768
+MAX_SCAN_QUERIES = 16_384
 MAX_SCAN_VALUES = 16_000_000
 PAIR_TILE = 4_000_000
 MIN_SCAN_TASKS = 4_096
@@ -62,6 +63,28 @@ def squared_l2(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(_pair_distances(_matrix(a).T, _matrix(b).T))
 
 
+def _places(groups: np.ndarray) -> np.ndarray:
+    """Place of every element within its run of equal neighbours, from 0."""
+    start = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else np.zeros(0, np.int64)
+    return np.arange(len(groups)) - np.repeat(start, np.diff(np.append(start, len(groups))))
+
+
+def _without_spare_copies(x: np.ndarray, k: int) -> np.ndarray:
+    """Rows of ``x`` to look at. Equal vectors are equally far from anything, so of each only the first k rows can matter."""
+    mark = x @ np.cos(np.arange(x.shape[1]))
+    order = np.argsort(mark, kind="stable")
+    place = _places(mark[order])
+    if place.max(initial=0) < k:
+        return np.arange(len(x))
+    leader = order[np.arange(len(order)) - place]
+    copy = np.ones(len(x), bool)
+    shared = place > 0
+    copy[shared] = (x[order[shared]] == x[leader[shared]]).all(axis=1)
+    seen = np.cumsum(copy)
+    before = seen - copy - (seen - copy)[np.arange(len(order)) - place]
+    return np.sort(order[~copy | (before < k)])
+
+
 @dataclass
 class _Questions:
     """A bounded set of question vectors with their norms."""
@@ -73,7 +96,7 @@ class _Questions:
         self.norms = (self.vectors**2).sum(axis=1)
 
     def candidates(self, x: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs (question, row, distance) among which the k best rows of every question are found.
+        """Pairs (question, row, distance) among which the k best rows of every question are found, earlier rows first.
 
         ``bound`` is a distance the k-th best of a question is already known not to exceed.
         """
@@ -89,23 +112,23 @@ class _Questions:
             kth = np.partition(near, k - 1, axis=1)[:, k - 1] if n > k else np.full(len(q), np.inf)
             limit = np.minimum(kth, bound[lo:lo + step]) + 2 * allowance
             qi, ri = np.nonzero(near <= limit[:, None])
-            found.append((qi + lo, ri))
-        qi, ri = (np.concatenate(part) for part in zip(*found))
-        distance = np.zeros(len(qi))
-        for a, b in zip(columns, self.columns):
-            gap = a[ri] - b[qi]
-            distance += gap * gap
-        return qi, ri, distance
+            qi += lo
+            distance = np.zeros(len(qi))
+            for a, b in zip(columns, self.columns):
+                gap = a[ri] - b[qi]
+                distance += gap * gap
+            if len(qi) > 2 * k * len(q):  # many rows at one distance
+                order = np.lexsort((ri, distance, qi))
+                order = order[_places(qi[order]) < k]
+                qi, ri, distance = qi[order], ri[order], distance[order]
+            found.append((qi, ri, distance))
+        return tuple(np.concatenate(part) for part in zip(*found))
 
 
 def _keep_best(rows: pa.Table, k: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     """The k best rows per question; also each kept row's question and distance as arrays."""
     rows = rows.combine_chunks().sort_by([("_q", "ascending"), ("distance", "ascending"), ("_id", "ascending")])
-    q = rows["_q"].to_numpy()
-    first = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.zeros(0, bool)
-    start = np.flatnonzero(first)
-    place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
-    kept = rows.filter(pa.array(place < k))
+    kept = rows.filter(pa.array(_places(rows["_q"].to_numpy()) < k))
     return kept, kept["_q"].to_numpy(), kept["distance"].to_numpy()
 
 
@@ -116,10 +139,13 @@ def _local_best(batches, questions: _Questions, k: int, vec_col: str, id_col: st
         batch = _with_vectors(batch, vec_col)
         if batch.num_rows == 0:
             continue
-        x = _matrix(batch.column(vec_col))
-        qi, ri, distance = questions.candidates(x, k, bound)
+        by_id = pc.sort_indices(batch.column(id_col)).to_numpy()
+        x = _matrix(batch.column(vec_col))[by_id]
+        kept = _without_spare_copies(x, k)
+        qi, ri, distance = questions.candidates(x[kept], k, bound)
         if len(qi) == 0:
             continue
+        ri = by_id[kept[ri]]
         table = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
         rows = table.select([id_col, *carry]).rename_columns(["_id", *carry]).take(pa.array(ri))
         rows = rows.append_column("_q", pa.array(qi, pa.int64())).append_column("distance", pa.array(distance))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators.embedding import embed, term_counts
-from folioscope.operators.knn import knn, squared_l2
+from folioscope.operators.knn import _without_spare_copies, knn, squared_l2
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +67,25 @@ def test_embedding(spark):
     assert {(r.id, r.tf) for r in term_counts(embed(docs, "text", 64), "id").collect()} == {(1, 1), (1, 2)}
     hooked = embed(docs.filter("id < 3"), "text", fn=lambda texts: [[len(t), 1.0] for t in texts]).orderBy("id").collect()
     assert [r.embedding for r in hooked] == [[12.0, 1.0], [0.0, 1.0]]
+
+
+def test_spare_copies():
+    x = np.array([[1, 2], [3, 4], [1, 2], [1, 2], [3, 4], [5, 6], [1, 2]], float)
+    assert _without_spare_copies(x, 1).tolist() == [0, 1, 5]
+    assert _without_spare_copies(x, 2).tolist() == [0, 1, 2, 4, 5]
+    assert _without_spare_copies(x, 9).tolist() == list(range(7))
+    same_mark = np.array([[0.0, 0.0], [0.0, -0.0], [0.0, 0.0]])
+    assert _without_spare_copies(same_mark, 1).tolist() == [0]
+
+
+def test_many_ties_and_copies(spark):
+    """Whole-number vectors: most distances tie, a third of the rows are one vector, ids decide."""
+    rng = np.random.default_rng(5)
+    points = rng.integers(0, 2, (600, 4)).astype(np.float32)
+    points[::3] = [1, 1, 0, 0]
+    ids = rng.permutation(600)
+    index = spark.createDataFrame([(f"d{i:03}", p.tolist()) for i, p in zip(ids, points)], "id string, embedding array<float>").repartition(3).cache()
+    asked = spark.createDataFrame([(i, 0, rng.integers(0, 3, 4).astype(np.float32).tolist()) for i in range(12)], "qid int, qpos int, qvec array<float>")
+    for k in (1, 7, 150):
+        assert rows(knn(index, asked, k)) == brute(index, asked, k)
+    assert rows(knn(index, asked, 7, max_scan_queries=2, pivots=5, slab_rows=50)) == brute(index, asked, 7)

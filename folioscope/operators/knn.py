@@ -109,8 +109,11 @@ class _Questions:
             q, qn = self.vectors[lo:lo + step], self.norms[lo:lo + step]
             near = norms[None, :] + qn[:, None] - 2.0 * (q @ x.T)
             allowance = 8 * (dim + 8) * EPS * (qn + norms.max(initial=0.0))
-            kth = np.partition(near, k - 1, axis=1)[:, k - 1] if n > k else np.full(len(q), np.inf)
-            limit = np.minimum(kth, bound[lo:lo + step]) + 2 * allowance
+            limit = bound[lo:lo + step].copy()
+            unbounded = np.flatnonzero(np.isinf(limit))
+            if len(unbounded) and n > k:
+                limit[unbounded] = np.partition(near[unbounded], k - 1, axis=1)[:, k - 1]
+            limit += 2 * allowance
             qi, ri = np.nonzero(near <= limit[:, None])
             qi += lo
             distance = np.zeros(len(qi))

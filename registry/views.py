@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.functions.properties import parse_properties
@@ -10,7 +12,7 @@ from folioscope.functions.text import lead_sentences, n_tokens
 from folioscope.operators.embedding import embed
 from folioscope.operators.packing import pack_chunks
 from folioscope.plans.answer import AnswerConfig, split_queries
-from folioscope.session import spread
+from folioscope.session import run_dir, spread
 
 MAX_TOKENS = 128
 CONFIG = AnswerConfig(chunk_results=2, budget=100)
@@ -65,7 +67,29 @@ def titled(docs: DataFrame) -> DataFrame:
     return docs.withColumn("title", F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), 0), 1, 2), " "))
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """An index over the tables in ``sf``: built and written by the first query of an application that asks for it, as
+    an index is built once and searched often. Every build has its own folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _stored:
+        path = run_dir(spark, name)
+        build(spark, sf).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 def summary_index(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "summary_index", build_summary_index)
+
+
+def chunk_index(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "chunk_index", build_chunk_index)
+
+
+def build_summary_index(spark: SparkSession, sf: str) -> DataFrame:
     """``id, title, document, embedding`` with the lead sentences of every document as its summary."""
     docs = titled(documents(spark, sf)).select(F.col("doc_id").alias("id"), "title", lead_sentences(F.col("text")).alias("document"))
     return embed(docs, "document")
@@ -77,7 +101,7 @@ def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
                          "chunk_id", F.col("text").alias("document"))
 
 
-def chunk_index(spark: SparkSession, sf: str) -> DataFrame:
+def build_chunk_index(spark: SparkSession, sf: str) -> DataFrame:
     """``id, doc_id, chunk_id, document, embedding`` of all documents."""
     return embed(chunk_rows(spark, sf), "document")
 

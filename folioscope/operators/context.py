@@ -21,6 +21,7 @@ def number_context(shortlist: DataFrame, texts: DataFrame, qid: str = "qid") ->
 
 def assemble_context(shortlist: DataFrame, texts: DataFrame, qid: str = "qid") -> DataFrame:
     """One context per shortlisted question; empty when the budget left none of its documents any text."""
+    # The lines around a document.
     part = F.concat(F.lit("======\n document "), F.col("number").cast("string"), F.lit("\n title "),
                     F.coalesce("title", F.lit("None")), F.lit("\n "), F.col("text"), F.lit("\n"))
     parts = number_context(shortlist, texts, qid).groupBy(qid).agg(

@@ -57,10 +57,19 @@ def _pair_distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return total
 
 
-@F.arrow_udf(T.DoubleType())
-def squared_l2(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Squared L2 distance of two vector columns."""
-    return pa.array(_pair_distances(_matrix(a).T, _matrix(b).T))
+def squared_l2(a: Column, b: Column) -> Column:
+    """Squared L2 distance of two vector columns; null where either vector is."""
+
+    @F.arrow_udf(T.DoubleType())
+    def distance(x: pa.Array, q: pa.Array) -> pa.Array:
+        known = pc.and_(x.is_valid(), q.is_valid())
+        out = np.full(len(x), np.nan)
+        mask = known.to_numpy(zero_copy_only=False)
+        if mask.any():
+            out[mask] = _pair_distances(_matrix(x.filter(known)).T, _matrix(q.filter(known)).T)
+        return pa.array(out, mask=~mask)
+
+    return distance(a, b)
 
 
 def _places(groups: np.ndarray) -> np.ndarray:

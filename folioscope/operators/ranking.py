@@ -49,6 +49,7 @@ def shortlist(fused: DataFrame, t: float = 0.8, qid: str = "qid") -> DataFrame:
 
 def shortlist_report(kept: DataFrame, qid: str = "qid") -> DataFrame:
     """One text per question: how many documents are considered, then a line ``score, title`` for each."""
+    # The wording of the head and the form of a line.
     line = F.concat(two_decimals(F.col("score")), F.lit(" \t "), F.coalesce("title", F.lit("None")), F.lit("\n"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda r: r["line"]), "")
     head = F.format_string("Considering the following %d relevant documents.\n", F.count(F.lit(1)))

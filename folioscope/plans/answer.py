@@ -22,7 +22,7 @@ from folioscope.session import cut_lineage
 EXPAND_INSTRUCTIONS = (
     "Write search engine queries that would find the answer to the user's question. Separate them with ; and write at most 6. "
     "Reply with the queries alone, without an answer. "
-    "For 'What is the capital of France?' a reply could be 'capital of France; France capital city'."
+    "For 'How tall is Mont Blanc?' a reply could be 'Mont Blanc height;highest peak of the Alps in metres'."
 )
 
 

@@ -92,6 +92,15 @@ def index_rows(kind: str, described: DataFrame, packed: DataFrame, index: IndexC
 SCHEMAS = {"chunk": CHUNK_INDEX, "summary": SUMMARY_INDEX}
 
 
+def feed_indexes(pages: DataFrame, blocks: DataFrame, root: str, kinds: Sequence[str], cfg: LoaderConfig = LoaderConfig(),
+                 index: IndexConfig = IndexConfig(), lookup: DataFrame | None = None, gen: int | None = None) -> None:
+    """Upsert the given pages into every index below ``root``. Pages are described and packed once for all of them."""
+    described = cut_lineage(described_pages(pages, cfg, lookup))
+    packed = cut_lineage(packed_chunks(page_blocks(blocks, described.select(F.col("id").alias("page_id")), cfg.max_blocks), cfg))
+    for kind in kinds:
+        write_batch(index_rows(kind, described, packed, index), f"{root}/{kind}", gen)
+
+
 @dataclass
 class Source:
     """One loader: its pages and blocks, and the kinds of index it feeds."""
@@ -119,10 +128,8 @@ def run_ingest(spark: SparkSession, sources: Sequence[Source], root: str, index:
         fed[source.name] = newest is not None
         if newest is None:
             continue
-        described = cut_lineage(described_pages(fetch_pages(source.pages, ids), source.config, source.pages))
-        packed = cut_lineage(packed_chunks(page_blocks(source.blocks, ids, source.config.max_blocks), source.config))
-        for kind in source.indexes:
-            write_batch(index_rows(kind, described, packed, index), f"{root}/{kind}")
+        pages = fetch_pages(source.pages, ids)
+        feed_indexes(pages, source.blocks, root, source.indexes, source.config, index, source.pages)
         write_mark(name.withColumn("ts", stamp(F.lit(newest))), f"{root}/marks")
     return fed
 

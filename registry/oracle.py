@@ -249,7 +249,8 @@ BODIES = {
     "split_queries": """SELECT conv_id, turn, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS qpos, unnest(l) AS query
       FROM (SELECT conv_id, turn, string_split(text, '.') AS l FROM conversations WHERE role = 'user')""",
     "query_report": "SELECT item_id AS qid, replace(text, '. ', ';') AS queries FROM benchmark",
-    "requests": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, role, text AS content FROM conversations",
+    "requests": """SELECT conv_id, turn, CAST(0 AS BIGINT) AS seq, 'system' AS role, 'go on' AS content FROM conversations
+      UNION ALL SELECT conv_id, turn, 1, role, text FROM conversations""",
     "replies": "SELECT conv_id, turn, ok, content, role || ': ' || content AS rendered FROM stripped",
     "completions": r"""SELECT conv_id, turn, 'assistant' AS reply_role, text AS reply_content, len(regexp_extract_all(text, '\S+')) AS completion_tokens,
       len(regexp_extract_all(text, '\S+')) AS prompt_tokens FROM conversations WHERE role = 'user'""",

@@ -24,7 +24,7 @@ from folioscope.operators.usage import running_usage, usage_by
 from folioscope.plans.answer import nearest_snippets, retrieve_snippets, shortlist_vectors, split_queries, transcript
 from folioscope.plans.ingest import chunk_rows
 from folioscope.session import cut_lineage, run_dir
-from folioscope.sources.pages import changed_pages, fetch_pages, page_blocks, project_metadata
+from folioscope.sources.pages import changed_by_loader, changed_pages, fetch_pages, page_blocks, project_metadata
 from folioscope.sources.tables import advance_mark, latest_per_key, open_index, read_mark, upsert
 from folioscope.streaming.ingest import ingest_stream
 from registry import views as V
@@ -76,9 +76,7 @@ def q_upsert_pages(spark, sf):
 def q_ingest_by_loader(spark, sf):
     edits = V.edits(spark, sf).withColumnRenamed("title", "loader")
     state = _marks(V.edits(spark, sf).filter(F.col("last_edited") <= V.mark()))
-    # One row per loader.
-    marks = F.broadcast(read_mark(state, edits.select("loader").distinct()))
-    fresh = edits.join(marks, "loader").filter(F.col("last_edited") > F.col("ts"))
+    fresh = changed_by_loader(edits, read_mark(state, edits.select("loader").distinct()), salt_by=["edit_id"])
     return latest_per_key(fresh.select("loader", "page_id", *EDIT), ["loader", "page_id"], EDIT).select("loader", "page_id", "edit_id")
 
 
@@ -353,14 +351,12 @@ def q_query_report(spark, sf):
 
 
 def q_requests(spark, sf):
-    """Whole conversations as requests; each message goes through JSON and back on the way."""
+    """Every turn as a request of an instruction and the turn; the turn goes through JSON and back on the way."""
     turn = message(F.col("role"), F.col("text"), F.lit("2024-01-01T00:00:00"))
-    read = _turns(spark, sf).select("conv_id", "turn", message_from_json(message_to_json(turn)).alias("m"))
-    # A conversation is the message list of one model call, so it fits a row.
-    talks = read.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "m"))).alias("turns"))
-    sent = talks.select("conv_id", to_request(F.transform("turns", lambda t: t["m"])).alias("request"))
-    return unnest(sent, ["conv_id"], "request", "seq", "m").select(
-        "conv_id", F.col("seq").cast("bigint").alias("seq"), F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+    sent = _turns(spark, sf).select("conv_id", "turn", to_request(F.array(
+        message("system", F.lit("go on")), message_from_json(message_to_json(turn)))).alias("request"))
+    return unnest(sent, ["conv_id", "turn"], "request", "seq", "m").select(
+        "conv_id", "turn", F.col("seq").cast("bigint").alias("seq"), F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 
 def q_replies(spark, sf):

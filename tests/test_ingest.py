@@ -8,7 +8,7 @@ from folioscope.plans.ingest import IndexConfig, LoaderConfig, Source, open_inde
 from folioscope.schema import BLOCKS, MARKS, PAGES, SUMMARY_INDEX
 from folioscope.sources.pages import page_blocks
 from folioscope.sources.tables import compact, latest_per_key, open_index, read_mark, stamp, stamp_text, upsert, write_batch, write_mark
-from folioscope.streaming.ingest import ingest_stream
+from folioscope.streaming.ingest import index_stream, ingest_stream
 
 ROWS = "id string, at int, v string"
 
@@ -143,3 +143,18 @@ def test_question_without_documents_has_no_context(spark):
     queries = split_queries(questions.withColumn("reply", F.lit("a;b")))
     chunks = spark.createDataFrame([], "id string, doc_id string, chunk_id int, document string, embedding array<float>")
     assert answer_context(questions, queries, empty, chunks).count() == 0
+
+
+def test_page_stream_equals_run(spark, tmp_path):
+    blocks = spark.createDataFrame([block(p, i, "paragraph", f"{p} {i}") for p in ("p1", "p2") for i in range(4)], BLOCKS)
+    cfg = LoaderConfig(edited="Edited", max_tokens=4)
+    edits = [[page("p1", 1, "one"), page("p2", 2, "two")], [page("p1", 3, "later"), page("p1", 4, "last")]]
+    source, root = str(tmp_path / "in"), str(tmp_path / "stream")
+    for part in edits:
+        spark.createDataFrame(part, PAGES).coalesce(1).write.mode("append").parquet(source)
+        index_stream(spark.readStream.schema(PAGES).parquet(source), blocks, root, str(tmp_path / "check"), cfg=cfg).awaitTermination()
+    final = spark.createDataFrame([edits[0][1], edits[1][1]], PAGES)
+    run_ingest(spark, [Source("main", final, blocks, cfg)], str(tmp_path / "run"))
+    streamed, ran = open_indexes(spark, root), open_indexes(spark, str(tmp_path / "run"))
+    for kind in ("summary", "chunk"):
+        assert sorted(map(str, streamed[kind].collect())) == sorted(map(str, ran[kind].collect()))

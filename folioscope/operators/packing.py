@@ -8,9 +8,9 @@ open chunk, ``C`` adds a content block, ``B`` closes the chunk. Packing folds ov
   otherwise, with more than two items in the chunk, all but the last are closed and the last moves on with the run.
 
 Pages of ordinary length are one fold on one row. Longer pages are folded in stripes, each from the state the stripe
-before it ends in: all stripes run at once from a guessed state, and again while an end state still changes. The
-first stripe is right from the start and every pass makes at least one more final, so the fixed point is the
-sequential answer; as chunks close often, stripes forget their guess quickly and two or three passes are usual.
+before it ends in: all stripes run at once from a guessed state, and those that are then entered differently run
+again, until none is. The first stripe is right from the start and every pass makes at least one more final, so the
+fixed point is the sequential answer; as chunks close often, stripes forget their guess quickly and few passes do.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioscope.functions.rows import unnest
 from folioscope.operators.blocks import STRIPE_ROWS, classify_blocks, split_long_pages, units
+from folioscope.operators.joins import join_chosen
 from folioscope.operators.running import running_sums
-from folioscope.session import cut_lineage
+from folioscope.session import cut_lineage, fits_rows
 
 NO_TEXTS = "cast(array() as array<string>)"
 
@@ -108,18 +109,23 @@ def _pack_stripes(ops: DataFrame, max_tokens: int, stripe_rows: int) -> DataFram
     nexts = flat.select("page_id", "stripe").distinct().withColumn("next", F.lead("stripe").over(following))
     stripes = cut_lineage(sizes.join(nexts, ["page_id", "stripe"]))
 
+    place = ["page_id", "stripe"]
     fresh = F.struct(*[F.lit(0).cast(t).alias(c) for c, t in STATE.items()])
-    entries = stripes.select("page_id", "stripe", fresh.alias("entry"))
+
+    def fold(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("end", _fold_starts(F.col("ops"), F.col("entry"), max_tokens)).select(*place, "next", "entry", "end")
+
+    folded = cut_lineage(fold(stripes.withColumn("entry", fresh)))
     while True:
-        folded = stripes.join(entries, ["page_id", "stripe"]).withColumn("end", _fold_starts(F.col("ops"), F.col("entry"), max_tokens))
-        folded = cut_lineage(folded.select("page_id", "stripe", "next", "entry", "end"))
         ends = F.struct(*[F.col(f"end.{c}").alias(c) for c in STATE])
         handed = folded.filter(F.col("next").isNotNull()).select("page_id", F.col("next").alias("stripe"), ends.alias("handed"))
-        checked = folded.join(handed, ["page_id", "stripe"], "left").select(
-            "page_id", "stripe", "entry", F.coalesce("handed", fresh).alias("handed"))
-        if not checked.filter(F.col("entry") != F.col("handed")).limit(1).count():
+        changed = cut_lineage(folded.select(*place, "entry").join(handed, place).filter(F.col("entry") != F.col("handed")).select(
+            *place, F.col("handed").alias("entry")))
+        if fits_rows(changed, 0):
             break
-        entries = checked.select("page_id", "stripe", F.col("handed").alias("entry"))
+        # Only stripes that are entered differently are folded again.
+        again = fold(join_chosen(stripes, changed, place, salt_by=place))
+        folded = cut_lineage(join_chosen(folded, changed.select(*place), place, "left_anti").unionByName(again))
 
     starts = unnest(folded, ["page_id"], "end.starts", "at", "ord").drop("at").withColumn("chunk_id", F.lit(1).cast("bigint"))
     items = flat.filter(F.col("op") != "B").select("page_id", "ord", "text")

@@ -209,6 +209,9 @@ BODIES = {
     "block_classes": "SELECT btype, class, count(*) AS n, CAST(sum(n_tok) AS BIGINT) AS n_tok FROM classed GROUP BY btype, class",
     "content_text": r"""SELECT doc_id, pos, CASE WHEN pos % 4 = 0 THEN '<caption> fig ' || pos || ' <\caption> ' ELSE '' END || txt ||
       CASE WHEN pos % 5 = 0 THEN '<equation> x = ' || pos || ' <\equation> ' ELSE '' END AS txt FROM blocks""",
+    "raw_blocks": r"""SELECT doc_id, pos, btype, made AS txt, len(regexp_extract_all(made, '\S+')) AS n_tok FROM (
+      SELECT doc_id, pos, btype, CASE WHEN class = 'content' THEN CASE WHEN pos % 4 = 0 THEN '<caption> fig ' || pos || ' <\caption> ' ELSE '' END || txt || '|' ||
+        CASE WHEN pos % 5 = 0 THEN '<equation> x <\equation> ' ELSE '' END WHEN kind IS NOT NULL THEN txt || '|' ELSE '' END AS made FROM classed)""",
     "token_counts": r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n_tok FROM documents",
     "token_hook": r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n_tok FROM documents",
     "block_runs": """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run, kind, txt AS text, n_tok FROM units WHERE kind IS NOT NULL""",

@@ -11,7 +11,7 @@ from folioscope.functions.messages import message, message_from_json, message_st
 from folioscope.functions.properties import merge_metadata, metadata_map
 from folioscope.functions.rows import unnest
 from folioscope.functions.text import content_text, lead_sentences, n_tokens, two_decimals
-from folioscope.operators.blocks import classify_blocks, group_runs
+from folioscope.operators.blocks import classify_blocks, group_runs, read_blocks
 from folioscope.operators.context import assemble_context, build_prompt, number_context
 from folioscope.operators.embedding import embed, term_counts
 from folioscope.operators.knn import knn
@@ -25,6 +25,7 @@ from folioscope.plans.answer import nearest_snippets, retrieve_snippets, shortli
 from folioscope.plans.ingest import chunk_rows
 from folioscope.session import cut_lineage, run_dir
 from folioscope.sources.pages import changed_by_loader, changed_pages, fetch_pages, page_blocks, project_metadata
+from folioscope.sources.raw import raw_blocks
 from folioscope.sources.tables import advance_mark, latest_per_key, open_index, read_mark, upsert
 from folioscope.streaming.ingest import ingest_stream
 from registry import views as V
@@ -143,6 +144,18 @@ def q_block_classes(spark, sf):
     return classify_blocks(V.blocks(spark, sf)).groupBy("btype", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("n_tok"))
 
 
+def q_raw_blocks(spark, sf):
+    """Documents as lists of block objects in JSON, read back as blocks."""
+    lines = F.transform(F.split("text", "\n", -1), lambda line, i: F.concat(
+        F.lit('{"type": "'), V.block_type(i), F.lit('", "'), V.block_type(i), F.lit('": '),
+        F.to_json(F.struct(F.transform(F.array(line, F.lit("|")), lambda t: F.struct(t.alias("plain_text"))).alias("rich_text"),
+                           F.when(i % 4 == 0, F.array(F.lit("fig "), i.cast("string"))).alias("caption"),
+                           F.when(i % 5 == 0, F.lit("x")).alias("expression"))), F.lit("}")))
+    pages = V.documents(spark, sf).select(F.col("doc_id").cast("string").alias("page_id"), lines.alias("blocks"))
+    read = read_blocks(raw_blocks(pages))
+    return _doc_id(read).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "btype", F.col("text").alias("txt"), F.col("n_tokens").alias("n_tok"))
+
+
 def q_content_text(spark, sf):
     blocks = V.blocks(spark, sf)
     caption = F.when(F.col("pos") % 4 == 0, F.array(F.lit("fig "), F.col("pos").cast("string")))

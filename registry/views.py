@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscope.functions.properties import parse_properties
 from folioscope.functions.rows import unnest
@@ -27,15 +27,17 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents"))
 
 
-def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """The lines of every document as blocks with a type each."""
-    lines = unnest(documents(spark, sf), [F.col("doc_id").cast("string").alias("page_id")], F.split("text", "\n", -1), "pos", "text")
-    pos = F.col("pos")
-    btype = (
+def block_type(pos: Column) -> Column:
+    return (
         F.when(pos == 0, "heading_1").when(pos % 11 == 5, "divider").when((pos % 7).isin(2, 3), "bulleted_list_item")
         .when(pos % 13 == 12, "image").otherwise("paragraph")
     )
-    return lines.select("page_id", "pos", btype.alias("btype"), "text", n_tokens(F.col("text")).alias("n_tokens"))
+
+
+def blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of every document as blocks with a type each."""
+    lines = unnest(documents(spark, sf), [F.col("doc_id").cast("string").alias("page_id")], F.split("text", "\n", -1), "pos", "text")
+    return lines.select("page_id", "pos", block_type(F.col("pos")).alias("btype"), "text", n_tokens(F.col("text")).alias("n_tokens"))
 
 
 def edits(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,7 +46,7 @@ def edits(spark: SparkSession, sf: str) -> DataFrame:
                                              F.col("ts").alias("last_edited"), F.col("event_type").alias("title"), "value")
 
 
-def mark() -> F.Column:
+def mark() -> Column:
     return F.to_timestamp_ntz(F.lit(MARK))
 
 

@@ -7,6 +7,8 @@ from folioscope.plans.answer import AnswerConfig, answer, answer_context, split_
 from folioscope.plans.ingest import IndexConfig, LoaderConfig, Source, open_indexes, run_ingest
 from folioscope.schema import BLOCKS, MARKS, PAGES, SUMMARY_INDEX
 from folioscope.sources.pages import page_blocks
+from folioscope.operators.blocks import read_blocks
+from folioscope.sources.raw import raw_blocks, raw_pages
 from folioscope.sources.tables import compact, latest_per_key, open_index, read_mark, stamp, stamp_text, upsert, write_batch, write_mark
 from folioscope.streaming.ingest import index_stream, ingest_stream
 
@@ -158,3 +160,14 @@ def test_page_stream_equals_run(spark, tmp_path):
     streamed, ran = open_indexes(spark, root), open_indexes(spark, str(tmp_path / "run"))
     for kind in ("summary", "chunk"):
         assert sorted(map(str, streamed[kind].collect())) == sorted(map(str, ran[kind].collect()))
+
+
+def test_raw_json(spark):
+    pages = spark.createDataFrame([('{"id": "p", "last_edited_time": "2024-01-02T03:00:00.000Z", "properties": {"T": {"type": "title", "title": [{"plain_text": "x"}]}}}',)], "page string")
+    row = raw_pages(pages).select("page_id", stamp_text(F.col("last_edited")).alias("at"), F.col("properties")["T"]["title"][0]["plain_text"].alias("t")).first()
+    assert tuple(row) == ("p", "2024-01-02T03:00:00.000000+00:00", "x")
+    blocks = ['{"type": "paragraph", "paragraph": {"rich_text": [{"plain_text": "a"}, {"plain_text": "b"}], "caption": ["c"]}}',
+              '{"type": "equation", "equation": {"expression": "e=1"}}', '{"type": "divider", "divider": {}}', '{"type": "to_do"}']
+    rows = read_blocks(raw_blocks(spark.createDataFrame([("p", blocks)], "page_id string, blocks array<string>"))).orderBy("pos").collect()
+    assert [(r.pos, r.btype, r.text) for r in rows] == [
+        (0, "paragraph", "<caption> c <\\caption> ab"), (1, "equation", "<equation> e=1 <\\equation> "), (2, "divider", ""), (3, "to_do", "")]

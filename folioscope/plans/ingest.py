@@ -93,12 +93,12 @@ SCHEMAS = {"chunk": CHUNK_INDEX, "summary": SUMMARY_INDEX}
 
 
 def feed_indexes(pages: DataFrame, blocks: DataFrame, root: str, kinds: Sequence[str], cfg: LoaderConfig = LoaderConfig(),
-                 index: IndexConfig = IndexConfig(), lookup: DataFrame | None = None, gen: int | None = None) -> None:
+                 index: IndexConfig = IndexConfig(), lookup: DataFrame | None = None, tag: str = "") -> None:
     """Upsert the given pages into every index below ``root``. Pages are described and packed once for all of them."""
     described = cut_lineage(described_pages(pages, cfg, lookup))
     packed = cut_lineage(packed_chunks(page_blocks(blocks, described.select(F.col("id").alias("page_id")), cfg.max_blocks), cfg))
     for kind in kinds:
-        write_batch(index_rows(kind, described, packed, index), f"{root}/{kind}", gen)
+        write_batch(index_rows(kind, described, packed, index), f"{root}/{kind}", tag)
 
 
 @dataclass

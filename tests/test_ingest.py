@@ -43,8 +43,10 @@ def test_table_generations(spark, tmp_path, order):
     assert compact(spark, path, schema, order=order) == 2 and read() == expected
     assert write_batch(frame(spark, [("a", 0, "old")]), path) == 3
     assert read()[0] == (("a", 1, "x") if order else ("a", 0, "old"))
-    write_batch(frame(spark, [("a", 9, "new")]), path, 3)  # a repeated write replaces itself
-    assert read()[0] == ("a", 9, "new") and len(read()) == 3
+    assert write_batch(frame(spark, [("a", 8, "try")]), path, "s-1") == 4
+    assert write_batch(frame(spark, [("a", 9, "new")]), path, "s-1") == 4  # a repeated batch replaces itself
+    assert write_batch(frame(spark, [("c", 9, "more")]), path, "s-2") == 5
+    assert read() == [("a", 9, "new"), ("b", 2, "z"), ("c", 9, "more")]
 
 
 def test_marks(spark, tmp_path):

@@ -1,4 +1,9 @@
-"""Documents to packed training sequences, stage by stage; every stage reads what the one before it wrote."""
+"""Documents to packed training sequences, stage by stage; every stage reads what the one before it wrote.
+
+All stages but the last return the columns of ``documents``. A null or empty text is rejected by the quality rules; later
+stages would keep it. Texts that lose lines or benchmark spans have their new length in ``n_chars``. Columns beyond those
+of ``documents`` are carried along. The last stage returns pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +11,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import lines, quality
+from folioscope.llm import decontamination, lines, minhash, packing, quality
 from folioscope.llm.store import materialize, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break a rule go."""
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shared lines stay in one document each; documents that had nothing else go."""
     return lines.without_shared_lines(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five words a shingle, similarity 0.8."""
+    return minhash.one_of_each(docs, k=5)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items are cut out; documents that are mostly such passages go."""
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2,048 tokens."""
+    return packing.pack_documents(docs, packing.tokenizer_path())
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("pack", pack),
 ]
 
 #: Token ids and online packing have no SQL form; the tests compare with a brute-force version.

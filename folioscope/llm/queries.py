@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from folioscope.llm import lines, quality, sharding
+from folioscope.llm import decontamination, lines, minhash, packing, quality, reputation, sharding, substrings, suffixes, token_counts
 
 QUERIES = {
+    "op1_token_rollup": token_counts.op1_token_rollup,
     "op2_virtual_slots": sharding.op2_virtual_slots,
+    "op3_sum_of_squares_packing": packing.op3_sum_of_squares_packing,
     "op4_line_dedup": lines.op4_line_dedup,
+    "op5_prefix_doubling": suffixes.op5_prefix_doubling,
+    "op6_coordinate_join": minhash.op6_coordinate_join,
+    "op7_host_reputation": reputation.op7_host_reputation,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_substring_dedup": substrings.op9_substring_dedup,
+    "op10_suffix_automaton": decontamination.op10_suffix_automaton,
 }
-ORACLE = {"op4_line_dedup": lines.SQL, "op8_quality_rules": quality.SQL}
+ORACLE = {"op4_line_dedup": lines.SQL, "op7_host_reputation": reputation.SQL, "op8_quality_rules": quality.SQL}

@@ -54,11 +54,11 @@ def first_map(sizes: Iterable[tuple[int, int, int]], shards: int) -> SlotMap:
     return sorted(placed)
 
 
-def rebalanced(old: SlotMap, sizes: Iterable[tuple[int, int, int]], shards: int) -> SlotMap:
+def rebalanced(old: SlotMap, sizes: Iterable[tuple[int, int, int]], shards: int, tolerance: float = 0.02) -> SlotMap:
     """The map edited for new sizes or another number of shards; only slots that must move change their shard.
 
     Slots of shards that no longer exist are placed first. Then the heaviest shard gives the lightest one its largest
-    slot that fits into half of their difference, until none does.
+    slot that fits into half of their difference, until they differ by no more than ``tolerance`` of a fair share.
     """
     now = {slot: (size, rows) for slot, size, rows in sizes}
     held: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
@@ -70,10 +70,10 @@ def rebalanced(old: SlotMap, sizes: Iterable[tuple[int, int, int]], shards: int)
         k = min(range(shards), key=lambda j: (load[j], j))
         held[k].append((size, slot))
         load[k] += size
-    for _ in range(len(old)):
+    while True:
         high, low = max(range(shards), key=lambda j: (load[j], -j)), min(range(shards), key=lambda j: (load[j], j))
         fits = [s for s in held[high] if 0 < s[0] <= (load[high] - load[low]) // 2]
-        if not fits:
+        if not fits or load[high] - load[low] <= tolerance * sum(load) / shards:
             break
         size, slot = max(fits, key=lambda s: (s[0], -s[1]))
         held[high].remove((size, slot))

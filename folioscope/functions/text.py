@@ -65,7 +65,6 @@ def two_decimals(value: Column) -> Column:
     """A score with two decimals, rounded from its exact binary value with exact halves to even.
 
     ``format_string`` rounds the shortest decimal form half up, which differs for values such as 0.575 and 1.125.
-    Exact for values of at least 1/32.
     """
     whole = F.floor(value)
     # The fraction in units of 2**-57, times 100, is the same as times 25 in units of 2**-55: it fits a bigint.
@@ -73,4 +72,7 @@ def two_decimals(value: Column) -> Column:
     cents = F.shiftright(scaled, 55)
     rest, half = scaled - F.shiftleft(cents, 55), 2**54
     total = whole * 100 + cents + F.when((rest > half) | ((rest == half) & (cents % 2 == 1)), 1).otherwise(0)
+    # Below 1/32 more bits than these may count, but no value lies half-way: the doubles 0.005 and 0.025 are just above, 0.015 just below.
+    small = (value >= 0.005).cast("bigint") + (value > 0.015).cast("bigint") + (value >= 0.025).cast("bigint")
+    total = F.when((value >= 0) & (value < 1 / 32), small).otherwise(total)
     return F.concat(F.floor(total / 100).cast("string"), F.lit("."), F.lpad((total % 100).cast("string"), 2, "0"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioscope.functions.text import block_text, content_text, n_tokens
 from folioscope.operators.running import running_sums
-from folioscope.session import fits_rows
+from folioscope.session import has_rows
 
 # The block types of each class. A type that is in none of them is dropped like the ignored ones.
 IGNORED = ["unsupported", "breadcrumb", "child_database", "child_page", "column_list", "column", "embed", "file", "image",
@@ -51,7 +51,7 @@ def read_blocks(blocks: DataFrame, encode: Callable[[str], Sequence] | None = No
 def split_long_pages(blocks: DataFrame, stripe_rows: int) -> tuple[DataFrame, DataFrame | None]:
     """Blocks of ordinary pages, and of pages with more than ``stripe_rows`` blocks if there are any (``pos`` counts from 0)."""
     beyond = blocks.filter(F.col("pos") >= stripe_rows)
-    if fits_rows(beyond, 0):
+    if not has_rows(beyond):
         return blocks, None
     long = beyond.select("page_id").distinct()
     return blocks.join(long, "page_id", "left_anti"), blocks.join(long, "page_id", "left_semi")

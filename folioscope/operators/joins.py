@@ -6,29 +6,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from folioscope.session import fits_rows
+from folioscope.session import fits
 
 MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 1_000_000
 SALTS = 64
 
 
 def join_chosen(large: DataFrame, chosen: DataFrame, on: str | Sequence[str], how: str = "inner",
                 salt_by: Sequence[str] = (), counted: DataFrame | None = None, max_rows: int = MAX_BROADCAST_ROWS,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                hot_rows: int = HOT_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Join ``large`` with ``chosen`` on ``on``.
 
-    ``chosen`` (or ``counted``, if that has as many rows and is cheaper to read) is counted first. Within ``max_rows`` it is broadcast and ``large`` is read in place. Beyond that both
-    are shuffled; keys with more than ``hot_rows`` rows in ``large`` are then spread over ``SALTS`` tasks by the
+    ``chosen`` (or ``counted``, if that has as many rows and is cheaper to read; ``max_bytes`` is then for that) is measured
+    first. Within ``max_rows`` and ``max_bytes`` it is broadcast and ``large`` is read in place. Beyond that both are shuffled; keys with more than ``hot_rows`` rows in ``large`` are then spread over ``SALTS`` tasks by the
     columns ``salt_by``, with a copy of their ``chosen`` rows in each.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if fits_rows(chosen if counted is None else counted, max_rows):
+    if fits(chosen if counted is None else counted, max_rows, max_bytes):
         return large.join(F.broadcast(chosen), on, how)
     if not salt_by:
         return large.join(chosen, on, how)
-    # Map-side counts; at most (rows of large / hot_rows) keys are hot, which is what bounds this broadcast.
-    hot = F.broadcast(large.groupBy(*on).count().filter(F.col("count") > hot_rows).select(*on, F.lit(True).alias("_hot")))
+    # Map-side counts; at most (rows of large / hot_rows) keys are hot, and Spark broadcasts them only if they turn out small.
+    hot = large.groupBy(*on).count().filter(F.col("count") > hot_rows).select(*on, F.lit(True).alias("_hot"))
     spread = large.join(hot, on, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int")).otherwise(0))
     copies = chosen.join(hot, on, "left").withColumn(

@@ -1,12 +1,10 @@
-"""Exact k-nearest rows by squared L2 distance, ties on id.
+"""Exact nearest rows by squared L2 distance, ties on id.
 
-Two physical forms give the same rows:
+The question vectors are sent to every task in blocks bounded in bytes and the index is read in place, once per block; a
+task shuffles only its own k best rows per question. Answers do not depend on the size of the blocks or on batches.
 
-* ``scan``: the questions fit a checked bound of rows and values, so their vectors go to every task once and the index is read in place.
-  A task keeps only its own k best rows per question; what is shuffled is at most k rows per question and task.
-* ``cells``: beyond the bound both sides are shuffled. Rows go to the cell of their nearest pivot; the triangle
-  inequality bounds the k-th distance of a question, and the question visits only cells that can hold a row inside
-  that bound. Large cells are split into slabs of rows, and their visitors into groups, so no task gets a whole hot cell.
+One rule for odd vectors, everywhere: a null vector, and one with a null, NaN or infinite element, is no vector, and its row
+is left out; vectors of unequal length are an error.
 
 Distances are added up dimension by dimension in double precision, so they do not depend on batching. A matrix
 product with a rounding allowance only chooses which pairs are worth that.
@@ -23,29 +21,45 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from folioscope.functions.rows import unnest
-from folioscope.session import cut_lineage
+from folioscope.session import cut_lineage, run_dir
 
-MAX_SCAN_QUERIES = 16_384
-MAX_SCAN_VALUES = 16_000_000
+BLOCK_BYTES = 64 << 20
 PAIR_TILE = 4_000_000
-MIN_SCAN_TASKS = 4_096
-PIVOTS = 256
-SLAB_ROWS = 100_000
+SPLITS_PER_TASK = 16
 EPS = float(np.finfo(np.float64).eps)
-PLACE = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())])
 
 
-def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def _matrix(vectors: pa.Array | pa.ChunkedArray, dim: int | None = None) -> np.ndarray:
+    """Vectors without nulls as rows; an error where one has another length than ``dim`` (or than the others)."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0)
+    if not len(vectors):
+        return np.zeros((0, dim or 0))
+    lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    dim = int(lengths[0]) if dim is None else dim
+    if (lengths != dim).any():
+        raise ValueError(f"vectors of {sorted(set(lengths.tolist()) | {dim})[:5]} elements cannot be compared")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), dim)
+
+
+def _usable(vectors: pa.Array) -> np.ndarray:
+    """Which entries are vectors: not null, and every element a finite number."""
+    valid = vectors.is_valid().to_numpy(zero_copy_only=False)
+    lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    odd = ~np.isfinite(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    valid[np.repeat(np.arange(len(vectors)), lengths)[odd]] = False
+    return valid
 
 
 def _with_vectors(rows, vec_col: str):
-    """Rows of an Arrow batch or table that have a vector."""
-    return rows.filter(rows.column(vec_col).is_valid()) if rows.column(vec_col).null_count else rows
+    """Rows of an Arrow batch or table that have a usable vector."""
+    column = rows.column(vec_col)
+    return rows.filter(pa.array(_usable(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)))
+
+
+def is_vector(vectors: Column) -> Column:
+    """The same as a column: true for arrays of finite numbers."""
+    return F.coalesce(F.forall(vectors, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
 def _pair_distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -58,15 +72,16 @@ def _pair_distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def squared_l2(a: Column, b: Column) -> Column:
-    """Squared L2 distance of two vector columns; null where either vector is."""
+    """Squared L2 distance of two vector columns; null unless both are vectors, an error if their lengths differ."""
 
     @F.arrow_udf(T.DoubleType())
     def distance(x: pa.Array, q: pa.Array) -> pa.Array:
-        known = pc.and_(x.is_valid(), q.is_valid())
+        mask = _usable(x) & _usable(q)
         out = np.full(len(x), np.nan)
-        mask = known.to_numpy(zero_copy_only=False)
         if mask.any():
-            out[mask] = _pair_distances(_matrix(x.filter(known)).T, _matrix(q.filter(known)).T)
+            known = pa.array(mask)
+            left = _matrix(x.filter(known))
+            out[mask] = _pair_distances(left.T, _matrix(q.filter(known), left.shape[1]).T)
         return pa.array(out, mask=~mask)
 
     return distance(a, b)
@@ -152,7 +167,7 @@ def _local_best(batches, questions: _Questions, k: int, vec_col: str, id_col: st
         if batch.num_rows == 0:
             continue
         by_id = pc.sort_indices(batch.column(id_col)).to_numpy()
-        x = _matrix(batch.column(vec_col))[by_id]
+        x = _matrix(batch.column(vec_col), questions.vectors.shape[1])[by_id]
         kept = _without_spare_copies(x, k)
         qi, ri, distance = questions.candidates(x[kept], k, bound)
         if len(qi) == 0:
@@ -194,18 +209,28 @@ def _rank(rows: DataFrame, keys: Sequence[str], id_col: str, k: int, carry: Sequ
 
 
 def knn(index: DataFrame, queries: DataFrame, k: int = 20, keys: Sequence[str] = ("qid", "qpos"), id_col: str = "id",
-        vec_col: str = "embedding", query_col: str = "qvec", carry: Sequence[str] = (),
-        max_scan_queries: int = MAX_SCAN_QUERIES, **cells) -> DataFrame:
-    """The ``k`` nearest index rows of every query: ``keys, rank, id, distance, carry``."""
-    # Rows without a vector are left out where the vectors are read: a filter here would compute them twice.
+        vec_col: str = "embedding", query_col: str = "qvec", carry: Sequence[str] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The ``k`` nearest index rows of every query: ``keys, rank, id, distance, carry``.
+
+    Rows of either side without a usable vector are left out; vectors of unequal length are an error.
+    """
     index, queries = index.select(id_col, vec_col, *carry), queries.select(*keys, query_col)
-    asked = queries.limit(max_scan_queries + 1).toArrow()
-    dim = max((len(v) for v in asked[query_col][:100] if v.is_valid), default=0)
-    if asked.num_rows <= max_scan_queries and asked.num_rows * dim <= MAX_SCAN_VALUES:
-        rows = _scan(index, queries, asked, k, keys, id_col, vec_col, query_col, carry)
-    else:
-        rows = _cells(index, queries, k, keys, id_col, vec_col, query_col, carry, **cells)
-    return _rank(rows, keys, id_col, k, carry)
+    asked = queries.filter(is_vector(F.col(query_col)))
+    n, least, dim = asked.agg(F.count(F.lit(1)), F.min(F.size(query_col)), F.max(F.size(query_col))).first()
+    if least != dim:
+        raise ValueError(f"query vectors of {least} to {dim} elements cannot be compared")
+    blocks = max(1, -(-n * (dim or 0) * 8 // block_bytes))
+    if blocks == 1:
+        return _rank(_scan(index, queries, queries.toArrow(), k, keys, id_col, vec_col, query_col, carry), keys, id_col, k, carry)
+    # Each block of questions passes over the index once; what it found is appended to one table.
+    queries = cut_lineage(asked.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks))))
+    path = run_dir(index.sparkSession, "nearest")
+    for number in range(blocks):
+        block = queries.filter(F.col("_block") == number).drop("_block")
+        found = _scan(index, block, block.toArrow(), k, keys, id_col, vec_col, query_col, carry)
+        ranked = _rank(found, keys, id_col, k, carry)
+        ranked.write.mode("append").parquet(path)
+    return index.sparkSession.read.schema(ranked.schema).parquet(path)
 
 
 def _scan(index, queries, asked: pa.Table, k, keys, id_col, vec_col, query_col, carry) -> DataFrame:
@@ -222,88 +247,6 @@ def _scan(index, queries, asked: pa.Table, k, keys, id_col, vec_col, query_col,
             if best is not None:
                 yield from _answer(best, names, arrow).to_batches()
 
-    # Every task answers with up to k rows per question, so very many small splits are read by fewer tasks.
-    return index.coalesce(max(MIN_SCAN_TASKS, 4 * sc.defaultParallelism)).mapInArrow(search, schema)
-
-
-def _pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Plain L2 distance of every vector to every pivot, and a bound on the rounding of each vector's row."""
-    norms, sizes = (vectors**2).sum(axis=1), (pivots**2).sum(axis=1)
-    squares = norms[:, None] + sizes[None, :] - 2.0 * (vectors @ pivots.T)
-    slack = np.sqrt(8 * (pivots.shape[1] + 8) * EPS * (norms + sizes.max()))
-    return np.sqrt(np.maximum(squares, 0.0)), slack
-
-
-def _cells(index, queries, k, keys, id_col, vec_col, query_col, carry, pivots: int = PIVOTS,
-           slab_rows: int = SLAB_ROWS, group_queries: int = MAX_SCAN_QUERIES) -> DataFrame:
-    spark = index.sparkSession
-    schema = _output_schema(index, queries, keys, id_col, carry)
-    arrow = _arrow_schema(schema)
-
-    # A bounded number of pivots, chosen by hash so that a repeated task chooses the same ones.
-    chosen = index.orderBy(F.xxhash64(F.col(id_col)), id_col).select(vec_col).limit(pivots).toArrow()
-    centres = _matrix(_with_vectors(chosen, vec_col)[vec_col])
-    if len(centres) == 0:
-        return spark.createDataFrame([], schema)
-
-    @F.arrow_udf(PLACE)
-    def nearest(rows: pa.Array) -> pa.Array:
-        to, slack = _pivot_distances(_matrix(rows.drop_null()), centres)
-        known = rows.is_valid().to_numpy(zero_copy_only=False)
-        cell, reach = np.full(len(rows), -1, np.int32), np.full(len(rows), np.nan)
-        cell[known] = to.argmin(axis=1)
-        reach[known] = to.min(axis=1, initial=np.inf) + slack
-        return pa.StructArray.from_arrays([pa.array(cell), pa.array(reach)], names=["cell", "reach"])
-
-    placed = index.withColumn("_place", nearest(F.col(vec_col)))
-    # Two numbers per row, written once: how far each cell reaches, and its k innermost rows.
-    places = cut_lineage(placed.select("_place.*")).filter("cell >= 0")
-    near = places.withColumn("_n", F.row_number().over(Window.partitionBy("cell").orderBy("reach"))).filter(F.col("_n") <= k)
-    radii = near.groupBy("cell").agg(F.array_sort(F.collect_list("reach")).alias("inner"))
-    sizes = places.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("outer"))
-    # At most one row per pivot, each with at most k radii.
-    stats = sizes.join(radii, "cell").collect()
-    outer = np.full(len(centres), -np.inf)
-    slabs = np.zeros(len(centres), np.int64)
-    inner = [np.zeros(0)] * len(centres)
-    for row in stats:
-        outer[row["cell"]], inner[row["cell"]] = row["outer"], np.asarray(row["inner"])
-        slabs[row["cell"]] = -(-row["n"] // slab_rows)
-    owner = np.repeat(np.arange(len(centres)), [len(r) for r in inner])
-    reach = np.concatenate(inner)
-
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def visits(vectors: pa.Array) -> pa.Array:
-        out = []
-        for to, slack in zip(*_pivot_distances(_matrix(vectors.drop_null()), centres)):
-            upper = np.sort(to[owner] + reach)
-            limit = upper[k - 1] + slack if len(upper) >= k else np.inf
-            out.append(np.flatnonzero(to - slack - outer <= limit * (1 + 1e-9)).astype(np.int32))
-        places = np.cumsum(vectors.is_valid().to_numpy(zero_copy_only=False)) - 1
-        return pa.array([out[i] if v.is_valid else None for i, v in zip(places, vectors)], pa.list_(pa.int32()))
-
-    asked = queries.withColumn("_cells", visits(F.col(query_col)))
-    asked = unnest(asked, [*keys, query_col], "_cells", "_at", "cell").drop("_at")
-    visitors = np.zeros(len(centres), np.int64)
-    for row in asked.groupBy("cell").count().collect():  # at most one row per pivot
-        visitors[row["cell"]] = row["count"]
-    groups = np.maximum(1, -(-visitors // group_queries))
-    slab_of, group_of = (F.array(*[F.lit(int(v)) for v in counts]) for counts in (np.maximum(1, slabs), groups))
-
-    def spread_by(columns, counts: Column) -> Column:
-        return F.pmod(F.xxhash64(*columns), F.get(counts, F.col("cell"))).cast("int")
-
-    def every(counts: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), (F.get(counts, F.col("cell")) - 1).cast("int")))
-
-    left = placed.withColumn("cell", F.col("_place.cell")).drop("_place").withColumn("slab", spread_by([F.col(id_col)], slab_of)).withColumn("grp", every(group_of))
-    right = asked.withColumn("grp", spread_by([F.col(c) for c in keys], group_of)).withColumn("slab", every(slab_of))
-
-    def search(rows: pa.Table, questions: pa.Table) -> pa.Table:
-        best = None
-        if rows.num_rows and questions.num_rows:
-            best = _local_best(rows.to_batches(10_000), _Questions(_matrix(questions[query_col])), k, vec_col, id_col, carry)
-        return arrow.empty_table() if best is None else _answer(best, questions.select(list(keys)), arrow)
-
-    place = ["cell", "slab", "grp"]
-    return left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(search, schema)
+    # Every task answers with up to k rows per question, so several small splits are read by one task.
+    splits = index.rdd.getNumPartitions()
+    return index.coalesce(max(4 * sc.defaultParallelism, -(-splits // SPLITS_PER_TASK))).mapInArrow(search, schema)

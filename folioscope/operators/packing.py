@@ -21,7 +21,7 @@ from folioscope.functions.rows import unnest
 from folioscope.operators.blocks import STRIPE_ROWS, classify_blocks, split_long_pages, units
 from folioscope.operators.joins import join_chosen
 from folioscope.operators.running import running_sums
-from folioscope.session import cut_lineage, fits_rows
+from folioscope.session import cut_lineage, has_rows
 
 NO_TEXTS = "cast(array() as array<string>)"
 
@@ -121,7 +121,7 @@ def _pack_stripes(ops: DataFrame, max_tokens: int, stripe_rows: int) -> DataFram
         handed = folded.filter(F.col("next").isNotNull()).select("page_id", F.col("next").alias("stripe"), ends.alias("handed"))
         changed = cut_lineage(folded.select(*place, "entry").join(handed, place).filter(F.col("entry") != F.col("handed")).select(
             *place, F.col("handed").alias("entry")))
-        if fits_rows(changed, 0):
+        if not has_rows(changed):
             break
         # Only stripes that are entered differently are folded again.
         again = fold(join_chosen(stripes, changed, place, salt_by=place))

@@ -11,6 +11,7 @@ from folioscope.operators.knn import squared_l2
 
 # Each broadcast row carries a question vector.
 MAX_VECTOR_ROWS = 20_000
+MAX_VECTOR_BYTES = 64 << 20
 
 
 def chunks_of(shortlist: DataFrame, chunk_index: DataFrame, on: str = "doc_id", **bounds) -> DataFrame:
@@ -21,6 +22,8 @@ def chunks_of(shortlist: DataFrame, chunk_index: DataFrame, on: str = "doc_id",
 def knn_within(chunk_index: DataFrame, questions: DataFrame, shortlist: DataFrame, k: int = 50, qid: str = "qid",
                vec_col: str = "embedding", query_col: str = "qvec", max_rows: int = MAX_VECTOR_ROWS, **bounds) -> DataFrame:
     """The ``k`` nearest chunks of each shortlisted document: the shortlist row, then ``rank``, the chunk, ``distance``."""
+    dim = questions.agg(F.max(F.size(query_col))).first()[0] or 1
+    max_rows = min(max_rows, MAX_VECTOR_BYTES // (8 * dim))
     wanted = shortlist.join(questions.select(qid, query_col), qid)
     pairs = chunks_of(wanted, chunk_index, counted=shortlist, max_rows=max_rows, **bounds)
     # Distances are computed where the chunk is read; the vectors are dropped before anything is shuffled.

@@ -102,7 +102,8 @@ def transcript(questions: DataFrame, summary_index: DataFrame, chunk_index: Data
                cfg: AnswerConfig = AnswerConfig(), parallelism: int = 5) -> DataFrame:
     """What the asker sees, ``qid, seq, role, content`` and usage: 0 the search queries, 1 the documents considered, 2 the answer.
 
-    Messages that called no model have no usage. Both models are called once per question.
+    A question that found no documents is told so at 1 and has no 2. Messages that called no model have no usage. Both
+    models are called once per question.
     """
     counts = ["completion_tokens", "prompt_tokens", "response_us"]
     expanded = cut_lineage(expand_questions(questions, expand, parallelism))
@@ -115,17 +116,18 @@ def transcript(questions: DataFrame, summary_index: DataFrame, chunk_index: Data
         return rows.select("qid", F.lit(seq).alias("seq"), (F.lit(role) if isinstance(role, str) else role).alias("role"), content.alias("content"),
                            *[(F.col(c) if usage else none).alias(c) for c in counts])
 
-    # Fixed value: the text around the search queries.
+    # The text around the search queries, and what is said without documents.
     asked = query_report(queries).join(expanded.select("qid", *counts), "qid")
+    considered = expanded.select("qid").join(shortlist_report(chosen), "qid", "left").withColumn("report", F.coalesce("report", F.lit("No relevant documents found.\n")))
     return (
         said(asked, 0, "system", F.concat(F.lit("Expanding your queries: \n "), F.col("queries"), F.lit("\n")), True)
-        .unionByName(said(shortlist_report(chosen), 1, "system", F.col("report"), False))
+        .unionByName(said(considered, 1, "system", F.col("report"), False))
         .unionByName(said(replies, 2, F.col("reply_role"), F.col("reply_content"), True))
     )
 
 
 def answer(questions: DataFrame, summary_index: DataFrame, chunk_index: DataFrame, expand: Completion, reply: Completion,
            cfg: AnswerConfig = AnswerConfig(), parallelism: int = 5) -> DataFrame:
-    """``qid, answer`` with the usage of both model calls added up per question."""
+    """``qid, answer`` of every question, null if it found no documents, with the usage of its model calls added up."""
     said = transcript(questions, summary_index, chunk_index, expand, reply, cfg, parallelism)
-    return usage_by(said, ["qid"], "response_us", F.max(F.when(F.col("seq") == 2, F.col("content"))).alias("answer")).filter(F.col("answer").isNotNull())
+    return usage_by(said, ["qid"], "response_us", F.max(F.when(F.col("seq") == 2, F.col("content"))).alias("answer"))

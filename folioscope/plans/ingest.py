@@ -13,21 +13,22 @@ from folioscope.operators.blocks import read_blocks
 from folioscope.operators.embedding import embed
 from folioscope.operators.packing import pack_chunks
 from folioscope.operators.summary import base_metadata, summarize
-from folioscope.schema import CHUNK_INDEX, MARKS, SUMMARY_INDEX
+from folioscope.schema import CHUNK_INDEX, MARKS, SEEN, SUMMARY_INDEX
 from folioscope.session import cut_lineage
 from folioscope.sources.pages import changed_pages, fetch_pages, page_blocks, project_metadata
-from folioscope.sources.tables import open_index, read_mark, stamp, stamp_text, write_batch, write_mark
+from folioscope.sources.tables import latest_per_key, open_index, read_mark, stamp, stamp_text, write_batch, write_mark
 
 
 @dataclass
 class LoaderConfig:
-    """How one source is read. ``metadata`` maps keys of the index to property names."""
+    """How one source is read. ``metadata`` maps keys of the index to property names; edits are stamped to ``granularity_s``."""
 
     title: str = "Title"
     edited: str | None = "Last edited time"
     metadata: dict[str, str] = field(default_factory=dict)
     max_tokens: int = 1024
     max_blocks: int | None = None
+    granularity_s: int = 60
     encode: Callable[[str], Sequence] | None = None
 
 
@@ -61,11 +62,12 @@ def chunked_docs(described: DataFrame, packed: DataFrame) -> DataFrame:
 def chunk_rows(chunks: DataFrame) -> DataFrame:
     """Index rows without vectors of ``id, doc_id, chunk_id, title, last_edited_time, metadata, document``.
 
-    User metadata overwrites the built-in keys, the document id included, which is what a lookup by document reads.
+    User metadata overwrites the built-in keys, the ids of document and chunk included: look-ups by document and the
+    order of snippets read the merged values. A chunk id that is no number leaves the chunk's own.
     """
     merged = merge_metadata(base_metadata("title", "last_edited_time", "doc_id", "chunk_id"), F.col("metadata"))
     return chunks.withColumn("metadata", merged).select(
-        "id", F.col("metadata")["doc_id"].alias("doc_id"), F.col("chunk_id").cast("int").alias("chunk_id"), "metadata", "document")
+        "id", F.col("metadata")["doc_id"].alias("doc_id"), F.coalesce(F.col("metadata")["chunk_id"].try_cast("int"), F.col("chunk_id").cast("int")).alias("chunk_id"), "metadata", "document")
 
 
 def build_chunk_index(described: DataFrame, packed: DataFrame, index: IndexConfig = IndexConfig()) -> DataFrame:
@@ -96,9 +98,12 @@ def feed_indexes(pages: DataFrame, blocks: DataFrame, root: str, kinds: Sequence
                  index: IndexConfig = IndexConfig(), lookup: DataFrame | None = None, tag: str = "") -> None:
     """Upsert the given pages into every index below ``root``. Pages are described and packed once for all of them."""
     described = cut_lineage(described_pages(pages, cfg, lookup))
-    packed = cut_lineage(packed_chunks(page_blocks(blocks, described.select(F.col("id").alias("page_id")), cfg.max_blocks), cfg))
-    for kind in kinds:
-        write_batch(index_rows(kind, described, packed, index), f"{root}/{kind}", tag)
+    packed = packed_chunks(page_blocks(blocks, described.select(F.col("id").alias("page_id")), cfg.max_blocks), cfg)
+    for kind in sorted(kinds):  # the chunk index first: what it wrote is what summaries are made of
+        folder = write_batch(index_rows(kind, described, packed, index), f"{root}/{kind}", tag)
+        if kind == "chunk":
+            stored = pages.sparkSession.read.schema(CHUNK_INDEX).parquet(folder)
+            packed = stored.select(F.regexp_replace("id", "_[^_]*$", "").alias("page_id"), "chunk_id", F.col("document").alias("text"))
 
 
 @dataclass
@@ -116,21 +121,30 @@ def run_ingest(spark: SparkSession, sources: Sequence[Source], root: str, index:
     """Feed every source's edited pages to its indexes below ``root``; says which sources had any.
 
     The mark of a source moves to the newest edit that was read, and only after all its indexes are written, so a run
-    that fails is repeated from the old mark; repeated upserts change nothing.
+    that fails is repeated from the old mark; repeated upserts change nothing. Since stamps are no finer than the source's
+    granularity, the next run looks back by that much and leaves out what it has read: an edit that shows up later with the
+    stamp of the mark is not lost.
     """
     fed = {}
     for source in sources:
         state = open_index(spark, f"{root}/marks", MARKS, "loader")
         name = spark.range(1).select(F.lit(source.name).alias("loader"))
-        mark = read_mark(state, name).select(stamp_text(F.col("ts"))).first()[0]
-        ids = cut_lineage(changed_pages(source.pages, stamp(F.lit(mark)), keep=["last_edited"]))
+        back = F.expr(f"interval {source.config.granularity_s} seconds")
+        mark, after = read_mark(state, name).select(stamp_text(F.col("ts")), stamp_text(F.col("ts") - back)).first()
+        seen = open_index(spark, f"{root}/seen", SEEN, ["loader", "page_id"]).filter(F.col("loader") == source.name)
+        changed = changed_pages(source.pages, stamp(F.lit(after)), keep=["last_edited"])
+        unread = changed.join(seen.select("page_id", F.col("last_edited").cast(changed.schema["last_edited"].dataType).alias("last_edited")), ["page_id", "last_edited"], "left_anti")
+        ids = cut_lineage(unread)
         newest = ids.select(stamp_text(F.max("last_edited"))).first()[0]
         fed[source.name] = newest is not None
         if newest is None:
             continue
         pages = fetch_pages(source.pages, ids)
         feed_indexes(pages, source.blocks, root, source.indexes, source.config, index, source.pages)
-        write_mark(name.withColumn("ts", stamp(F.lit(newest))), f"{root}/marks")
+        moved = max(mark, newest)  # texts of one zone, so they sort as times do
+        recent = ids.filter(F.col("last_edited") > stamp(F.lit(moved)) - back).select(F.lit(source.name).alias("loader"), "page_id", F.col("last_edited").cast("timestamp"))
+        write_batch(latest_per_key(recent, ["loader", "page_id"], ["last_edited"]), f"{root}/seen")
+        write_mark(name.withColumn("ts", stamp(F.lit(moved))), f"{root}/marks")
     return fed
 
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+
+INITIAL_PARTITIONS = 20_000
 
 
 def build_session(app: str = "folioscope", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -17,6 +21,9 @@ def build_session(app: str = "folioscope", master: str | None = None, shuffle_pa
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Adaptive execution only merges partitions, so it starts from many unless their number is given.
+        .config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(shuffle_partitions or INITIAL_PARTITIONS))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
@@ -32,8 +39,15 @@ def _temporary_dir() -> str:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or _temporary_dir()
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary one if all tasks run in this process, and an error on a cluster, whose executors would not see it.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        path = _temporary_dir()
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -50,9 +64,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits_rows(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no further than that."""
-    return df.select().limit(max_rows + 1).count() <= max_rows
+def has_rows(df: DataFrame) -> bool:
+    return bool(df.select().head(1))
+
+
+def _width(field: T.StructField) -> Column:
+    """About how many bytes a value takes."""
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.octet_length(column)
+    if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, (T.NumericType, T.BooleanType)):
+        return F.size(column) * 8
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return F.octet_length(F.to_json(column))
+    return F.lit(8)
+
+
+def fits(df: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and about ``max_bytes`` bytes; reads no further than the rows."""
+    width = sum((F.coalesce(_width(f), F.lit(0)).cast("long") for f in df.schema.fields), F.lit(16).cast("long"))
+    rows, size = df.select(width.alias("w")).limit(max_rows + 1).agg(F.count("w"), F.sum("w")).first()
+    return rows <= max_rows and (size or 0) <= max_bytes
 
 
 def spread(df: DataFrame) -> DataFrame:

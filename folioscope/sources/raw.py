@@ -21,7 +21,9 @@ def parse_block(block: Column) -> Column:
     """``btype, rich_text, caption, expression`` of a block object, which keeps its content under the key its ``type`` names."""
     btype = F.get_json_object(block, "$.type")
     body = F.from_json(F.call_function("get_json_object", block, F.concat(F.lit("$."), btype)), BODY)
-    return F.struct(btype.alias("btype"), *[body[f].alias(f) for f in ("rich_text", "caption", "expression")])
+    # Parts of a caption are objects like those of a text, or plain strings.
+    caption = F.transform(body["caption"], lambda c: F.coalesce(F.when(c.startswith("{"), F.get_json_object(c, "$.plain_text")), c))
+    return F.struct(btype.alias("btype"), body["rich_text"].alias("rich_text"), caption.alias("caption"), body["expression"].alias("expression"))
 
 
 def raw_blocks(df: DataFrame, blocks: str = "blocks", page_id: str = "page_id") -> DataFrame:

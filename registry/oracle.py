@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import re
 
-from folioscope.operators.blocks import BREAKS, CONTENT, HEADINGS, IGNORED, LIST_ITEMS
 from folioscope.operators.context import ANSWER_INSTRUCTIONS
 from folioscope.operators.summary import SUMMARY_INSTRUCTIONS
 from registry.views import CONFIG, MARK, MAX_TOKENS
 
+# Fixed values, written out here so that the SQL does not follow the library's lists.
+CONTENT = "bookmark callout code equation paragraph quote toggle".split()
+LIST_ITEMS = "bulleted_list_item numbered_list_item to_do".split()
+HEADINGS = "heading_1 heading_2 heading_3".split()
+BREAKS = "divider table_of_contents".split()
+IGNORED = "breadcrumb child_database child_page column column_list embed file image link_preview link_to_page mention pdf synced_block table table_row template unsupported video".split()
+
 
 def _in(names: list[str]) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
@@ -37,8 +43,10 @@ NO_TEXTS = "CAST([] AS VARCHAR[])"
 CTES = {
     "edits": "SELECT user_id AS page_id, event_id AS edit_id, ts AS last_edited, event_type AS title, value FROM events",
     "blocks": r"""
-    SELECT doc_id, pos, CASE WHEN pos = 0 THEN 'heading_1' WHEN pos % 11 = 5 THEN 'divider' WHEN pos % 7 IN (2, 3) THEN 'bulleted_list_item'
-                             WHEN pos % 13 = 12 THEN 'image' ELSE 'paragraph' END AS btype,
+    SELECT doc_id, pos, CASE WHEN pos = 0 THEN 'heading_1' WHEN pos = 1 THEN 'heading_2' WHEN pos % 7 = 2 OR pos % 14 = 3 THEN 'bulleted_list_item'
+      WHEN pos % 14 = 10 THEN 'numbered_list_item' WHEN pos % 11 = 5 THEN 'divider' WHEN pos % 3 <> 0 THEN string_split(
+        'bookmark breadcrumb bulleted_list_item callout child_database child_page code column column_list divider embed equation file heading_1 heading_2 heading_3 image link_preview link_to_page mention numbered_list_item paragraph pdf quote synced_block table table_of_contents table_row template to_do toggle unsupported video new_type', ' ')[pos % 34 + 1]
+      ELSE 'paragraph' END AS btype,
            txt, len(regexp_extract_all(txt, '\S+')) AS n_tok
     FROM (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS pos, unnest(l) AS txt
           FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""",
@@ -192,8 +200,24 @@ BODIES = {
     "ingest_by_loader": _newest(f"""(SELECT e.page_id, e.edit_id, e.last_edited, e.title AS loader FROM edits e LEFT JOIN
       (SELECT title, max(last_edited) AS ts FROM edits WHERE last_edited <= TIMESTAMP '{MARK}' GROUP BY title) m ON m.title = e.title
       WHERE e.last_edited > coalesce(m.ts, TIMESTAMP '1970-01-01 00:00:00'))""", "loader, page_id", "loader, page_id, edit_id"),
-    "fetch_pages": "SELECT doc_id, source, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "fetch_pages": "SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "page_blocks": "SELECT doc_id, pos, txt FROM blocks WHERE doc_id IN (SELECT doc_id FROM labels)",
+    "page_blocks_first": "SELECT doc_id, pos, txt FROM blocks WHERE pos < 3",
+    "mark_text": """SELECT title AS loader, strftime(max(last_edited) - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS mark FROM edits GROUP BY title
+      UNION ALL SELECT 'never_run', '1970-01-01T00:00:00.000000+00:00'""",
+    "index_upsert": _newest("edits", "page_id", "page_id, edit_id, title"),
+    "ingest_chunks": rf"""SELECT c.id, c.doc_id, c.chunk_id, CASE WHEN c.doc_id % 2 = 1 THEN t.source || ' ' || t.lang ELSE t.title END AS title,
+      CASE WHEN c.doc_id % 2 = 0 THEN t.source || ' ' || t.lang END AS source, '2024-02-' || lpad(CAST(c.doc_id % 28 + 1 AS VARCHAR), 2, '0') AS last_edited_time,
+      c.text AS document, len(regexp_extract_all(lower(c.text), '[\p{{L}}\p{{N}}]+')) AS n_words FROM chunks c JOIN titles t ON t.doc_id = c.doc_id""",
+    "ingest_summaries": rf"""SELECT doc_id, title, source, document, len(regexp_extract_all(lower(document), '[\p{{L}}\p{{N}}]+')) AS n_words FROM (
+      SELECT t.doc_id, CASE WHEN t.doc_id % 2 = 1 THEN t.source || ' ' || t.lang ELSE t.title END AS title, CASE WHEN t.doc_id % 2 = 0 THEN t.source || ' ' || t.lang END AS source,
+        {_lead("coalesce(r.text, '')")} AS document FROM titles t LEFT JOIN rebuilt r ON r.doc_id = t.doc_id)""",
+    "ingest_sources": """SELECT loader, n_chunks, n_summaries, 1709251200 + 60 * newest AS mark_s, true AS fed_once FROM
+      (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS loader, count(*) AS n_summaries, max(doc_id) AS newest FROM documents GROUP BY 1)
+      JOIN (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS loader, count(*) AS n_chunks FROM chunks GROUP BY 1) USING (loader)""",
+    "embedding_hook": "SELECT doc_id, length(text) AS n_chars, length(text) - length(replace(text, ' ', '')) AS n_blanks FROM documents",
+    "summary_usage": rf"""SELECT CAST(c AS BIGINT) AS completion_tokens, CAST(c + p AS BIGINT) AS prompt_tokens, CAST(2 * c + p AS BIGINT) AS total_tokens FROM
+      (SELECT sum(len(regexp_extract_all(text, '\S+'))) AS c, count(*) * len(regexp_extract_all({_text(SUMMARY_INSTRUCTIONS)}, '\S+')) AS p FROM rebuilt)""",
     "stream_ingest": _newest("edits", "page_id", "page_id, edit_id, title"),
     "props": f"""SELECT doc_id, 'title' AS key, title AS value FROM titles UNION ALL SELECT doc_id, 'source', source || ' ' || lang FROM documents
       UNION ALL SELECT doc_id, 'edited', '2024-02-' || {DATE} FROM documents UNION ALL SELECT doc_id, 'date', '2024-01-' || {DATE} FROM documents WHERE doc_id % 5 <> 0""",
@@ -229,6 +253,11 @@ BODIES = {
         SELECT q.item_id, d.doc_id, CAST(q.n + d.n - 2 * coalesce(t.dot, 0) AS DOUBLE) AS distance FROM question_norm q CROSS JOIN document_norm d
         LEFT JOIN (SELECT item_id, doc_id, sum(q.tf * d.tf) AS dot FROM question_tf q JOIN document_tf d USING (bucket) GROUP BY ALL) t
         ON t.item_id = q.item_id AND t.doc_id = d.doc_id)) WHERE rank <= 5""",
+    "text_knn_full": """SELECT item_id, rank, doc_id, distance FROM (
+      SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, doc_id) AS rank FROM (
+        SELECT q.item_id, d.doc_id, CAST(q.n + d.n - 2 * coalesce(t.dot, 0) AS DOUBLE) AS distance FROM question_norm q CROSS JOIN document_norm d
+        LEFT JOIN (SELECT item_id, doc_id, sum(q.tf * d.tf) AS dot FROM question_tf q JOIN document_tf d USING (bucket) GROUP BY ALL) t
+        ON t.item_id = q.item_id AND t.doc_id = d.doc_id)) WHERE rank <= 20""",
     "vector_knn": VECTOR_KNN,
     "vector_knn_cells": VECTOR_KNN,
     "fused_scores": "SELECT qid, doc_id, title, score FROM fused",
@@ -255,8 +284,8 @@ BODIES = {
     "requests": """SELECT conv_id, turn, CAST(0 AS BIGINT) AS seq, 'system' AS role, 'go on' AS content FROM conversations
       UNION ALL SELECT conv_id, turn, 1, role, text FROM conversations""",
     "replies": "SELECT conv_id, turn, ok, content, role || ': ' || content AS rendered FROM stripped",
-    "completions": r"""SELECT conv_id, turn, 'assistant' AS reply_role, text AS reply_content, len(regexp_extract_all(text, '\S+')) AS completion_tokens,
-      len(regexp_extract_all(text, '\S+')) AS prompt_tokens FROM conversations WHERE role = 'user'""",
+    "completions": r"""SELECT conv_id, 'assistant' AS reply_role, reply AS reply_content, len(regexp_extract_all(reply, '\S+')) AS completion_tokens, CAST(words AS BIGINT) AS prompt_tokens FROM
+      (SELECT conv_id, coalesce(arg_max(text, turn) FILTER (role = 'user'), '') AS reply, sum(len(regexp_extract_all(text, '\S+'))) AS words FROM conversations GROUP BY conv_id)""",
     "usage": _usage("qid, model"),
     "usage_by_model": _usage("model"),
     "running_usage": f"""SELECT qid, turn, model, CAST(sum(completion_tokens) {RUNNING} AS BIGINT) AS completion_tokens, CAST(sum(prompt_tokens) {RUNNING} AS BIGINT) AS prompt_tokens,
@@ -264,3 +293,4 @@ BODIES = {
 }
 
 ORACLE = {name: _with(body) for name, body in BODIES.items()}
+ORACLE["chunks_full"] = _with("SELECT doc_id, chunk_id, text FROM chunks").replace(f"> {MAX_TOKENS}", "> 1024")

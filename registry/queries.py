@@ -15,18 +15,19 @@ from folioscope.operators.blocks import classify_blocks, group_runs, read_blocks
 from folioscope.operators.context import assemble_context, build_prompt, number_context
 from folioscope.operators.embedding import embed, term_counts
 from folioscope.operators.knn import knn
-from folioscope.operators.packing import chunk_arrays
+from folioscope.operators.packing import chunk_arrays, pack_chunks
 from folioscope.operators.ranking import fuse, query_report, reciprocal_rank, shortlist, shortlist_report
 from folioscope.operators.relations import resolve_relations
 from folioscope.operators.snippets import reassemble
 from folioscope.operators.summary import base_metadata, build_summary_prompt, full_text, summarize
 from folioscope.operators.usage import running_usage, usage_by
 from folioscope.plans.answer import nearest_snippets, retrieve_snippets, shortlist_vectors, split_queries, transcript
-from folioscope.plans.ingest import chunk_rows
+from folioscope.plans.ingest import LoaderConfig, Source, chunk_rows, open_indexes, run_ingest
+from folioscope.schema import MARKS
 from folioscope.session import cut_lineage, run_dir
 from folioscope.sources.pages import changed_by_loader, changed_pages, fetch_pages, page_blocks, project_metadata
 from folioscope.sources.raw import raw_blocks
-from folioscope.sources.tables import advance_mark, latest_per_key, open_index, read_mark, upsert
+from folioscope.sources.tables import advance_mark, compact, latest_per_key, open_index, read_mark, stamp, stamp_text, upsert, write_batch, write_mark
 from folioscope.streaming.ingest import ingest_stream
 from registry import views as V
 
@@ -83,7 +84,7 @@ def q_ingest_by_loader(spark, sf):
 
 def q_fetch_pages(spark, sf):
     ids = V.table(spark, sf, "labels").filter("toxic = 1")
-    return fetch_pages(V.table(spark, sf, "documents").select("doc_id", "source", "lang"), ids, "doc_id")
+    return fetch_pages(V.table(spark, sf, "documents"), ids, "doc_id")
 
 
 def q_page_blocks(spark, sf):
@@ -91,6 +92,73 @@ def q_page_blocks(spark, sf):
     return _doc_id(page_blocks(V.blocks(spark, sf), pages)).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("text").alias("txt"))
 
 
+def q_page_blocks_first(spark, sf):
+    """The first blocks of every page, as one listing call of the source holds them."""
+    blocks = page_blocks(V.blocks(spark, sf), V.documents(spark, sf).select(F.col("doc_id").cast("string").alias("page_id")), 3)
+    return _doc_id(blocks).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("text").alias("txt"))
+
+
+def q_mark_text(spark, sf):
+    """Marks from stamps with a zone, through a stored table, back to text."""
+    zoned = V.edits(spark, sf).select(F.col("title").alias("loader"), stamp(F.concat(F.date_format("last_edited", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+02:00"))).alias("ts"))
+    path = run_dir(spark, "marks")
+    write_mark(zoned.groupBy("loader").agg(F.max("ts").alias("ts")), path)
+    marks = read_mark(open_index(spark, path, MARKS, "loader"), _loaders(V.edits(spark, sf)))
+    return marks.select("loader", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.substring(stamp_text(F.col("ts")), 27, 6)).alias("mark"))
+
+
+def q_index_upsert(spark, sf):
+    """A table written in three upserts and compacted in between, opened again and read."""
+    edits = V.edits(spark, sf)
+    path = run_dir(spark, "edits-table")
+    third = F.pmod(F.xxhash64("edit_id"), F.lit(3))
+    for part in range(3):
+        write_batch(latest_per_key(edits.filter(third == part), "page_id", EDIT), path)
+        if part == 1:
+            compact(spark, path, edits.schema, "page_id", EDIT)
+    return open_index(spark, path, edits.schema, "page_id", EDIT).select("page_id", "edit_id", "title")
+
+
+def _ingested(spark, sf) -> tuple[dict[str, bool], str]:
+    """Two sources read from end to end into both indexes; a second run finds nothing new."""
+    root, pages, blocks = run_dir(spark, "ingest"), V.pages(spark, sf), V.rich_blocks(spark, sf)
+    number = F.col("page_id").cast("bigint")
+    sources = [Source(name, pages.filter(number % 2 == rest), blocks, LoaderConfig(edited="Edited", metadata=metadata, max_tokens=V.MAX_TOKENS))
+               for name, rest, metadata in (("even", 0, {"source": "Source"}), ("odd", 1, {"title": "Source"}))]
+    fed = run_ingest(spark, sources, root)
+    again = run_ingest(spark, sources, root)
+    return {name: fed[name] and not again[name] for name in fed}, root
+
+
+def _vector_total(embedding: str = "embedding"):
+    return F.aggregate(embedding, F.lit(0.0), lambda a, x: a + x).cast("bigint")
+
+
+def q_ingest_chunks(spark, sf):
+    rows = open_indexes(spark, _ingested(spark, sf)[1])["chunk"]
+    meta = F.col("metadata")
+    return rows.select("id", F.col("doc_id").cast("bigint").alias("doc_id"), F.col("chunk_id").cast("bigint").alias("chunk_id"), meta["title"].alias("title"),
+                       meta["source"].alias("source"), meta["last_edited_time"].alias("last_edited_time"), "document", _vector_total().alias("n_words"))
+
+
+def q_ingest_summaries(spark, sf):
+    rows = open_indexes(spark, _ingested(spark, sf)[1])["summary"]
+    meta = F.col("metadata")
+    return rows.select(F.col("id").cast("bigint").alias("doc_id"), meta["title"].alias("title"), meta["source"].alias("source"), "document", _vector_total().alias("n_words"))
+
+
+def q_ingest_sources(spark, sf):
+    """Where each source's mark stands after the run, and how many rows it fed to each index."""
+    fed, root = _ingested(spark, sf)
+    indexes = open_indexes(spark, root)
+    rows = indexes["chunk"].select("doc_id", F.lit(1).alias("chunk")).unionByName(indexes["summary"].select(F.col("id").alias("doc_id"), F.lit(0).alias("chunk")))
+    name = F.when(F.col("doc_id").cast("bigint") % 2 == 0, "even").otherwise("odd")
+    counts = rows.groupBy(name.alias("loader")).agg(F.sum("chunk").alias("n_chunks"), F.sum(1 - F.col("chunk")).alias("n_summaries"))
+    marks = open_index(spark, f"{root}/marks", MARKS, "loader").select("loader", F.unix_seconds("ts").alias("mark_s"))
+    once = F.col("loader").isin([n for n, ok in fed.items() if ok])
+    return counts.join(marks, "loader").select("loader", "n_chunks", "n_summaries", "mark_s", once.alias("fed_once"))
+
+
 def q_stream_ingest(spark, sf):
     """The edit log arrives as a folder of files and is upserted file by file."""
     edits = V.edits(spark, sf)
@@ -176,6 +244,12 @@ def q_block_runs(spark, sf):
     return _doc_id(group_runs(V.blocks(spark, sf))).select("doc_id", "run", "kind", "text", F.col("n_tokens").alias("n_tok"))
 
 
+def q_chunks_full(spark, sf):
+    """At the default chunk size."""
+    packed = pack_chunks(V.blocks(spark, sf), LoaderConfig().max_tokens)
+    return _doc_id(packed).select("doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "text")
+
+
 def q_chunks(spark, sf):
     return V.chunk_rows(spark, sf).select("id", "doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("document").alias("text"))
 
@@ -215,6 +289,12 @@ def q_summary_index(spark, sf):
     return rows.select("id", F.col("metadata")["title"].alias("title"), F.col("metadata")["source"].alias("source"), "document")
 
 
+def q_summary_usage(spark, sf):
+    """What summaries cost: the counts of every call, added up."""
+    rows = summarize(_docs(spark, sf), lead_reply, options={}, usage=True)
+    return usage_by(rows.withColumn("response_us", F.lit(0).cast("bigint")), [], "response_us").drop("response_us")
+
+
 def q_lead_summary(spark, sf):
     docs = V.titled(V.documents(spark, sf))
     return docs.select(F.col("doc_id").alias("id"), "title", lead_sentences(F.col("text")).alias("document"))
@@ -228,6 +308,19 @@ def q_text_vectors(spark, sf):
     return rows.select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), "tf")
 
 
+def q_embedding_hook(spark, sf):
+    """Vectors of a function of the user's: characters and blanks of every text."""
+    rows = embed(V.documents(spark, sf).select("doc_id", "text"), "text", fn=lambda texts: [(len(t), t.count(" ")) for t in texts])
+    return rows.select("doc_id", *(F.get("embedding", F.lit(i)).cast("bigint").alias(n) for i, n in enumerate(("n_chars", "n_blanks"))))
+
+
+def q_text_knn_full(spark, sf):
+    """At the default number of results."""
+    index = embed(V.documents(spark, sf).select("doc_id", "text"), "text").drop("text")
+    asked = embed(V.table(spark, sf, "benchmark"), "text", out="qvec").select("item_id", "qvec")
+    return _ranked(knn(index, asked, V.FULL.summary_results, ["item_id"], "doc_id"))
+
+
 def q_text_knn(spark, sf):
     index = embed(V.documents(spark, sf).select("doc_id", "text"), "text").drop("text")
     asked = embed(V.table(spark, sf, "benchmark"), "text", out="qvec").select("item_id", "qvec")
@@ -251,8 +344,8 @@ def q_vector_knn(spark, sf):
 
 
 def q_vector_knn_cells(spark, sf):
-    """The same answers by the form that handles more queries than one broadcast may hold."""
-    return _vector_knn(spark, sf, max_scan_queries=64, pivots=16, slab_rows=200, group_queries=200)
+    """The same answers with the questions in several blocks, as when there are more than one broadcast may hold."""
+    return _vector_knn(spark, sf, block_bytes=100_000)
 
 
 # Retrieval
@@ -380,8 +473,10 @@ def q_replies(spark, sf):
 
 
 def q_completions(spark, sf):
-    asked = _turns(spark, sf).filter("role = 'user'").select("conv_id", "turn", F.array(message("user", F.col("text"))).alias("messages"))
-    return complete(asked).select("conv_id", "turn", "reply_role", "reply_content", "completion_tokens", "prompt_tokens")
+    """Every conversation as one request."""
+    said = F.array_sort(F.collect_list(F.struct("turn", message(F.col("role"), F.col("text")).alias("m"))))
+    asked = _turns(spark, sf).groupBy("conv_id").agg(F.transform(said, lambda t: t["m"]).alias("messages"))
+    return complete(asked).select("conv_id", "reply_role", "reply_content", "completion_tokens", "prompt_tokens")
 
 
 def q_usage(spark, sf):

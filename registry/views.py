@@ -16,6 +16,7 @@ from folioscope.session import run_dir, spread
 
 MAX_TOKENS = 128
 CONFIG = AnswerConfig(chunk_results=2, budget=100)
+FULL = AnswerConfig()
 MARK = "2024-01-15 00:00:00"
 
 
@@ -27,10 +28,20 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents"))
 
 
+# Every block type there is, and one that is new to the library.
+BLOCK_TYPES = """
+bookmark breadcrumb bulleted_list_item callout child_database child_page code column column_list divider embed equation file heading_1 heading_2 heading_3
+image link_preview link_to_page mention numbered_list_item paragraph pdf quote synced_block table table_of_contents table_row template to_do toggle
+unsupported video new_type
+""".split()
+
+
 def block_type(pos: Column) -> Column:
+    """Two headings, then all types in turn among list items of one or two kinds, dividers and paragraphs."""
     return (
-        F.when(pos == 0, "heading_1").when(pos % 11 == 5, "divider").when((pos % 7).isin(2, 3), "bulleted_list_item")
-        .when(pos % 13 == 12, "image").otherwise("paragraph")
+        F.when(pos == 0, "heading_1").when(pos == 1, "heading_2").when((pos % 7 == 2) | (pos % 14 == 3), "bulleted_list_item")
+        .when(pos % 14 == 10, "numbered_list_item").when(pos % 11 == 5, "divider")
+        .when(pos % 3 != 0, F.get(F.array(*map(F.lit, BLOCK_TYPES)), (pos % len(BLOCK_TYPES)).cast("int"))).otherwise("paragraph")
     )
 
 
@@ -40,6 +51,18 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select("page_id", "pos", block_type(F.col("pos")).alias("btype"), "text", n_tokens(F.col("text")).alias("n_tokens"))
 
 
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a page with properties, edited a minute after the one before: ``page_id, last_edited, properties``."""
+    at = F.timestamp_seconds(F.lit(1_709_251_200) + F.col("page_id").cast("bigint") * 60)
+    return described(spark, sf).select("page_id", at.alias("last_edited"), "properties")
+
+
+def rich_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The blocks as the source has them, before their text is read."""
+    text = F.array(F.struct(F.col("text").alias("plain_text")))
+    return blocks(spark, sf).select("page_id", "pos", "btype", text.alias("rich_text"), F.lit(None).cast("array<string>").alias("caption"), F.lit(None).cast("string").alias("expression"))
+
+
 def edits(spark: SparkSession, sf: str) -> DataFrame:
     """The event log as a log of page edits."""
     return table(spark, sf, "events").select(F.col("user_id").alias("page_id"), F.col("event_id").alias("edit_id"),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from folioscope.plans.answer import AnswerConfig, answer, answer_context, split_queries
 from folioscope.plans.ingest import IndexConfig, LoaderConfig, Source, open_indexes, run_ingest
+from folioscope.sources import tables
 from folioscope.schema import BLOCKS, MARKS, PAGES, SUMMARY_INDEX
 from folioscope.sources.pages import page_blocks
 from folioscope.operators.blocks import read_blocks
@@ -40,13 +41,51 @@ def test_table_generations(spark, tmp_path, order):
     write_batch(frame(spark, [("b", 2, "z"), ("c", 2, "w")]), path)
     expected = [("a", 1, "x"), ("b", 2, "z"), ("c", 2, "w")]
     assert read() == expected
-    assert compact(spark, path, schema, order=order) == 2 and read() == expected
-    assert write_batch(frame(spark, [("a", 0, "old")]), path) == 3
+    assert compact(spark, path, schema, order=order) == 3 and read() == expected
+    write_batch(frame(spark, [("a", 0, "old")]), path)
     assert read()[0] == (("a", 1, "x") if order else ("a", 0, "old"))
-    assert write_batch(frame(spark, [("a", 8, "try")]), path, "s-1") == 4
-    assert write_batch(frame(spark, [("a", 9, "new")]), path, "s-1") == 4  # a repeated batch replaces itself
-    assert write_batch(frame(spark, [("c", 9, "more")]), path, "s-2") == 5
+    first = write_batch(frame(spark, [("a", 9, "new")]), path, "s-1")
+    assert write_batch(frame(spark, [("a", 9, "new")]), path, "s-1") == first  # a repeated batch is there already
+    write_batch(frame(spark, [("c", 9, "more")]), path, "s-2")
     assert read() == [("a", 9, "new"), ("b", 2, "z"), ("c", 9, "more")]
+    assert compact(spark, path, schema, order=order) == 7 and read() == [("a", 9, "new"), ("b", 2, "z"), ("c", 9, "more")]
+
+
+def test_batch_that_fails_before_its_commit_is_not_lost(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "t"), frame(spark, []).schema
+    read = lambda: sorted(map(tuple, open_index(spark, path, schema).collect()))
+
+    def down(*args, **kwargs):
+        raise OSError("store is down")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(tables, "_commit", down)
+        with pytest.raises(OSError):
+            write_batch(frame(spark, [("a", 1, "slow")]), path, "s-1")
+    assert read() == []
+    write_batch(frame(spark, [("b", 1, "other")]), path)
+    compact(spark, path, schema)
+    write_batch(frame(spark, [("a", 1, "slow")]), path, "s-1")
+    assert read() == [("a", 1, "slow"), ("b", 1, "other")]
+
+
+def test_two_writers_fail(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_batch(frame(spark, [("a", 1, "x")]), path)
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        tables._commit(spark, path, 1, "1-other")
+
+
+def test_edits_with_the_stamp_of_the_mark_are_read(spark, tmp_path):
+    root = str(tmp_path / "root")
+    blocks = spark.createDataFrame([block(p, 0, "paragraph", p) for p in ("p1", "p2", "p3")], BLOCKS)
+    cfg = LoaderConfig(edited="Edited")
+    seen = []
+    for names in (["p1"], ["p1", "p2"], ["p1", "p2"], ["p1", "p2", "p3"]):  # all of one stamp
+        pages = spark.createDataFrame([page(p, 5, p) for p in names], PAGES)
+        seen.append(run_ingest(spark, [Source("main", pages, blocks, cfg)], root)["main"])
+    assert seen == [True, True, False, True]
+    assert {r.id for r in open_indexes(spark, root)["summary"].collect()} == {"p1", "p2", "p3"}
 
 
 def test_marks(spark, tmp_path):

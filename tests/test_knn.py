@@ -36,17 +36,41 @@ def test_scan_is_exact(vectors, k):
     assert rows(knn(*vectors, k)) == brute(*vectors, k)
 
 
-@pytest.mark.parametrize("k,slab_rows,group_queries", [(1, 10, 3), (5, 30, 4), (60, 1000, 1000), (500, 50, 100)])
-def test_cells_are_exact(vectors, k, slab_rows, group_queries):
-    got = knn(*vectors, k, max_scan_queries=5, pivots=7, slab_rows=slab_rows, group_queries=group_queries)
-    assert rows(got) == brute(*vectors, k)
+@pytest.mark.parametrize("k", [1, 60])
+@pytest.mark.parametrize("block_bytes", [6 * 8, 64 * 6 * 8 // 4, 1 << 20])
+def test_blocks_of_questions_give_the_same_answers(vectors, k, block_bytes):
+    assert rows(knn(*vectors, k, block_bytes=block_bytes)) == brute(*vectors, k)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+@pytest.mark.parametrize("block_bytes", [16, 1 << 20])
+def test_rows_that_are_no_vectors_are_left_out(spark, parts, block_bytes):
+    nan, inf = float("nan"), float("inf")
+    index = spark.createDataFrame([(f"d{i}", [float(i), 1.0]) for i in range(8)] + [("nan", [nan, 1.0]), ("inf", [1.0, inf]), ("hole", [None, 1.0]), ("none", None)],
+                                  "id string, embedding array<float>").repartition(parts)
+    asked = spark.createDataFrame([(1, 0, [2.0, 1.0]), (2, 0, [nan, 1.0]), (3, 0, None), (4, 0, [7.0, 0.0])], "qid int, qpos int, qvec array<float>")
+    got = sorted((r.qid, r["rank"], r.id) for r in knn(index, asked, 3, block_bytes=block_bytes).collect())
+    assert got == [(1, 1, "d2"), (1, 2, "d1"), (1, 3, "d3"), (4, 1, "d7"), (4, 2, "d6"), (4, 3, "d5")]
+    both = index.select(squared_l2(F.col("embedding"), F.lit([0.0, 1.0])).alias("d")).collect()
+    assert sum(r.d is None for r in both) == 4
+
+
+def test_unequal_vectors_are_an_error(spark):
+    index = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0, 3.0]), ("c", [2.0, 1.0])], "id string, embedding array<float>")
+    asked = spark.createDataFrame([(1, 0, [1.0, 2.0])], "qid int, qpos int, qvec array<float>")
+    with pytest.raises(Exception, match="cannot be compared"):
+        knn(index, asked, 2).collect()
+    with pytest.raises(Exception, match="cannot be compared"):
+        knn(index, asked.unionByName(spark.createDataFrame([(2, 0, [1.0])], asked.schema)), 2)
+    with pytest.raises(Exception, match="cannot be compared"):
+        index.select(squared_l2(F.col("embedding"), F.lit([0.0, 1.0]))).collect()
 
 
 def test_empty_sides(spark, vectors):
     index, asked = vectors
     assert knn(index, asked.limit(0), 3).count() == 0
     assert knn(index.limit(0), asked, 3).count() == 0
-    assert knn(index.limit(0), asked, 3, max_scan_queries=1).count() == 0
+    assert knn(index.limit(0), asked, 3, block_bytes=1).count() == 0
 
 
 def test_carry(vectors):
@@ -88,4 +112,4 @@ def test_many_ties_and_copies(spark):
     asked = spark.createDataFrame([(i, 0, rng.integers(0, 3, 4).astype(np.float32).tolist()) for i in range(12)], "qid int, qpos int, qvec array<float>")
     for k in (1, 7, 150):
         assert rows(knn(index, asked, k)) == brute(index, asked, k)
-    assert rows(knn(index, asked, 7, max_scan_queries=2, pivots=5, slab_rows=50)) == brute(index, asked, 7)
+    assert rows(knn(index, asked, 7, block_bytes=64)) == brute(index, asked, 7)

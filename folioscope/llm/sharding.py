@@ -54,7 +54,7 @@ def first_map(sizes: Iterable[tuple[int, int, int]], shards: int) -> SlotMap:
     return sorted(placed)
 
 
-def rebalanced(old: SlotMap, sizes: Iterable[tuple[int, int, int]], shards: int, tolerance: float = 0.02) -> SlotMap:
+def rebalanced(old: SlotMap, sizes: Iterable[tuple[int, int, int]], shards: int, tolerance: float = 0.05) -> SlotMap:
     """The map edited for new sizes or another number of shards; only slots that must move change their shard.
 
     Slots of shards that no longer exist are placed first. Then the heaviest shard gives the lightest one its largest

@@ -1,26 +1,36 @@
 """Token ids of a byte-level BPE vocabulary file, a batch of texts at a time.
 
 The vocabulary's own library gives every id. Texts of well-known characters are first cut into the pre-tokens of the
-vocabulary's pattern, and each distinct pre-token is encoded once a task; a pre-token alone has the ids it has in its
-text. All other texts, and texts that name the special token, go to the library whole. Very long ones are cut where a
+vocabulary's pattern, and each distinct pre-token is given to the library's model once a task; alone it has the ids it has
+in its text. All other texts, and texts that name the special token, go to the library whole. Very long ones are cut where a
 single blank stands between two other characters, since a pre-token always begins there.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-import regex
 
-#: The pattern of the vocabulary's pre-tokens.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Characters whose class is the same in every version of Unicode.
-WELL_KNOWN = regex.compile(r"[\t\n\x0b\x0c\r\x20-\x7e¡-ɏ]*")
-_JOINT = regex.compile(r"(?<=\S) (?=\S)")
+#: Characters whose class is the same in every version of Unicode, and the letters and numbers among them.
+WELL_KNOWN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\u00a1-\u024f]*")
+_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+#: The pattern of the vocabulary's pre-tokens, for those characters.
+PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
+_JOINT = re.compile(r"(?<=\S) (?=\S)")
 SPECIAL = "<|endoftext|>"
 PIECE_CHARS = 1 << 16
 MAX_KNOWN = 500_000
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be seen, else the next one from 256 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(0x100, 0x200))
+    return {b: chr(b if b in seen else next(hidden)) for b in range(0x100)}
+
+
 def cut_long(text: str, size: int = PIECE_CHARS) -> list[str]:
     pieces, lo = [], 0
     while len(text) - lo > size:
@@ -39,6 +49,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _whole(self, text: str) -> list[int]:
@@ -47,9 +59,9 @@ class Encoder:
     def _learn(self, tokens: set[str]) -> None:
         if len(self.known) + len(tokens) > MAX_KNOWN:
             self.known.clear()
-        new = list(tokens)
-        for token, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[token] = tuple(found.ids)
+        tokenize, letters = self.model.tokenize, self.letters
+        for token in tokens:
+            self.known[token] = tuple([t.id for t in tokenize(token.encode().decode("latin-1").translate(letters))])
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of the whole text, as unsigned 32-bit numbers."""

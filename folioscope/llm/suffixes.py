@@ -2,16 +2,16 @@
 whose prefix is unique drops out, and at the threshold length equal prefixes are repeated passages.
 
 A rank is a name: a hash of the prefix, so that equal prefixes have equal ranks in every task without a global numbering,
-and the rank of 2h bytes is made of the ranks of h bytes at i and at i + h (8, 16, 32 and, overlapping, the threshold).
+and the rank of 2h bytes is made of the ranks of h bytes at i and at i + h (8, 16 and, overlapping, 24; 32 and the threshold).
 
-* Length 16. Every passage of threshold length holds one smallest 16-byte prefix by hash, at the same place in every copy,
-  so only those suffixes are ranked: about one in eighteen. The count per rank is combined in the map tasks; ranks of a single
+* Length 24. Every passage of threshold length holds one smallest 24-byte prefix by hash, at the same place in every copy,
+  so only those suffixes are ranked: about one in fourteen. The count per rank is combined in the map tasks; ranks of a single
   document drop out, and a join that Spark may split brings back the others.
 * Threshold length. Each suffix left stands for the run of passages whose smallest prefix it is. That run's bytes are sorted by
-  Spark by (16-byte rank, bytes, doc_id), and a task walks through the groups: equal runs are copies, and the passages of
+  Spark by (24-byte rank, bytes, doc_id), and a task walks through the groups: equal runs are copies, and the passages of
   unequal ones are ranked at the threshold length among each other.
 
-A 16-byte rank of more than ``HOT_ROWS`` suffixes is not walked through by one task: its passages become rows of 128-bit ranks,
+A 24-byte rank of more than ``HOT_ROWS`` suffixes is not walked through by one task: its passages become rows of 128-bit ranks,
 counted and joined like the first length. Texts longer than ``LONG_BYTES`` are ranked in overlapping pieces.
 
 Null text is empty. Rows without a doc_id neither lose bytes nor take any from others. Rows that repeat a doc_id do not take
@@ -31,7 +31,7 @@ from folioscope.llm.store import materialize, table
 from folioscope.llm.words import blocks, mix, pair, signed, smallest
 
 WINDOW = 50
-PREFIX = 16
+PREFIX = 24
 HOT_ROWS = 100_000
 LONG_BYTES = 1 << 22
 CHUNK_BYTES = 1 << 20
@@ -108,7 +108,7 @@ def not_unique(suffixes: DataFrame, hot_rows: int) -> DataFrame:
 
 
 def passages(docs: DataFrame, window: int, hot_rows: int) -> DataFrame:
-    """rank, mark, doc_id, text hash, start and bytes of the runs of passages whose 16-byte rank is in two documents."""
+    """rank, mark, doc_id, text hash, start and bytes of the runs of passages whose 24-byte rank is in two documents."""
     suffixes = ranked(docs, window)
     place = (F.col("pos") * 2 + F.col("hot").cast("int")).alias("p")
     found = materialize(
@@ -155,7 +155,7 @@ def _spans_of(rows: pa.Table, window: int) -> pa.RecordBatch:
     lead = np.flatnonzero(new)
     first = doc[lead]  # the smallest doc_id of each distinct run, as rows are sorted
     later = np.flatnonzero(doc > first[kind])
-    # Passages of the distinct runs, ranked among those of the same 16-byte rank.
+    # Passages of the distinct runs, ranked among those of the same 24-byte rank.
     groups = np.cumsum(np.concatenate([[True], rank[lead][1:] != rank[lead][:-1]])) - 1
     several = np.flatnonzero(np.bincount(groups)[groups] > 1)
     out_row, out_a, out_b = [later], [start[later]], [start[later] + size[later]]

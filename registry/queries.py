@@ -120,7 +120,17 @@ def q_index_upsert(spark, sf):
 
 
 def _ingested(spark, sf) -> tuple[dict[str, bool], str]:
-    """Two sources read from end to end into both indexes; a second run finds nothing new."""
+    """Two sources read from end to end into both indexes, once an application; a second run finds nothing new."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _runs:
+        _runs[key] = _ingest(spark, sf)
+    return _runs[key]
+
+
+_runs: dict[tuple[str, str], tuple[dict[str, bool], str]] = {}
+
+
+def _ingest(spark, sf) -> tuple[dict[str, bool], str]:
     root, pages, blocks = run_dir(spark, "ingest"), V.pages(spark, sf), V.rich_blocks(spark, sf)
     number = F.col("page_id").cast("bigint")
     sources = [Source(name, pages.filter(number % 2 == rest), blocks, LoaderConfig(edited="Edited", metadata=metadata, max_tokens=V.MAX_TOKENS))

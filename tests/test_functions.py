@@ -107,3 +107,24 @@ def test_complete_and_normalize(spark):
         (True, "A", 1, 2), (True, "B", 1, 2), (False, "x", None, None)]
     with pytest.raises(Exception, match="unexpected reply role"):
         normalize_reply(complete(asked, fn, 2), strict=True).collect()
+
+
+def test_completion_map_keeps_to_its_parallelism(spark, tmp_path):
+    def slow(messages, mark):
+        import time
+
+        started = time.time()
+        time.sleep(0.05)
+        return {"role": "assistant", "content": f"{mark} {started} {time.time()}"}, {}
+
+    asked = spark.range(60).repartition(8).select("id", F.array(message("user", F.col("id").cast("string"))).alias("messages"))
+    got = complete(asked, slow, parallelism=3, options={"mark": "m"}, task_calls=5)
+    assert got.rdd.getNumPartitions() >= 1 and {r.id for r in got.collect()} == set(range(60))
+    spans = [tuple(map(float, r.reply_content.split(" ")[1:])) for r in got.collect()]
+    assert max(sum(a <= t < b for a, b in spans) for t, _ in spans) <= 3
+
+
+def test_scores_near_nothing(spark):
+    values = [0.0, 0.004, 0.005, 0.0149, 0.015, 0.025, 0.031, 1 / 200, 1 / 32, 0.125, 0.575]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", two_decimals(F.col("v")).alias("t"))
+    assert {r.v: r.t for r in df.collect()} == {v: f"{v:.2f}" for v in values}

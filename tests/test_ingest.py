@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.plans.answer import AnswerConfig, answer, answer_context, split_queries
+from folioscope.plans.answer import AnswerConfig, answer, answer_context, split_queries, transcript
 from folioscope.plans.ingest import IndexConfig, LoaderConfig, Source, open_indexes, run_ingest
 from folioscope.sources import tables
 from folioscope.schema import BLOCKS, MARKS, PAGES, SUMMARY_INDEX
@@ -188,6 +188,20 @@ def test_question_without_documents_has_no_context(spark):
     assert answer_context(questions, queries, empty, chunks).count() == 0
 
 
+def test_every_question_gets_an_answer_row(spark):
+    empty = spark.createDataFrame([], SUMMARY_INDEX)
+    chunks = spark.createDataFrame([], "id string, doc_id string, chunk_id int, document string, embedding array<float>")
+    questions = spark.createDataFrame([("q", "x")], "qid string, question string")
+
+    def expand(messages):
+        return {"role": "assistant", "content": "a;b"}, {"completion_tokens": 3, "prompt_tokens": 4}
+
+    said = transcript(questions, empty, chunks, expand, expand).orderBy("seq").collect()
+    assert [(r.seq, r.content, r.completion_tokens) for r in said] == [(0, "Expanding your queries: \n a;b\n", 3), (1, "No relevant documents found.\n", None)]
+    row, = answer(questions, empty, chunks, expand, expand).collect()
+    assert (row.qid, row.answer, row.completion_tokens, row.prompt_tokens) == ("q", None, 3, 4)
+
+
 def test_page_stream_equals_run(spark, tmp_path):
     blocks = spark.createDataFrame([block(p, i, "paragraph", f"{p} {i}") for p in ("p1", "p2") for i in range(4)], BLOCKS)
     cfg = LoaderConfig(edited="Edited", max_tokens=4)
@@ -208,7 +222,9 @@ def test_raw_json(spark):
     row = raw_pages(pages).select("page_id", stamp_text(F.col("last_edited")).alias("at"), F.col("properties")["T"]["title"][0]["plain_text"].alias("t")).first()
     assert tuple(row) == ("p", "2024-01-02T03:00:00.000000+00:00", "x")
     blocks = ['{"type": "paragraph", "paragraph": {"rich_text": [{"plain_text": "a"}, {"plain_text": "b"}], "caption": ["c"]}}',
+              '{"type": "code", "code": {"rich_text": [], "caption": [{"type": "text", "plain_text": "d"}, {"plain_text": "{e"}, "{f"]}}',
               '{"type": "equation", "equation": {"expression": "e=1"}}', '{"type": "divider", "divider": {}}', '{"type": "to_do"}']
     rows = read_blocks(raw_blocks(spark.createDataFrame([("p", blocks)], "page_id string, blocks array<string>"))).orderBy("pos").collect()
     assert [(r.pos, r.btype, r.text) for r in rows] == [
-        (0, "paragraph", "<caption> c <\\caption> ab"), (1, "equation", "<equation> e=1 <\\equation> "), (2, "divider", ""), (3, "to_do", "")]
+        (0, "paragraph", "<caption> c <\\caption> ab"), (1, "code", "<caption> d{e{f <\\caption> "),
+        (2, "equation", "<equation> e=1 <\\equation> "), (3, "divider", ""), (4, "to_do", "")]

@@ -8,8 +8,9 @@ match anything. What agrees often enough is confirmed on the full shingle sets.
 Groups of copies cost what they hold, not its square. Equal sets are one node. In a posting list every node is first
 compared with one leader, the one whose whole signature is most common in the corpus: the hub of its group. Confirmed
 links make components, and from then on only nodes of different components are compared: first with a second leader by
-hash, then all that are left, pair by pair, inside the join. No link is lost: a pair is left out only if both are
-already in one component.
+hash, then all that are left. Those are compared inside the join, sketch by sketch and set by set, so that only links come out
+of it, however many pairs of a large group are just not similar enough. No link is lost: a pair is left out only if both
+are already in one component.
 
 Null or empty text has no shingles and is linked with nothing; fewer words than a shingle are one shingle. Rows without a
 doc_id are linked with nothing. Rows that repeat a doc_id are one node. An empty table gives an empty result.
@@ -86,16 +87,18 @@ def signatures(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDINATES
 
 
 def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """node and its full set."""
+    """node, its full set, and the set's lower 32 bits, which share at least as much as the sets do."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column("text")):
                 names, ends = _shingle_sets(Words(data, offsets, SPACES, LOWER), k)
+                at = pa.array(ends.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed(names)))], names=["node", "shingles"])
+                    [batch.column("node").slice(lo, hi - lo), pa.ListArray.from_arrays(at, pa.array(signed(names))),
+                     pa.ListArray.from_arrays(at, pa.array(names.astype(np.uint32).view(np.int32)))], names=["node", "shingles", "short"])
 
-    return docs.select("node", "text").mapInArrow(sets, "node long, shingles array<long>")
+    return docs.select("node", "text").mapInArrow(sets, "node long, shingles array<long>, short array<int>")
 
 
 def prefix_postings(nodes: DataFrame, coordinates: int, matches: int) -> DataFrame:
@@ -140,14 +143,22 @@ def with_leaders(postings: DataFrame, nodes: DataFrame, matches: int, order: Col
     return good.groupBy("a").agg(F.max_by("b", F.struct("m", -F.col("b"))).alias("b"))
 
 
-def all_left(postings: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
-    """a, b: all pairs of a list in different components that agree often enough. Lists of one component are left out first."""
+def all_left(postings: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
+    """a, b: of all pairs of a list in different components those that agree often enough and whose shortened sets are similar.
+
+    Lists of one component are left out first. A pair is looked at in the first list it shares, the cheap conditions first.
+    """
     mixed = postings.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     mixed = materialize(mixed, "mixed-lists")
-    rows = postings.join(mixed, "key").select("key", "node", "label").join(nodes.select("node", "n_shingles", "signature"), "node")
+    rows = postings.join(mixed, "key").select("key", "node", "label")
+    known = rows.groupBy("node").agg(F.collect_set("key").alias("keys")).join(nodes.select("node", "n_shingles", "signature"), "node").join(
+        sets.select("node", "short"), "node")
+    rows = rows.join(materialize(known, "compared-nodes"), "node")
     x, y = rows.alias("x"), rows.alias("y")
-    # Every pair once from each list; the smaller label to the left.
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _enough("x", "y", matches))
+    first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    shared = F.size(F.array_intersect("x.short", "y.short"))
+    similar = shared * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - shared) * SIMILAR_PERCENT
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _enough("x", "y", matches) & first & similar)
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
@@ -176,7 +187,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDI
     postings = materialize(postings.join(several, "key"), "shared-postings")
     involved = postings.select("node").distinct()
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text").join(involved, "node")
-    sets = materialize(shingle_sets(texts, k).dropDuplicates(["node"]), "shingle-sets")
+    sets = materialize(shingle_sets(texts, k), "shingle-sets")
 
     links = None
     for step in ("hub", "second", "rest"):
@@ -185,7 +196,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDI
         elif step == "second":
             pairs = with_leaders(postings, nodes, matches, F.xxhash64("node", "key"))
         else:
-            pairs = all_left(postings, nodes, matches)
+            pairs = all_left(postings, nodes, sets, matches)
         new = confirmed(pairs, sets)
         links = materialize(new if links is None else links.unionByName(new), "near-links")
         labels = materialize(components(links), "labels")

@@ -115,7 +115,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, how: Reputation = Rep
 def judged(pages: DataFrame, outcomes: DataFrame, rules=RULES, how: Reputation = Reputation()) -> DataFrame:
     """page_id, host, path, rule, verdict, and the counts and bound the verdict rests on where no rule fits."""
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    hosts = host_reputation(split.select("page_id", "host"), outcomes, how).withColumnRenamed("host", "_host")
+    # A table of its own, so that Spark can broadcast it if it is small and split a host of very many pages if it is not.
+    hosts = materialize(host_reputation(split.select("page_id", "host"), outcomes, how).withColumnRenamed("host", "_host"), "host-reputation")
     both = split.join(hosts, F.col("host") == F.col("_host"))
     ruled = both.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     own = F.when(F.col("bound") > how.max_bad, "block").otherwise("allow")

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from folioscope.llm.store import WHITE, ascii_lower, table
+from folioscope.llm.store import WHITE, ascii_lower, materialize, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -47,7 +47,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """One row per row of ``docs``: ``row`` (its columns), ``kept`` (text left), ``n_lines``, ``n_dropped``."""
     lines = long_lines(docs, min_chars)
     dropped = (
-        lines.join(shared_lines(lines, min_docs), ["_h1", "_h2"])
+        lines.join(materialize(shared_lines(lines, min_docs), "shared-lines"), ["_h1", "_h2"])
         .where(F.col("doc_id") != F.col("_keeper"))
         .groupBy("doc_id", "_text")
         .agg(F.array_distinct(F.collect_list("_pos")).alias("_dropped"))

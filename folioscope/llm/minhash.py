@@ -101,16 +101,21 @@ def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select("node", "text").mapInArrow(sets, "node long, shingles array<long>, short array<int>")
 
 
-def prefix_postings(nodes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """key, node, score: each node under its rarest coordinate-value pairs, those of one node alone left out.
-
-    ``score`` adds up how common all pairs of the signature are. Counts are combined in the map tasks.
-    """
+def shared_pairs(nodes: DataFrame) -> DataFrame:
+    """key, node, n: the coordinate-value pairs of every node that ``n`` > 1 nodes have. Counts are combined in the map tasks."""
     coordinate = F.posexplode("signature").alias("_i", "_v")
     key = F.shiftleft(F.col("_i").cast("long"), 32).bitwiseOR(F.col("_v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     pairs = nodes.select("node", coordinate).select("node", key.alias("key"))
     counts = materialize(pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "pair-counts")
-    shared = pairs.join(counts, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own"))
+    return pairs.join(counts, "key")
+
+
+def prefix_postings(shared: DataFrame, coordinates: int, matches: int) -> DataFrame:
+    """key, node, score: each node under its rarest coordinate-value pairs, those of one node alone left out.
+
+    ``score`` adds up how common all pairs of the signature are.
+    """
+    shared = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own"))
     alone = F.lit(coordinates) - F.size("own")
     prefix = F.slice("own", F.lit(1), F.greatest(F.lit(0), F.lit(coordinates - matches + 1) - alone))
     score = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x.n)
@@ -143,6 +148,13 @@ def with_leaders(postings: DataFrame, nodes: DataFrame, matches: int, order: Col
     return good.groupBy("a").agg(F.max_by("b", F.struct("m", -F.col("b"))).alias("b"))
 
 
+def contested(shared: DataFrame, labels: DataFrame, matches: int) -> DataFrame:
+    """Nodes that share at least ``matches`` coordinates with other components; no other node can have a link left to find."""
+    named = _labelled(shared.select("key", "node"), labels)
+    mixed = materialize(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "mixed-pairs")
+    return named.join(mixed, "key").groupBy("node").count().where(F.col("count") >= matches).select("node")
+
+
 def all_left(postings: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
     """a, b: of all pairs of a list in different components those that agree often enough and whose shortened sets are similar.
 
@@ -158,7 +170,7 @@ def all_left(postings: DataFrame, nodes: DataFrame, sets: DataFrame, matches: in
     first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
     shared = F.size(F.array_intersect("x.short", "y.short"))
     similar = shared * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - shared) * SIMILAR_PERCENT
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _enough("x", "y", matches) & first & similar)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & first & _enough("x", "y", matches) & similar)
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
@@ -181,7 +193,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDI
     posted = signed_docs.where("doc_id is not null and n_shingles > 0")
     nodes = materialize(
         posted.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "nodes")
-    postings = materialize(prefix_postings(nodes, coordinates, matches).withColumn("label", F.col("node")), "postings")
+    shared = materialize(shared_pairs(nodes), "shared-pairs")
+    postings = materialize(prefix_postings(shared, coordinates, matches).withColumn("label", F.col("node")), "postings")
     # A list of one node links nothing.
     several = materialize(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
     postings = materialize(postings.join(several, "key"), "shared-postings")
@@ -196,7 +209,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDI
         elif step == "second":
             pairs = with_leaders(postings, nodes, matches, F.xxhash64("node", "key"))
         else:
-            pairs = all_left(postings, nodes, sets, matches)
+            open_nodes = materialize(contested(shared, labels, matches), "contested-nodes")
+            pairs = all_left(postings.join(open_nodes, "node"), nodes, sets, matches)
         new = confirmed(pairs, sets)
         links = materialize(new if links is None else links.unionByName(new), "near-links")
         labels = materialize(components(links), "labels")

@@ -8,6 +8,14 @@ from pyspark.sql import SparkSession
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark: SparkSession):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture
 def documents(spark: SparkSession):
     """Rows (doc_id, text) -> a documents table with columns whose names clash with those the operators use inside."""

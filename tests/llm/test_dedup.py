@@ -48,7 +48,7 @@ def test_windows_of_the_production_length(documents):
     assert rows_of(got, "doc_id", "n_words", "n_removed", "sha") == Counter(substrings.brute_force(rows))
 
 
-@pytest.mark.parametrize("seed", [7, 8, 9])
+@pytest.mark.parametrize("seed", [7, 8])
 def test_near_duplicates_against_the_definition(documents, seed):
     rows = corpus(seed, 60)
     got = minhash.near_duplicates(documents(rows))

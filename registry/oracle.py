@@ -240,6 +240,7 @@ BODIES = {
     "token_hook": r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n_tok FROM documents",
     "block_runs": """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run, kind, txt AS text, n_tok FROM units WHERE kind IS NOT NULL""",
     "chunks": "SELECT id, doc_id, chunk_id, text FROM chunks",
+    "exploded_chunks": "SELECT id, doc_id, chunk_id, text AS document FROM chunks",
     "full_text": "SELECT doc_id, text FROM rebuilt",
     "summary_prompt": f"""SELECT doc_id, CAST(0 AS BIGINT) AS seq, 'system' AS role, {_text(SUMMARY_INSTRUCTIONS)} AS content FROM rebuilt
       UNION ALL SELECT doc_id, 1, 'user', text FROM rebuilt""",

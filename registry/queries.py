@@ -15,7 +15,7 @@ from folioscope.operators.blocks import classify_blocks, group_runs, read_blocks
 from folioscope.operators.context import assemble_context, build_prompt, number_context
 from folioscope.operators.embedding import embed, term_counts
 from folioscope.operators.knn import knn
-from folioscope.operators.packing import chunk_arrays, pack_chunks
+from folioscope.operators.packing import chunk_arrays, explode_chunks, pack_chunks
 from folioscope.operators.ranking import fuse, query_report, reciprocal_rank, shortlist, shortlist_report
 from folioscope.operators.relations import resolve_relations
 from folioscope.operators.snippets import reassemble
@@ -254,6 +254,12 @@ def q_block_runs(spark, sf):
     return _doc_id(group_runs(V.blocks(spark, sf))).select("doc_id", "run", "kind", "text", F.col("n_tokens").alias("n_tok"))
 
 
+def q_exploded_chunks(spark, sf):
+    """Documents with their chunks as arrays, a row per chunk."""
+    docs = chunk_arrays(V.blocks(spark, sf), V.MAX_TOKENS).withColumnRenamed("page_id", "id")
+    return explode_chunks(docs).select("id", F.col("doc_id").cast("bigint").alias("doc_id"), F.col("chunk_id").cast("bigint").alias("chunk_id"), "document")
+
+
 def q_chunks_full(spark, sf):
     """At the default chunk size."""
     packed = pack_chunks(V.blocks(spark, sf), LoaderConfig().max_tokens)

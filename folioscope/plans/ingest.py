@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscope.functions.hooks import Completion
 from folioscope.functions.properties import merge_metadata
@@ -117,13 +117,29 @@ class Source:
     indexes: Sequence[str] = ("summary", "chunk")
 
 
+def _sums(rows: DataFrame, text: Column) -> DataFrame:
+    """``page_id, content``: what a page's rows hold, in any order. Rows are added up in the map tasks, however many a page has."""
+    hashes = [F.xxhash64(F.lit(seed), text).cast("decimal(20,0)") for seed in (0, 1)]
+    return rows.groupBy("page_id").agg(F.concat_ws(":", F.count("*"), *(F.sum(h).cast("string") for h in hashes)).alias("content"))
+
+
+def page_contents(source: Source, ids: DataFrame) -> DataFrame:
+    """``page_id, content``: a 128-bit hash of the properties and one of the blocks of each listed page."""
+    plain = {"ignoreNullFields": "false"}
+    pages = _sums(fetch_pages(source.pages, ids), F.to_json(F.struct(F.array_sort(F.map_entries("properties"))), plain))
+    blocks = page_blocks(source.blocks, ids, source.config.max_blocks)
+    blocks = _sums(blocks, F.to_json(F.struct(*(F.col(f"`{c}`") for c in blocks.columns if c != "page_id")), plain))
+    both = pages.join(blocks.withColumnRenamed("content", "_blocks"), "page_id", "left")
+    return both.select("page_id", F.concat_ws("/", "content", F.coalesce("_blocks", F.lit(""))).alias("content"))
+
+
 def run_ingest(spark: SparkSession, sources: Sequence[Source], root: str, index: IndexConfig = IndexConfig()) -> dict[str, bool]:
     """Feed every source's edited pages to its indexes below ``root``; says which sources had any.
 
     The mark of a source moves to the newest edit that was read, and only after all its indexes are written, so a run
     that fails is repeated from the old mark; repeated upserts change nothing. Since stamps are no finer than the source's
-    granularity, the next run looks back by that much and leaves out what it has read: an edit that shows up later with the
-    stamp of the mark is not lost.
+    granularity, the next run looks back by that much and leaves out only pages whose stamp and content are what it has
+    read: neither another page nor another edit of the same page is lost when it shows up later with the stamp of the mark.
     """
     fed = {}
     for source in sources:
@@ -133,17 +149,22 @@ def run_ingest(spark: SparkSession, sources: Sequence[Source], root: str, index:
         mark, after = read_mark(state, name).select(stamp_text(F.col("ts")), stamp_text(F.col("ts") - back)).first()
         seen = open_index(spark, f"{root}/seen", SEEN, ["loader", "page_id"]).filter(F.col("loader") == source.name)
         changed = changed_pages(source.pages, stamp(F.lit(after)), keep=["last_edited"])
-        unread = changed.join(seen.select("page_id", F.col("last_edited").cast(changed.schema["last_edited"].dataType).alias("last_edited")), ["page_id", "last_edited"], "left_anti")
-        ids = cut_lineage(unread)
+        stamped = seen.select("page_id", F.col("last_edited").cast(changed.schema["last_edited"].dataType).alias("last_edited"), F.col("content").alias("_read"))
+        again = cut_lineage(changed.join(stamped, ["page_id", "last_edited"]))
+        same = again.join(page_contents(source, again), "page_id").filter(F.col("content") == F.col("_read"))
+        ids = cut_lineage(changed.join(same.select("page_id", "last_edited"), ["page_id", "last_edited"], "left_anti"))
         newest = ids.select(stamp_text(F.max("last_edited"))).first()[0]
         fed[source.name] = newest is not None
         if newest is None:
             continue
+        moved = max(mark, newest)  # texts of one zone, so they sort as times do
+        recent = ids.filter(F.col("last_edited") > stamp(F.lit(moved)) - back)
+        # Before the pages are fed: what changes in between differs from what is noted and is read again.
+        noted = cut_lineage(recent.join(page_contents(source, recent), "page_id"))
         pages = fetch_pages(source.pages, ids)
         feed_indexes(pages, source.blocks, root, source.indexes, source.config, index, source.pages)
-        moved = max(mark, newest)  # texts of one zone, so they sort as times do
-        recent = ids.filter(F.col("last_edited") > stamp(F.lit(moved)) - back).select(F.lit(source.name).alias("loader"), "page_id", F.col("last_edited").cast("timestamp"))
-        write_batch(latest_per_key(recent, ["loader", "page_id"], ["last_edited"]), f"{root}/seen")
+        noted = noted.select(F.lit(source.name).alias("loader"), "page_id", F.col("last_edited").cast("timestamp"), "content")
+        write_batch(latest_per_key(noted, ["loader", "page_id"], ["last_edited"]), f"{root}/seen")
         write_mark(name.withColumn("ts", stamp(F.lit(moved))), f"{root}/marks")
     return fed
 

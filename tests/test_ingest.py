@@ -88,6 +88,21 @@ def test_edits_with_the_stamp_of_the_mark_are_read(spark, tmp_path):
     assert {r.id for r in open_indexes(spark, root)["summary"].collect()} == {"p1", "p2", "p3"}
 
 
+def test_another_edit_of_a_page_within_one_stamp_is_read(spark, tmp_path):
+    root, cfg = str(tmp_path / "root"), LoaderConfig(edited="Edited")
+
+    def run(title, *texts):
+        pages = spark.createDataFrame([page("p1", 5, title), page("p2", 5, "other")], PAGES)
+        blocks = spark.createDataFrame([block("p1", i, "paragraph", t) for i, t in enumerate(texts)] + [block("p2", 0, "paragraph", "x")], BLOCKS)
+        fed = run_ingest(spark, [Source("main", pages, blocks, cfg)], root)["main"]
+        stored = {kind: {r.id: r for r in df.collect()} for kind, df in open_indexes(spark, root).items()}
+        return fed, stored["chunk"]["p1_1"].document, stored["summary"]["p1"].metadata["title"], stored["chunk"]["p2_1"].document
+
+    assert run("one", "a") == (True, "\na", "one", "\nx")
+    assert run("one", "a", "b") == (True, "\na\n\nb", "one", "\nx")  # blocks alone
+    assert run("two", "a", "b") == (True, "\na\n\nb", "two", "\nx")  # properties alone
+
+
 def test_marks(spark, tmp_path):
     path = str(tmp_path / "marks")
     loaders = spark.createDataFrame([("a",), ("b",)], "loader string")

@@ -31,7 +31,7 @@ from folioscope.llm.words import LOWER, SPACES, Words, blocks, mix, pair, signed
 SHINGLE = 4
 SIMILAR_PERCENT = 80
 COORDINATES = 32
-#: A pair at the threshold agrees in 25.6 places on average, 2.3 the standard deviation; it has fewer than 15 once in 300,000 times.
+#: A pair at the threshold agrees in 25.6 places on average, 2.3 the standard deviation; it has fewer than 15 once in 150,000 times.
 MATCHES = 15
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
@@ -87,7 +87,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDINATES
 
 
 def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """node, its full set, and the set's lower 32 bits, which share at least as much as the sets do."""
+    """node, its full set, and the set's lower 32 bits. Names that differ may be equal there, within a set too."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,19 +156,20 @@ def contested(shared: DataFrame, labels: DataFrame, matches: int) -> DataFrame:
 
 
 def all_left(postings: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
-    """a, b: of all pairs of a list in different components those that agree often enough and whose shortened sets are similar.
+    """a, b: of all pairs of a list in different components those that agree often enough and whose shortened sets may be similar.
 
-    Lists of one component are left out first. A pair is looked at in the first list it shares, the cheap conditions first.
+    Shared names that are equal when shortened count once, so as many as either set loses by that are added: too many pairs
+    may pass, never too few. Lists of one component are left out first. A pair is looked at in the first list it shares, the cheap conditions first.
     """
     mixed = postings.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     mixed = materialize(mixed, "mixed-lists")
     rows = postings.join(mixed, "key").select("key", "node", "label")
     known = rows.groupBy("node").agg(F.collect_set("key").alias("keys")).join(nodes.select("node", "n_shingles", "signature"), "node").join(
-        sets.select("node", "short"), "node")
+        sets.select("node", "short", (F.size("short") - F.size(F.array_distinct("short"))).alias("lost")), "node")
     rows = rows.join(materialize(known, "compared-nodes"), "node")
     x, y = rows.alias("x"), rows.alias("y")
     first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
-    shared = F.size(F.array_intersect("x.short", "y.short"))
+    shared = F.size(F.array_intersect("x.short", "y.short")) + F.least("x.lost", "y.lost")
     similar = shared * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - shared) * SIMILAR_PERCENT
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & first & _enough("x", "y", matches) & similar)
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()

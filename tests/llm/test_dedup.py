@@ -57,6 +57,17 @@ def test_near_duplicates_against_the_definition(documents, seed):
     assert sum(not r[3] for r in want) > 5
 
 
+def test_shortened_sets_drop_no_pair_at_the_threshold(spark):
+    """8 of 10 names are shared, two of which are equal in their lower 32 bits."""
+    common = [5, 5 + (1 << 32), *range(10, 16)]
+    full = {1: [*common, 20], 2: [*common, 30]}
+    sets = spark.createDataFrame([(n, s, [v & 0xFFFFFFFF for v in s]) for n, s in full.items()], "node long, shingles array<long>, short array<int>")
+    nodes = spark.createDataFrame([(n, 9, [1] * 32) for n in full], "node long, n_shingles long, signature array<int>")
+    postings = spark.createDataFrame([(7, n, n) for n in full], "key long, node long, label long")
+    pairs = minhash.all_left(postings, nodes, sets, minhash.MATCHES)
+    assert [tuple(r) for r in minhash.confirmed(pairs, sets).collect()] == [(1, 2)]
+
+
 def test_chains_of_near_copies_are_one_group(documents):
     base = [f"w{i}" for i in range(120)]
     rows = []

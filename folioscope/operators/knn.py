@@ -208,6 +208,13 @@ def _rank(rows: DataFrame, keys: Sequence[str], id_col: str, k: int, carry: Sequ
     return ranked.select(*keys, "rank", id_col, "distance", *carry)
 
 
+def _key_bytes(queries: DataFrame, name: str) -> Column:
+    """About the bytes of a key column in a row."""
+    if isinstance(queries.schema[name].dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit(8).cast("long")
+    return F.coalesce(F.octet_length(F.col(f"`{name}`").cast("string")), F.lit(0)).cast("long") + 8
+
+
 def knn(index: DataFrame, queries: DataFrame, k: int = 20, keys: Sequence[str] = ("qid", "qpos"), id_col: str = "id",
         vec_col: str = "embedding", query_col: str = "qvec", carry: Sequence[str] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The ``k`` nearest index rows of every query: ``keys, rank, id, distance, carry``.
@@ -216,12 +223,13 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 20, keys: Sequence[str] =
     """
     index, queries = index.select(id_col, vec_col, *carry), queries.select(*keys, query_col)
     asked = queries.filter(is_vector(F.col(query_col)))
-    n, least, dim = asked.agg(F.count(F.lit(1)), F.min(F.size(query_col)), F.max(F.size(query_col))).first()
+    width = sum((_key_bytes(queries, c) for c in keys), F.lit(0).cast("long"))
+    n, least, dim, named = asked.agg(F.count(F.lit(1)), F.min(F.size(query_col)), F.max(F.size(query_col)), F.sum(width)).first()
     if least != dim:
         raise ValueError(f"query vectors of {least} to {dim} elements cannot be compared")
-    blocks = max(1, -(-n * (dim or 0) * 8 // block_bytes))
+    blocks = max(1, -(-(n * (dim or 0) * 8 + (named or 0)) // block_bytes))
     if blocks == 1:
-        return _rank(_scan(index, queries, queries.toArrow(), k, keys, id_col, vec_col, query_col, carry), keys, id_col, k, carry)
+        return _rank(_scan(index, asked, asked.toArrow(), k, keys, id_col, vec_col, query_col, carry), keys, id_col, k, carry)
     # Each block of questions passes over the index once; what it found is appended to one table.
     queries = cut_lineage(asked.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks))))
     path = run_dir(index.sparkSession, "nearest")

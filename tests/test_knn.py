@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators.embedding import embed, term_counts
+from folioscope.operators import knn as knn_module
 from folioscope.operators.knn import _without_spare_copies, knn, squared_l2
 
 
@@ -55,6 +56,24 @@ def test_rows_that_are_no_vectors_are_left_out(spark, parts, block_bytes):
     assert sum(r.d is None for r in both) == 4
 
 
+def test_only_usable_questions_are_collected_and_keys_count(spark, monkeypatch):
+    sent = []
+    scan = knn_module._scan
+
+    def noted(index, queries, asked, *rest):
+        sent.append(asked.num_rows)
+        return scan(index, queries, asked, *rest)
+
+    monkeypatch.setattr(knn_module, "_scan", noted)
+    index = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [5.0, 0.0])], "id string, embedding array<float>")
+    asked = spark.createDataFrame([(f"{i}" * 1000, 0, [float(i), 0.0] if i < 4 else None) for i in range(9)], "qid string, qpos int, qvec array<float>")
+    assert {(r.qid[0], r.id) for r in knn(index, asked, 1).collect()} == {("0", "a"), ("1", "a"), ("2", "a"), ("3", "a")}
+    assert sent == [4]
+    sent.clear()
+    assert knn(index, asked, 1, block_bytes=2000).count() == 4
+    assert len(sent) == 3 and sum(sent) == 4
+
+
 def test_unequal_vectors_are_an_error(spark):
     index = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0, 3.0]), ("c", [2.0, 1.0])], "id string, embedding array<float>")
     asked = spark.createDataFrame([(1, 0, [1.0, 2.0])], "qid int, qpos int, qvec array<float>")

@@ -7,8 +7,9 @@ shorter), those words are hit. Spans of hit words are cut out, and documents hit
 Words outside the items' vocabulary, and word pairs no item has, break every match; they are found for a whole block of
 text at once, and only the stretches between them that are long enough to hold a window enter the automaton.
 
-Items are taken in blocks of at most ``BLOCK_WORDS`` words, so what is sent to the tasks is bounded however long the
-benchmark is; training texts are never shuffled while they are searched. Several blocks meet in narrow rows per document.
+Items are cut into overlapping pieces in Spark and taken in blocks of at most ``BLOCK_WORDS`` words, one block after
+another, so what the driver holds and sends to the tasks is bounded however long the benchmark or one of its items is;
+training texts are never shuffled while they are searched. Several blocks meet in narrow rows per document.
 
 Null or empty texts have no words and are never hit; items without words are never found. Repeated rows are judged one by
 one, equal items are all named. An empty benchmark hits nothing.
@@ -18,13 +19,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.llm.store import materialize, table
-from folioscope.llm.words import LOWER, NOT_ALNUM, Words, blocks
+from folioscope.llm.words import LOWER, NOT_ALNUM, Words, blocks, signed
+from folioscope.session import run_dir
 
 WINDOW = 10
 BLOCK_WORDS = 50_000
@@ -47,20 +53,54 @@ def item_words(texts: list[str | None]) -> list[np.ndarray]:
     return found
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
-    """The items with their word names, as many at a time as a block may hold (one at least)."""
-    block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator():
-        words = item_words([row.text])[0].tolist()
-        if not words:
+def item_pieces(benchmark: DataFrame, size: int, window: int) -> DataFrame:
+    """part, before, n, item, words: the items' word names in pieces of at most ``size`` words.
+
+    Pieces of one item overlap by ``window`` - 1 words and none is shorter than a window, so every window lies in a piece
+    and no piece is taken for a short item. ``before`` counts the words ahead of a piece in its part.
+    """
+    step = size - window + 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for item, text in zip(batch.column("item"), batch.column("text")):
+                words = item_words([text.as_py()])[0]
+                for lo in range(0, max(1, len(words) - window + 1) if len(words) else 0, step):
+                    piece = words[lo:lo + size]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([len(piece)], pa.int64()), pa.array([item.as_py()], pa.string()),
+                         pa.array([signed(piece)], pa.list_(pa.int64()))], names=["part", "before", "n", "item", "words"])
+                    before += len(piece)
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+    return rows.mapInArrow(cut, "part int, before long, n long, item string, words array<long>")
+
+
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW) -> Iterator[Items]:
+    """The items with their word names, a block at a time; the driver holds one block and a count for each part of the table.
+
+    What fits is one block. Otherwise the running count of words is cut at every half block; pieces are no longer than
+    that, so a block holds at most ``block_words`` (or two windows).
+    """
+    half = max(block_words // 2, window)
+    stored = materialize(item_pieces(benchmark, half, window), "item-pieces")
+    parts = stored.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    total = sum(r.n for r in parts)
+    share = max(block_words, window) if total <= block_words else half
+    ends = np.cumsum([0, *(r.n for r in parts)]).tolist()
+    starts = {r.part: start for r, start in zip(parts, ends)}
+    for number in range(-(-total // share)):
+        lo, hi = number * share, (number + 1) * share
+        held = [r.part for r, a, b in zip(parts, ends, ends[1:]) if a < hi and b > lo]
+        if not held:
             continue
-        if block and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row.i, words))
-        size += len(words)
-    if block:
-        yield block
+        # Parts in full or from both ends: a condition for each part that the block meets.
+        own = reduce(or_, ((F.col("part") == p) & (F.col("before") >= lo - starts[p]) & (F.col("before") < hi - starts[p]) for p in held))
+        block = stored.where(own).select("item", "words").toArrow()
+        items = [(i, np.array(w, np.int64).view(np.uint64).tolist()) for i, w in zip(block["item"].to_pylist(), block["words"].to_pylist())]
+        if items:
+            yield items
 
 
 class Automaton:
@@ -191,9 +231,8 @@ def _spans(w: Words, row: int, hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": int(w.start[base + a]), "end": int(w.end[base + b - 1]), "first": a, "last": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
 
-def search(docs: DataFrame, items: Items, window: int, only_hit: bool) -> DataFrame:
+def search(docs: DataFrame, sent: Broadcast[Items], window: int, only_hit: bool) -> DataFrame:
     """``docs`` (with a ``text`` column) without the text, with word counts, spans and items of one block of items."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
     rest = [c for c in docs.columns if c != "text"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,13 +269,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     With more than one block of items the spans of a document are united; equal rows are counted and given back as often.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")
-    first, *more = list(item_blocks(benchmark, block_words)) or [[]]
-    found = search(rows, first, window, only_hit=False)
-    if not more:
-        return found
-    parts = found.withColumn("_copies", F.lit(1).cast("long"))
-    for items in more:
-        parts = parts.unionByName(search(rows, items, window, only_hit=True).withColumn("_copies", F.lit(0).cast("long")))
+    spark = docs.sparkSession
+    found = item_blocks(benchmark, block_words, window)
+    first, second = next(found, []), next(found, None)
+    if second is None:
+        return search(rows, spark.sparkContext.broadcast(first), window, only_hit=False)
+    path = run_dir(spark, "block-hits")
+    for number, items in enumerate(chain([first, second], found)):
+        sent = spark.sparkContext.broadcast(items)
+        hits = search(rows, sent, window, only_hit=number > 0).withColumn("_copies", F.lit(int(number == 0)).cast("long"))
+        hits.write.mode("append").parquet(path)
+        sent.destroy()
+    parts = spark.read.schema(hits.schema).parquet(path)
     one = parts.groupBy("doc_id", "_text").agg(
         F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("_copies").alias("_copies"))

@@ -109,6 +109,18 @@ def test_decontamination_against_the_definition(spark, documents, block_words):
     assert rows_of(got, *got.columns) == Counter(decontamination.brute_force(rows, BENCH))
 
 
+def test_long_items_are_cut_and_the_driver_gets_a_block_at_a_time(spark, documents):
+    long = [f"w{i}" for i in range(300)]
+    bench = [(1, " ".join(long)), (2, "short item"), (3, " ".join(long[50:90]))]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    sizes = [sum(len(words) for _, words in block) for block in decontamination.item_blocks(items, 60)]
+    assert len(sizes) > 4 and max(sizes) <= 60
+    rows = [(1, "a " + " ".join(long[20:45]) + " b"), (2, " ".join(long)), (3, "a short item"), (4, " ".join(long[296:300])), (5, " ".join(long[i] for i in range(290, 300)))]
+    got = decontamination.contamination(documents(rows), items, block_words=60).select(
+        "doc_id", "n_words", "n_hit", F.size("items").alias("n"), F.sha2(F.array_join("items", ","), 256).alias("sha"), F.expr("n_hit > 0").alias("c"))
+    assert rows_of(got, *got.columns) == Counter(decontamination.brute_force(rows, bench))
+
+
 @pytest.mark.parametrize("block_words", [50_000, 11])
 def test_hit_spans_are_cut_out(spark, documents, block_words):
     item = "one two three four five six seven eight nine ten"

@@ -26,6 +26,8 @@ KEY = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens", "n_bytes")
 DELTA_SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long"
 VERSION = "byte_bpe_50k-1"
+#: The version that documents come in with: every byte is a token.
+BYTES_VERSION = "utf8_bytes-1"
 
 
 def counted(docs: DataFrame, path: str, version: str) -> DataFrame:
@@ -99,12 +101,15 @@ def exact_copies(counts: DataFrame) -> DataFrame:
 
 
 def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document comes in, then its exact copies go: tokens of distinct texts by source, language and tokenizer.
+    """Every document comes in counted in bytes, all counts are revised to the tokenizer, then exact copies go: tokens of
+    distinct texts by source, language and tokenizer.
 
-    The first batch is offered twice, as a retried job would.
+    Every batch is offered twice, as a retried job would.
     """
     counts = materialize(counted(table(spark, sf_dir, "documents"), tokenizer_path(), VERSION), "token-counts")
+    before = counts.withColumn("n_tokens", F.col("n_bytes")).withColumn("tokenizer", F.lit(BYTES_VERSION))
     folder = run_dir(spark, "token-rollup")
-    for batch, changes in (("load", inserted(counts)), ("load", inserted(counts)), ("copies", deleted(exact_copies(counts)))):
+    for batch, changes in (("load", inserted(before)), ("revise", revised(before, counts)), ("copies", deleted(exact_copies(counts)))):
+        commit(changes, folder, batch)
         commit(changes, folder, batch)
     return totals(spark, folder)

@@ -218,6 +218,20 @@ def test_rollup_follows_its_changes(spark, documents):
     assert now() == {("v2", 2, 14, 6)}
 
 
+def test_rollup_query_revises_every_row(spark, documents, tmp_path, monkeypatch):
+    docs = documents([(1, "one two three"), (2, "one two three"), (3, "other words"), (4, None)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    folder = str(tmp_path / "rollup")
+    monkeypatch.setattr(token_counts, "run_dir", lambda spark, label: folder)
+    got = token_counts.op1_token_rollup(spark, str(tmp_path))
+    distinct = token_counts.counted(docs.where("doc_id <> 2"), packing.tokenizer_path(), token_counts.VERSION)
+    want = distinct.groupBy(*token_counts.KEY).agg(F.count("*"), F.sum("n_tokens"), F.sum("n_bytes"))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    deltas = spark.read.parquet(f"{folder}/deltas").groupBy("batch", "tokenizer").agg(F.sum("n_docs").alias("n")).collect()
+    assert {(r.batch, r.tokenizer, r.n) for r in deltas} == {
+        ("load", token_counts.BYTES_VERSION, 4), ("revise", token_counts.BYTES_VERSION, -4), ("revise", token_counts.VERSION, 4), ("copies", token_counts.VERSION, -1)}
+
+
 def test_rollup_writes_an_unfinished_batch_anew(spark, documents):
     counts = token_counts.counted(documents([(1, "a")]), packing.tokenizer_path(), "v1")
     folder = run_dir(spark, "rollup")

@@ -68,7 +68,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
 def without_shared_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines left in ``text`` and their length in ``n_chars``; documents left without a word go."""
-    rows = dedup_lines(docs)
+    # Out of a one-row generator, so that a filter on the kept text does not put it together a second time.
+    rows = dedup_lines(docs).select("row", F.inline(F.array(F.struct("kept", "n_dropped"))))
     text = F.col("kept")
     new = {"text": text, "n_chars": F.length(text).cast("long")}
     cols = [(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns]

@@ -102,10 +102,15 @@ def judged(docs: DataFrame, *keep: str, rules: tuple[Rule, ...] = RULES) -> Data
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass every rule, with the columns they came with."""
+    """The documents that pass every rule, with the columns they came with.
+
+    The verdict comes out of a one-row ``inline``: Spark moves a filter below a projection and would put every measure's
+    expression, the splitting of the text with it, in the place of its name; it moves none below a generator.
+    """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     held = docs.select(F.col("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    good = judged(held, "_row").where("kept")
+    verdict = judged(held, "_row").select("_row", F.inline(F.array(F.struct(F.col("kept").alias("_kept")))))
+    good = verdict.where("_kept")
     return good.select(*(F.col("_row").getField(c).alias(n) for c, n in zip(docs.columns, names))).toDF(*docs.columns)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.llm.store import materialize, table
-from folioscope.llm.words import blocks, mix, pair, signed, smallest
+from folioscope.llm.words import BLOCK_BYTES, blocks, mix, pair, signed, smallest
 
 WINDOW = 50
 PREFIX = 16
@@ -74,23 +74,24 @@ def _runs(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarra
     return rank[at], at, edge[real], last[real]
 
 
-def _pieces(texts: pa.Array, window: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+def _pieces(texts: pa.Array, window: int, long_bytes: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
     """``blocks`` with long texts in pieces that overlap by one passage less one byte; the last value is where a piece starts."""
-    for lo, hi, data, offsets in blocks(texts):
-        if len(data) <= LONG_BYTES:
+    for lo, hi, data, offsets in blocks(texts, min(BLOCK_BYTES, long_bytes)):
+        if len(data) <= long_bytes:
             yield lo, hi, data, offsets, 0
             continue
-        for start in range(0, len(data) - window + 1, LONG_BYTES):
-            part = data[start:start + LONG_BYTES + window - 1]
+        # A block beyond its size holds one text alone.
+        for start in range(0, len(data) - window + 1, long_bytes):
+            part = data[start:start + long_bytes + window - 1]
             yield lo, hi, part, np.array([0, len(part)]), start
 
 
-def ranked(docs: DataFrame, window: int) -> DataFrame:
+def ranked(docs: DataFrame, window: int, long_bytes: int = LONG_BYTES) -> DataFrame:
     """rank, doc_id, text hash and position of the suffixes looked at."""
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets, shift in _pieces(batch.column("text"), window):
+            for lo, hi, data, offsets, shift in _pieces(batch.column("text"), window, long_bytes):
                 names, at, _, _ = _runs(data, offsets, window)
                 row = np.searchsorted(offsets, at, side="right") - 1
                 rows = pa.array(row + lo)
@@ -107,9 +108,9 @@ def not_unique(suffixes: DataFrame, hot_rows: int) -> DataFrame:
         .where("_low < _high").select("rank", (F.col("_n") > hot_rows).alias("hot")))
 
 
-def passages(docs: DataFrame, window: int, hot_rows: int) -> DataFrame:
+def passages(docs: DataFrame, window: int, hot_rows: int, long_bytes: int = LONG_BYTES) -> DataFrame:
     """rank, mark, doc_id, text hash, start and bytes of the runs of passages whose 16-byte rank is in two documents."""
-    suffixes = ranked(docs, window)
+    suffixes = ranked(docs, window, long_bytes)
     place = (F.col("pos") * 2 + F.col("hot").cast("int")).alias("p")
     found = materialize(
         suffixes.join(materialize(not_unique(suffixes, hot_rows), "repeated-ranks"), "rank").groupBy("doc_id", "_text").agg(F.collect_set(place).alias("found")), "repeated-prefixes")
@@ -117,7 +118,7 @@ def passages(docs: DataFrame, window: int, hot_rows: int) -> DataFrame:
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("found")
-            for lo, hi, data, offsets, shift in _pieces(batch.column("text"), window):
+            for lo, hi, data, offsets, shift in _pieces(batch.column("text"), window, long_bytes):
                 names, at, first, last = _runs(data, offsets, window)
                 own = lists.slice(lo, hi - lo)
                 places = own.flatten().to_numpy()
@@ -194,7 +195,7 @@ def _spans_of(rows: pa.Table, window: int) -> pa.RecordBatch:
         names=["doc_id", "_text", "start", "stop"])
 
 
-def _walk(window: int):
+def _walk(window: int, chunk_bytes: int):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -203,7 +204,7 @@ def _walk(window: int):
                 continue
             held.append(batch)
             size += batch.nbytes
-            if size < CHUNK_BYTES:
+            if size < chunk_bytes:
                 continue
             rows = pa.Table.from_batches(held)
             rank = rows.column("rank").to_numpy()
@@ -241,17 +242,19 @@ def _hot_spans(hot: DataFrame, window: int) -> DataFrame:
         "doc_id", "_text", "start", (F.col("start") + window).cast("int").alias("stop"))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, hot_rows: int = HOT_ROWS) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, hot_rows: int = HOT_ROWS, long_bytes: int = LONG_BYTES,
+                   chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, text hash, start and stop of bytes a smaller doc_id has too; spans may overlap."""
-    rows = passages(docs, window, hot_rows)
-    cold = rows.where("not hot").repartition("rank").sortWithinPartitions("rank", "run", "doc_id").mapInArrow(_walk(window), SPAN)
+    rows = passages(docs, window, hot_rows, long_bytes)
+    cold = rows.where("not hot").repartition("rank").sortWithinPartitions("rank", "run", "doc_id").mapInArrow(_walk(window, chunk_bytes), SPAN)
     return cold.unionByName(_hot_spans(rows.where("hot"), window))
 
 
-def dedup_bytes(docs: DataFrame, window: int = WINDOW, hot_rows: int = HOT_ROWS) -> DataFrame:
+def dedup_bytes(docs: DataFrame, window: int = WINDOW, hot_rows: int = HOT_ROWS, long_bytes: int = LONG_BYTES,
+                chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` (bytes left) for every row of ``docs``."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_text", F.xxhash64("text"))
-    spans = repeated_spans(rows.where(f"doc_id is not null and octet_length(text) >= {window}"), window, hot_rows)
+    spans = repeated_spans(rows.where(f"doc_id is not null and octet_length(text) >= {window}"), window, hot_rows, long_bytes, chunk_bytes)
     cut = materialize(spans.groupBy("doc_id", "_text").agg(F.collect_list("start").alias("a"), F.collect_list("stop").alias("b")), "repeated-spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,11 +25,9 @@ def test_suffixes_against_the_definition(documents, seed, hot):
     assert sum(r[2] for r in want) > 1000
 
 
-def test_suffixes_in_pieces_of_a_long_text(documents, monkeypatch):
-    monkeypatch.setattr(suffixes, "LONG_BYTES", 100)
-    monkeypatch.setattr(suffixes, "CHUNK_BYTES", 500)
+def test_suffixes_in_pieces_of_a_long_text(documents):
     rows = corpus(3, 20)
-    got = suffixes.dedup_bytes(documents(rows)).withColumn("sha", F.sha2("kept", 256))
+    got = suffixes.dedup_bytes(documents(rows), long_bytes=100, chunk_bytes=500).withColumn("sha", F.sha2("kept", 256))
     assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "sha") == Counter(suffixes.brute_force(rows))
 
 

@@ -46,6 +46,19 @@ def test_quality_keeps_good_documents_with_their_columns(documents):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, None])
 
 
+def test_filters_do_not_repeat_what_they_ask(documents):
+    docs = documents(EDGES)
+    plan = quality.keep_good(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2
+    plan = lines.without_shared_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_except(") == 1
+
+
+def test_quality_stage_is_not_quadratic_in_the_length_of_a_text(documents):
+    text = " ".join(f"word{i} of the" for i in range(20_000))
+    assert quality.keep_good(documents([(1, text)])).count() in (0, 1)
+
+
 def test_quality_runs_without_python(documents):
     plan = quality.judged(documents(EDGES), "doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan.split("Scan")[0].replace("RoundRobin", "")[:0]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontamination, lines, minhash, packing, quality, reputation, sharding, substrings, suffixes, token_counts
+from folioscope.llm import (
+    decontamination, lines, minhash, negatives, packing, quality, reputation, sharding, substrings, suffixes, token_counts, whitening)
 
 QUERIES = {
     "op1_token_rollup": token_counts.op1_token_rollup,
@@ -15,5 +16,8 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_suffix_automaton": decontamination.op10_suffix_automaton,
+    "op11_cover_tree_negatives": negatives.op11_cover_tree_negatives,
+    "op13_polarised_whitening": whitening.op13_polarised_whitening,
 }
-ORACLE = {"op4_line_dedup": lines.SQL, "op7_host_reputation": reputation.SQL, "op8_quality_rules": quality.SQL}
+ORACLE = {"op4_line_dedup": lines.SQL, "op7_host_reputation": reputation.SQL, "op8_quality_rules": quality.SQL,
+          "op11_cover_tree_negatives": negatives.SQL}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from folioscope.llm import (
-    decontamination, lines, minhash, negatives, packing, quality, reputation, sharding, substrings, suffixes, token_counts, whitening)
+    classifier, decontamination, lines, minhash, negatives, packing, quality, reputation, sharding, substrings, suffixes, token_counts, whitening)
 
 QUERIES = {
     "op1_token_rollup": token_counts.op1_token_rollup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_suffix_automaton": decontamination.op10_suffix_automaton,
     "op11_cover_tree_negatives": negatives.op11_cover_tree_negatives,
+    "op12_byte_convolution": classifier.op12_byte_convolution,
     "op13_polarised_whitening": whitening.op13_polarised_whitening,
 }
 ORACLE = {"op4_line_dedup": lines.SQL, "op7_host_reputation": reputation.SQL, "op8_quality_rules": quality.SQL,

@@ -37,7 +37,9 @@ FILTERS = 24
 #: Bounds of the sample the network is fitted on: rows of each label, and bytes of a text.
 FIT_ROWS = 2_000
 FIT_TEXT_BYTES = 16_384
+#: The sample is gone through ``EPOCHS`` times, a small one as often as ``LEAST_STEPS`` batches take.
 EPOCHS = 14
+LEAST_STEPS = 700
 BATCH_TEXTS = 32
 RATE = 0.004
 DECAY = 1e-4
@@ -155,7 +157,9 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, epoch
     network, draw = Network.new(seed), np.random.default_rng(seed + 1)
     first = {n: np.zeros(s) for n, s in SHAPES.items()}
     second = {n: np.zeros(s) for n, s in SHAPES.items()}
-    step, steps = 0, epochs * -(-len(texts) // BATCH_TEXTS)
+    batches = -(-len(texts) // BATCH_TEXTS)
+    epochs = max(epochs, -(-LEAST_STEPS // batches))
+    step, steps = 0, epochs * batches
     for _ in range(epochs):
         order = draw.permutation(len(texts))
         for lo in range(0, len(order), BATCH_TEXTS):

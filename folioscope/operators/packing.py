@@ -7,21 +7,19 @@ open chunk, ``C`` adds a content block, ``B`` closes the chunk. Packing folds ov
 * ``F`` that would go over the bound closes the chunk when it is larger than the chunk or the chunk has no tokens;
   otherwise, with more than two items in the chunk, all but the last are closed and the last moves on with the run.
 
-Pages of ordinary length are one fold on one row. Longer pages are folded in stripes, each from the state the stripe
-before it ends in: all stripes run at once from a guessed state, and those that are then entered differently run
-again, until none is. The first stripe is right from the start and every pass makes at least one more final, so the
-fixed point is the sequential answer; as chunks close often, stripes forget their guess quickly and few passes do.
+Pages of ordinary length are one fold on one row. Longer pages are cut into stripes, whose chunk starts are found at the
+same time (``stripes``), in rounds that grow with the logarithm of their number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscope.functions.rows import unnest
 from folioscope.operators.blocks import STRIPE_ROWS, classify_blocks, split_long_pages, units
-from folioscope.operators.joins import join_chosen
 from folioscope.operators.running import running_sums
-from folioscope.session import cut_lineage, has_rows
+from folioscope.operators.stripes import chunk_starts
+from folioscope.session import cut_lineage
 
 NO_TEXTS = "cast(array() as array<string>)"
 
@@ -72,62 +70,12 @@ def _fold_texts(ops: Column, max_tokens: int) -> Column:
     return F.aggregate(ops, start, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], lines(s["open"]))).otherwise(s["done"]))
 
 
-STATE = {"tokens": "bigint", "items": "int", "last": "bigint", "last_ord": "bigint"}
-
-
-def _fold_starts(ops: Column, entry: Column, max_tokens: int) -> Column:
-    """End state of a stripe entered with ``entry``, and the order keys of the items that open a chunk.
-
-    ``items`` counts the items of the open chunk up to 3, all that the rules ask.
-    """
-    def step(s: Column, op: Column) -> Column:
-        is_break = op["op"] == "B"
-        all_out = _closes_all(op, s["tokens"], max_tokens)
-        most_out = (s["tokens"] + op["size"] > max_tokens) & (s["items"] > 2)
-        opens = (
-            F.when(is_break, F.expr("cast(array() as array<bigint>)"))
-            .when(all_out | (s["items"] == 0), F.array(op["ord"]))
-            .when(most_out, F.array(s["last_ord"]))
-            .otherwise(F.expr("cast(array() as array<bigint>)"))
-        )
-        tokens = F.when(all_out, F.lit(0).cast("bigint")).when(most_out, s["last"]).otherwise(s["tokens"])
-        items = F.when(is_break, 0).when(all_out, 1).when(most_out, 2).otherwise(F.least(s["items"] + 1, F.lit(3)))
-        return F.struct(
-            F.concat(s["starts"], opens).alias("starts"), (tokens + op["size"]).alias("tokens"), items.cast("int").alias("items"),
-            op["size"].alias("last"), F.when(is_break, F.lit(0).cast("bigint")).otherwise(op["ord"]).alias("last_ord"))
-
-    start = F.struct(F.expr("cast(array() as array<bigint>)").alias("starts"), *[entry[c].alias(c) for c in STATE])
-    return F.aggregate(ops, start, step)
-
-
 def _pack_stripes(ops: DataFrame, max_tokens: int, stripe_rows: int) -> DataFrame:
     """``page_id, chunk_id, text`` of pages too long for one task."""
     flat = ops.withColumn("stripe", F.floor(F.col("unit") / stripe_rows))
     flat = unnest(flat, ["page_id", "stripe"], "ops", "at", "o").select("page_id", "stripe", "o.*")
-    sizes = flat.groupBy("page_id", "stripe").agg(F.array_sort(F.collect_list(F.struct("ord", "op", "size"))).alias("ops"))
-    following = Window.partitionBy("page_id").orderBy("stripe")
-    nexts = flat.select("page_id", "stripe").distinct().withColumn("next", F.lead("stripe").over(following))
-    stripes = cut_lineage(sizes.join(nexts, ["page_id", "stripe"]))
-
-    place = ["page_id", "stripe"]
-    fresh = F.struct(*[F.lit(0).cast(t).alias(c) for c, t in STATE.items()])
-
-    def fold(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("end", _fold_starts(F.col("ops"), F.col("entry"), max_tokens)).select(*place, "next", "entry", "end")
-
-    folded = cut_lineage(fold(stripes.withColumn("entry", fresh)))
-    while True:
-        ends = F.struct(*[F.col(f"end.{c}").alias(c) for c in STATE])
-        handed = folded.filter(F.col("next").isNotNull()).select("page_id", F.col("next").alias("stripe"), ends.alias("handed"))
-        changed = cut_lineage(folded.select(*place, "entry").join(handed, place).filter(F.col("entry") != F.col("handed")).select(
-            *place, F.col("handed").alias("entry")))
-        if not has_rows(changed):
-            break
-        # Only stripes that are entered differently are folded again.
-        again = fold(join_chosen(stripes, changed, place, salt_by=place))
-        folded = cut_lineage(join_chosen(folded, changed.select(*place), place, "left_anti").unionByName(again))
-
-    starts = unnest(folded, ["page_id"], "end.starts", "at", "ord").drop("at").withColumn("chunk_id", F.lit(1).cast("bigint"))
+    flat = cut_lineage(flat)
+    starts = chunk_starts(flat.drop("text"), max_tokens).withColumn("chunk_id", F.lit(1).cast("bigint"))
     items = flat.filter(F.col("op") != "B").select("page_id", "ord", "text")
     marked = items.join(starts, ["page_id", "ord"], "left").fillna(0, ["chunk_id"])
     numbered = running_sums(marked, ["page_id"], ["page_id", "ord"], ["chunk_id"])

@@ -1,7 +1,11 @@
+import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from folioscope.operators import stripes
 from folioscope.operators.blocks import group_runs
 from folioscope.operators.packing import chunk_arrays, explode_chunks, pack_chunks
 
@@ -99,3 +103,70 @@ def test_arrays_and_explode(spark, random_pages):
     assert {r.page_id: r.chunks for r in chunk_arrays(random_pages, 10, 4).collect()} == {r.page_id: r.chunks for r in arrays.collect()}
     rows = explode_chunks(spark.createDataFrame([("d", ["x", "y"], "t")], "id string, chunks array<string>, title string")).collect()
     assert [(r.id, r.doc_id, r.chunk_id, r.title, r.document) for r in rows] == [("d_1", "d", 1, "t", "x"), ("d_2", "d", 2, "t", "y")]
+
+
+def chunks_of_sizes(spark, page, sizes, types=None):
+    rows = [(page, i, (types or ["paragraph"] * len(sizes))[i], f"{page}{i}", n) for i, n in enumerate(sizes)]
+    return spark.createDataFrame(rows, "page_id string, pos int, btype string, text string, n_tokens bigint")
+
+
+@pytest.mark.parametrize("n", [8, 64])
+def test_rounds_grow_with_the_logarithm_of_the_stripes(spark, monkeypatch, n):
+    """Blocks of even size, whose chunk borders never meet between stripes."""
+    blocks = chunks_of_sizes(spark, "p", [3] * (7 * n))
+    rounds, compose = [], stripes._compose
+    monkeypatch.setattr(stripes, "_compose", lambda *a: rounds.append(1) or compose(*a))
+    assert collected(pack_chunks(blocks, 10, 7)) == collected(pack_chunks(blocks, 10))
+    assert len(rounds) <= math.ceil(math.log2(n)) + 3
+
+
+def test_states_that_pass_through_whole_stripes(spark):
+    sizes = [4, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 6, 0, 0, 0, 0, 0, 12, 0, 0, 3, 9, 2]
+    kinds = ["bulleted_list_item" if i % 5 == 3 else "paragraph" for i in range(len(sizes))]
+    blocks = chunks_of_sizes(spark, "p", sizes, kinds)
+    assert collected(pack_chunks(blocks, 10, 2)) == collected(pack_chunks(blocks, 10))
+
+
+def test_a_page_of_100_000_blocks(spark):
+    n = 100_000
+    blocks = spark.range(n).select(F.lit("p").alias("page_id"), F.col("id").cast("int").alias("pos"), F.lit("paragraph").alias("btype"),
+                                   F.concat(F.lit("t"), "id").alias("text"), F.lit(100).cast("bigint").alias("n_tokens"))
+    got = pack_chunks(blocks, 1024).orderBy("chunk_id").collect()
+    # Ten blocks a chunk; before every block that follows no run stands an empty line.
+    assert [r.chunk_id for r in got] == list(range(1, n // 10 + 1))
+    assert [t for r in got for t in r.text.split("\n") if t] == [f"t{i}" for i in range(n)]
+    assert all(sum(t != "" for t in r.text.split("\n")) == 10 for r in got)
+
+
+def one_by_one(ops, sizes, entry, max_tokens):
+    """Places that open a chunk and the end state, an operation after the other."""
+    tokens, items, last, starts = entry[0], entry[1], 0, []
+    for i, (op, size) in enumerate(zip(ops, sizes)):
+        if op == "B":
+            tokens = items = 0
+            continue
+        over = tokens + size > max_tokens
+        if items == 0 or over and (op == "C" or size > tokens or tokens == 0):
+            starts.append(i)
+            tokens, items = size, 1
+        elif over and items > 2:
+            starts.append(i - 1)
+            tokens, items = last + size, 2
+        else:
+            tokens, items = tokens + size, items + 1
+        last = size
+    return starts, (tokens, min(items, 3))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chains_against_one_operation_after_the_other(seed):
+    rng = random.Random(seed)
+    for _ in range(60):
+        n = rng.randrange(1, 40)
+        ops = [rng.choice("FFFCCB"[:rng.choice([3, 5, 6])]) for _ in range(n)]
+        sizes = [0 if op == "B" else rng.choice([0, 0, 1, 2, 3, 5, 8, 12]) for op in ops]
+        chains = stripes.Chains(np.array(ops, object), np.array(sizes), 0, 10)
+        for entry in [(0, 0), (3, 1), (7, 2), (9, 3), (14, 1)]:
+            starts, end = one_by_one(ops, sizes, entry, 10)
+            assert chains.starts(np.array(entry)).tolist() == starts
+            assert tuple(chains.exits(np.array([entry]))[1][0]) == end

@@ -221,8 +221,9 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 20, keys: Sequence[str] =
 
     Rows of either side without a usable vector are left out; vectors of unequal length are an error.
     """
-    index, queries = index.select(id_col, vec_col, *carry), queries.select(*keys, query_col)
-    asked = queries.filter(is_vector(F.col(query_col)))
+    index = index.select(id_col, vec_col, *carry)
+    # Stored before anything is asked of the vectors: a filter on them, the counts and the collection would each make them again.
+    asked = cut_lineage(queries.select(*keys, query_col)).filter(is_vector(F.col(query_col)))
     width = sum((_key_bytes(queries, c) for c in keys), F.lit(0).cast("long"))
     n, least, dim, named = asked.agg(F.count(F.lit(1)), F.min(F.size(query_col)), F.max(F.size(query_col)), F.sum(width)).first()
     if least != dim:
@@ -231,7 +232,7 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 20, keys: Sequence[str] =
     if blocks == 1:
         return _rank(_scan(index, asked, asked.toArrow(), k, keys, id_col, vec_col, query_col, carry), keys, id_col, k, carry)
     # Each block of questions passes over the index once; what it found is appended to one table.
-    queries = cut_lineage(asked.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks))))
+    queries = asked.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)))
     path = run_dir(index.sparkSession, "nearest")
     for number in range(blocks):
         block = queries.filter(F.col("_block") == number).drop("_block")

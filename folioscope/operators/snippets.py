@@ -1,4 +1,7 @@
-"""Chunks of the shortlisted documents: nearest per document, token budget, text per document."""
+"""Chunks of the shortlisted documents: nearest per document, token budget, text per document.
+
+Chunks are ranked and cut by ids, distances and token counts alone; texts are looked up for the chunks that are kept.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from folioscope.operators.joins import join_chosen
 from folioscope.operators.knn import squared_l2
+from folioscope.session import cut_lineage
+from folioscope.sources.chunks import located, part_column
 
 # Each broadcast row carries a question vector.
 MAX_VECTOR_ROWS = 20_000
@@ -15,8 +20,9 @@ MAX_VECTOR_BYTES = 64 << 20
 
 
 def chunks_of(shortlist: DataFrame, chunk_index: DataFrame, on: str = "doc_id", **bounds) -> DataFrame:
-    """All chunks of every shortlisted document."""
-    return join_chosen(chunk_index, shortlist, on, salt_by=["id"], **bounds)
+    """All chunks of every shortlisted document. Of an index stored by document only the partitions of those are read."""
+    index, wanted, keys = located(chunk_index, shortlist, on, bounds.get("counted"))
+    return join_chosen(index, wanted, keys, salt_by=["id"], **bounds).drop(part_column(chunk_index) or "")
 
 
 def knn_within(chunk_index: DataFrame, questions: DataFrame, shortlist: DataFrame, k: int = 50, qid: str = "qid",
@@ -43,6 +49,18 @@ def token_budget(snippets: DataFrame, budget: int = 12_288, qid: str = "qid",
     return snippets.withColumn("cum_tokens", F.sum("n_tokens").over(so_far)).filter(F.col("cum_tokens") <= budget)
 
 
+def with_texts(kept: DataFrame, chunk_index: DataFrame, text: str = "document") -> DataFrame:
+    """Add the text of the chunks that are left, ``id, doc_id`` of which find it in the index.
+
+    ``kept`` is stored first: it is what a question may be answered from, and it is measured, then joined.
+    """
+    kept = cut_lineage(kept)
+    part = part_column(chunk_index)
+    texts = chunk_index.select(*([part] if part else []), "id", "doc_id", text)
+    texts, wanted, keys = located(texts, kept)
+    return join_chosen(texts, wanted, [*keys, "id"], salt_by=["id"]).drop(part or "").select(*kept.columns, text)
+
+
 def reassemble(snippets: DataFrame, keys: Sequence[str] = ("qid", "doc_id")) -> DataFrame:
     """Text per question and document: its kept chunks in chunk order, joined with one blank."""
     parts = F.array_sort(F.collect_list(F.struct("chunk_id", "document")))

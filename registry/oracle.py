@@ -295,3 +295,13 @@ BODIES = {
 
 ORACLE = {name: _with(body) for name, body in BODIES.items()}
 ORACLE["chunks_full"] = _with("SELECT doc_id, chunk_id, text FROM chunks").replace(f"> {MAX_TOKENS}", "> 1024")
+
+
+def _full(name: str) -> str:
+    """The SQL of ``name`` at the defaults: chunks of 1,024 tokens, 50 a document, a budget of 12,288."""
+    sql = ORACLE[name].replace(f"> {MAX_TOKENS}", "> 1024").replace(f"cum_tokens <= {CONFIG.budget}", "cum_tokens <= 12288")
+    return re.sub(rf"rank <= {CONFIG.chunk_results}\b", "rank <= 50", sql)
+
+
+for _name in ("knn_within", "snippets", "context", "prompt", "answers", "transcript"):
+    ORACLE[f"{_name}_full"] = _full(_name)

@@ -12,16 +12,15 @@ from folioscope.functions.properties import merge_metadata, metadata_map
 from folioscope.functions.rows import unnest
 from folioscope.functions.text import content_text, lead_sentences, n_tokens, two_decimals
 from folioscope.operators.blocks import classify_blocks, group_runs, read_blocks
-from folioscope.operators.context import assemble_context, build_prompt, number_context
+from folioscope.operators.context import build_prompt, number_context
 from folioscope.operators.embedding import embed, term_counts
 from folioscope.operators.knn import knn
 from folioscope.operators.packing import chunk_arrays, explode_chunks, pack_chunks
 from folioscope.operators.ranking import fuse, query_report, reciprocal_rank, shortlist, shortlist_report
 from folioscope.operators.relations import resolve_relations
-from folioscope.operators.snippets import reassemble
 from folioscope.operators.summary import base_metadata, build_summary_prompt, full_text, summarize
 from folioscope.operators.usage import running_usage, usage_by
-from folioscope.plans.answer import nearest_snippets, retrieve_snippets, shortlist_vectors, split_queries, transcript
+from folioscope.plans.answer import context_of, nearest_snippets, retrieve_snippets, shortlist_vectors, snippet_texts, split_queries, transcript
 from folioscope.plans.ingest import LoaderConfig, Source, chunk_rows, open_indexes, run_ingest
 from folioscope.schema import MARKS
 from folioscope.session import cut_lineage, run_dir
@@ -406,56 +405,89 @@ def q_knn_within(spark, sf):
     return _ranked(near).select("qid", "doc_id", "rank", "id", "distance")
 
 
-def _snippets(spark, sf, chosen):
-    return retrieve_snippets(V.questions(spark, sf), chosen, V.chunk_index(spark, sf), V.CONFIG)
+def q_knn_within_full(spark, sf):
+    """Chunks of 1,024 tokens, 50 a document."""
+    near = nearest_snippets(V.questions(spark, sf), _chosen(spark, sf), V.chunk_index_full(spark, sf), V.FULL)
+    return _ranked(near).select("qid", "doc_id", "rank", "id", "distance")
 
 
-def q_snippets(spark, sf):
-    kept = _snippets(spark, sf, _chosen(spark, sf))
+def _snippets(spark, sf, index, cfg):
+    kept = retrieve_snippets(V.questions(spark, sf), _chosen(spark, sf), index, cfg)
     return kept.select("qid", "id", "doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "distance", "cum_tokens")
 
 
+def q_snippets(spark, sf):
+    return _snippets(spark, sf, V.chunk_index(spark, sf), V.CONFIG)
+
+
+def q_snippets_full(spark, sf):
+    """At the default chunk size, results and budget."""
+    return _snippets(spark, sf, V.chunk_index_full(spark, sf), V.FULL)
+
+
 def q_doc_snippets(spark, sf):
     chosen = _chosen(spark, sf)
-    texts = number_context(chosen, reassemble(_snippets(spark, sf, chosen)))
+    texts = number_context(chosen, snippet_texts(V.questions(spark, sf), chosen, V.chunk_index(spark, sf), V.CONFIG))
     return texts.select("qid", F.col("number").cast("bigint").alias("number"), "doc_id", "text")
 
 
-def _context(spark, sf):
-    chosen = _chosen(spark, sf)
-    return assemble_context(chosen, reassemble(_snippets(spark, sf, chosen)))
+def q_context(spark, sf):
+    return context_of(V.questions(spark, sf), _chosen(spark, sf), V.chunk_index(spark, sf), V.CONFIG)
 
 
-def q_context(spark, sf):
-    return _context(spark, sf)
+def q_context_full(spark, sf):
+    return context_of(V.questions(spark, sf), _chosen(spark, sf), V.chunk_index_full(spark, sf), V.FULL)
 
 
-def q_prompt(spark, sf):
-    asked = build_prompt(_context(spark, sf), V.questions(spark, sf))
+def _prompt(spark, sf, context):
+    asked = build_prompt(context, V.questions(spark, sf))
     return unnest(asked, ["qid"], "messages", "seq", "m").select(
         "qid", F.col("seq").cast("bigint").alias("seq"), F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 
-def q_answers(spark, sf):
+def q_prompt(spark, sf):
+    return _prompt(spark, sf, q_context(spark, sf))
+
+
+def q_prompt_full(spark, sf):
+    return _prompt(spark, sf, q_context_full(spark, sf))
+
+
+def _answers(spark, sf, context):
     """Prompts through the completion map with its offline default: the reply repeats the question."""
-    asked = build_prompt(_context(spark, sf), V.questions(spark, sf))
-    replies = normalize_reply(complete(asked), strict=True)
+    replies = normalize_reply(complete(build_prompt(context, V.questions(spark, sf))), strict=True)
     return replies.select("qid", F.col("reply_role").alias("role"), F.col("reply_content").alias("content"), "completion_tokens")
 
 
+def q_answers(spark, sf):
+    return _answers(spark, sf, q_context(spark, sf))
+
+
+def q_answers_full(spark, sf):
+    return _answers(spark, sf, q_context_full(spark, sf))
+
+
 def _sentences(messages):
     """Offline search queries: the sentences of the question."""
     asked = messages[-1]["content"]
     return {"role": "assistant", "content": asked.replace(". ", ";")}, {"completion_tokens": len(asked), "prompt_tokens": len(messages)}
 
 
-def q_transcript(spark, sf):
-    """Everything an asker sees, with both completion maps on their offline functions."""
+def _transcript(spark, sf, index, cfg):
     summaries = V.summary_index(spark, sf).withColumn("metadata", base_metadata("title"))
-    said = transcript(V.questions(spark, sf), summaries, V.chunk_index(spark, sf), _sentences, lead_reply, V.CONFIG)
+    said = transcript(V.questions(spark, sf), summaries, index, _sentences, lead_reply, cfg)
     return said.select("qid", F.col("seq").cast("bigint").alias("seq"), "role", "content", "completion_tokens")
 
 
+def q_transcript(spark, sf):
+    """Everything an asker sees, with both completion maps on their offline functions."""
+    return _transcript(spark, sf, V.chunk_index(spark, sf), V.CONFIG)
+
+
+def q_transcript_full(spark, sf):
+    return _transcript(spark, sf, V.chunk_index_full(spark, sf), V.FULL)
+
+
 # Messages and accounting
 
 

@@ -12,7 +12,9 @@ from folioscope.functions.text import lead_sentences, n_tokens
 from folioscope.operators.embedding import embed
 from folioscope.operators.packing import pack_chunks
 from folioscope.plans.answer import AnswerConfig, split_queries
+from folioscope.plans.ingest import LoaderConfig
 from folioscope.session import run_dir, spread
+from folioscope.sources.chunks import write_chunks
 
 MAX_TOKENS = 128
 CONFIG = AnswerConfig(chunk_results=2, budget=100)
@@ -95,13 +97,14 @@ def titled(docs: DataFrame) -> DataFrame:
 _stored: dict[tuple[str, str, str], str] = {}
 
 
-def stored(spark: SparkSession, sf: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+def stored(spark: SparkSession, sf: str, name: str, build: Callable[[SparkSession, str], DataFrame],
+           write: Callable[[DataFrame, str], None] = lambda df, path: df.write.parquet(path)) -> DataFrame:
     """An index over the tables in ``sf``: built and written by the first query of an application that asks for it, as
     an index is built once and searched often. Every build has its own folder."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _stored:
         path = run_dir(spark, name)
-        build(spark, sf).write.parquet(path)
+        write(build(spark, sf), path)
         _stored[key] = path
     return spark.read.parquet(_stored[key])
 
@@ -111,7 +114,12 @@ def summary_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_index(spark: SparkSession, sf: str) -> DataFrame:
-    return stored(spark, sf, "chunk_index", build_chunk_index)
+    return stored(spark, sf, "chunk_index", build_chunk_index, write_chunks)
+
+
+def chunk_index_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of the default size."""
+    return stored(spark, sf, "chunk_index_full", lambda s, f: build_chunk_index(s, f, LoaderConfig.max_tokens), write_chunks)
 
 
 def build_summary_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,15 +128,15 @@ def build_summary_index(spark: SparkSession, sf: str) -> DataFrame:
     return embed(docs, "document")
 
 
-def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
-    packed = pack_chunks(blocks(spark, sf), MAX_TOKENS)
+def chunk_rows(spark: SparkSession, sf: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    packed = pack_chunks(blocks(spark, sf), max_tokens)
     return packed.select(F.concat_ws("_", "page_id", "chunk_id").alias("id"), F.col("page_id").cast("bigint").alias("doc_id"),
                          "chunk_id", F.col("text").alias("document"))
 
 
-def build_chunk_index(spark: SparkSession, sf: str) -> DataFrame:
-    """``id, doc_id, chunk_id, document, embedding`` of all documents."""
-    return embed(chunk_rows(spark, sf), "document")
+def build_chunk_index(spark: SparkSession, sf: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """``id, doc_id, chunk_id, document, n_tokens, embedding`` of all documents."""
+    return embed(chunk_rows(spark, sf, max_tokens).withColumn("n_tokens", n_tokens(F.col("document"))), "document")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:

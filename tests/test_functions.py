@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,10 +120,85 @@ def test_completion_map_keeps_to_its_parallelism(spark, tmp_path):
         return {"role": "assistant", "content": f"{mark} {started} {time.time()}"}, {}
 
     asked = spark.range(60).repartition(8).select("id", F.array(message("user", F.col("id").cast("string"))).alias("messages"))
-    got = complete(asked, slow, parallelism=3, options={"mark": "m"}, task_calls=5)
-    assert got.rdd.getNumPartitions() >= 1 and {r.id for r in got.collect()} == set(range(60))
-    spans = [tuple(map(float, r.reply_content.split(" ")[1:])) for r in got.collect()]
+    got = complete(asked, slow, parallelism=3, options={"mark": "m"})
+    first = got.collect()
+    assert {r.id for r in first} == set(range(60))
+    spans = [tuple(map(float, r.reply_content.split(" ")[1:])) for r in first]
     assert max(sum(a <= t < b for a, b in spans) for t, _ in spans) <= 3
+    assert sorted(got.collect()) == sorted(first)  # a second action asks nothing
+
+
+def counting(folder, fail_on=None):
+    """A model that leaves a file per call, and dies once at the message ``fail_on``."""
+    def fn(messages):
+        import os
+        import time
+        import uuid
+
+        asked = messages[-1]["content"]
+        if asked == fail_on and not os.path.exists(f"{folder}/died"):
+            time.sleep(4)  # the other tasks are done by then
+            open(f"{folder}/died", "w").close()
+            raise RuntimeError("lost")
+        open(f"{folder}/call-{asked}-{uuid.uuid4().hex}", "w").close()
+        return {"role": "assistant", "content": asked.upper()}, {"completion_tokens": 1, "prompt_tokens": 1}
+
+    return fn
+
+
+def calls_in(folder):
+    return Counter(p.name.split("-")[1] for p in folder.iterdir() if p.name.startswith("call-"))
+
+
+def requests_of(spark, n):
+    return spark.range(n).select("id", F.array(message("user", F.concat(F.lit("m"), "id"))).alias("messages"))
+
+
+def test_a_task_that_dies_repeats_its_own_calls_only(spark, tmp_path):
+    seen, log = tmp_path / "seen", str(tmp_path / "log")
+    seen.mkdir()
+    asked = requests_of(spark, 60)
+    fn = counting(str(seen), "m33")
+    with pytest.raises(Exception, match="lost"):
+        complete(asked, fn, parallelism=3, log=log)
+    once = calls_in(seen)
+    kept = {r.reply_content.lower() for r in spark.read.parquet(log).collect()}
+    assert len(kept) == 40 and kept <= set(once)  # what the other two tasks had
+    got = complete(asked, fn, parallelism=3, log=log)
+    assert {r.id: r.reply_content for r in got.collect()} == {i: f"M{i}" for i in range(60)}
+    repeated = {m for m, n in calls_in(seen).items() if n > 1}
+    assert repeated == set(once) - kept and len(repeated) < 20
+
+
+def test_a_rerun_sends_what_the_log_lacks(spark, tmp_path):
+    seen, log = tmp_path / "seen", str(tmp_path / "log")
+    seen.mkdir()
+    fn = counting(str(seen))
+    complete(requests_of(spark, 5), fn, log=log).collect()
+    got = complete(requests_of(spark, 8), fn, log=log)
+    assert got.count() == 8 and sum(r.completion_tokens for r in got.collect()) == 8
+    assert calls_in(seen) == Counter(f"m{i}" for i in range(8))
+    complete(requests_of(spark, 8), lambda messages, heat: fn(messages), options={"heat": 1}, log=log)
+    assert calls_in(seen) == Counter({f"m{i}": 2 for i in range(8)})  # other options, other requests
+    assert complete(requests_of(spark, 0), fn, log=log).count() == 0
+
+
+def test_many_requests_are_sent_by_one_job(spark, tmp_path):
+    asked = requests_of(spark, 20_000)
+    spark.sparkContext.setJobGroup("completions", "")
+    try:
+        got = complete(asked, parallelism=4, log=str(tmp_path / "log"))
+        assert got.count() == 20_000
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("completions")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    few = requests_of(spark, 20)
+    spark.sparkContext.setJobGroup("few", "")
+    try:
+        assert complete(few, parallelism=4, log=str(tmp_path / "few")).count() == 20
+        assert len(jobs) <= len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) + 2
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_scores_near_nothing(spark):

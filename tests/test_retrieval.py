@@ -1,4 +1,6 @@
 import random
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,8 +8,10 @@ from pyspark.sql import functions as F
 from folioscope.operators.context import ANSWER_INSTRUCTIONS, assemble_context, build_prompt, number_context
 from folioscope.operators.joins import join_chosen
 from folioscope.operators.ranking import fuse, order_shortlist, query_report, shortlist, shortlist_report
-from folioscope.operators.snippets import knn_within, reassemble, token_budget
+from folioscope.operators.snippets import chunks_of, knn_within, reassemble, token_budget, with_texts
 from folioscope.operators.usage import running_usage, usage_by
+from folioscope.plans.answer import AnswerConfig, context_of, retrieve_snippets, shortlist_docs
+from folioscope.sources.chunks import part_of, write_chunks
 
 HITS = [("q", 0, 1, "A", "a"), ("q", 0, 2, "B", "b"), ("q", 0, 3, "C", "c"), ("q", 1, 1, "B", "b"), ("q", 1, 2, "D", "d")]
 
@@ -94,3 +98,76 @@ def test_usage(spark):
 def test_usage_of_intervals(spark):
     df = spark.sql("SELECT 1 AS completion_tokens, 2 AS prompt_tokens, INTERVAL '1.5' SECOND AS response_time FROM range(2)")
     assert usage_by(df, []).first().response_time.total_seconds() == 3.0
+
+
+def chunk_rows_of(spark, n_docs=40, per_doc=3):
+    rows = [(f"{d}_{c}", d, c, f"text {d} {c} " + "word " * c, c + 3, [float(d % 7), float(c)]) for d in range(n_docs) for c in range(1, per_doc + 1)]
+    return spark.createDataFrame(rows, "id string, doc_id bigint, chunk_id int, document string, n_tokens bigint, embedding array<float>")
+
+
+@pytest.fixture
+def laid_out(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    write_chunks(chunk_rows_of(spark), path, parts=8)
+    return path
+
+
+def test_a_lookup_reads_the_partitions_of_its_documents_only(spark, laid_out):
+    wanted = spark.createDataFrame([("q", 1, 5, "t"), ("p", 1, 5, "t"), ("p", 2, 11, None)], "qid string, pos int, doc_id bigint, title string")
+    asked = spark.createDataFrame([("q", [1.0, 1.0]), ("p", [5.0, 2.0])], "qid string, qvec array<float>")
+    want = sorted(map(tuple, knn_within(chunk_rows_of(spark).drop("document"), asked, wanted, 2).select("qid", "doc_id", "rank", "id", "distance").collect()))
+    needed = {r.p for r in spark.createDataFrame([(5,), (11,)], "doc_id bigint").select(part_of(F.col("doc_id"), 8).alias("p")).collect()}
+    schema = spark.read.parquet(laid_out).schema
+    others = [f for d in Path(laid_out).glob("part_8=*") if int(d.name.split("=")[1]) not in needed for f in d.glob("*.parquet")]
+    assert others
+    for f in others:
+        f.write_bytes(b"nobody reads this")
+    index = spark.read.schema(schema).parquet(laid_out)
+    near = knn_within(index.drop("document"), asked, wanted, 2)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[part_8#\d+ IN \(", plan)
+    assert sorted(map(tuple, near.select("qid", "doc_id", "rank", "id", "distance").collect())) == want
+    kept = near.select("qid", "doc_id", "id", "chunk_id")
+    texts = {(r.qid, r.id): r.document for r in with_texts(kept, index).collect()}
+    assert texts == {(q, i): next(r.document for r in chunk_rows_of(spark).collect() if r.id == i) for q, _, _, i, _ in want}
+
+
+def test_documents_beyond_a_broadcast_are_found_too(spark, laid_out):
+    index = spark.read.parquet(laid_out)
+    wanted = spark.range(40).select(F.lit("q").alias("qid"), F.col("id").cast("string").alias("doc_id"))
+    small, large = (sorted(r.id for r in chunks_of(wanted, index, **b).collect()) for b in ({}, {"max_rows": 3, "hot_rows": 2}))
+    assert small == large == sorted(r.id for r in chunk_rows_of(spark).collect())
+    assert "part_8" not in chunks_of(wanted, index).columns
+
+
+def test_texts_are_not_in_the_exchanges_of_snippets(spark):
+    questions = spark.createDataFrame([(1, "text 5"), (2, "word")], "qid bigint, question string")
+    chosen = spark.createDataFrame([(1, 1, 5, "t"), (2, 1, 11, "u")], "qid bigint, pos int, doc_id bigint, title string")
+    for index in (chunk_rows_of(spark), chunk_rows_of(spark).drop("n_tokens")):
+        index = index.withColumn("embedding", F.array_repeat(F.lit(1.0).cast("float"), 256))
+        kept = retrieve_snippets(questions, chosen, index)
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        moved = re.findall(r"\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*)\]", kept._jdf.queryExecution().explainString(mode))
+        assert len(moved) >= 3 and not any("document" in columns for columns in moved)
+
+
+def test_the_embedding_function_sees_a_question_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def vectors(texts):
+        import uuid
+
+        for t in texts:
+            open(f"{folder}/{t}-{uuid.uuid4().hex}", "w").close()
+        return [[float(len(t)), 1.0] for t in texts]
+
+    index = chunk_rows_of(spark)
+    summaries = index.where("chunk_id = 1").select(F.col("doc_id").alias("id"), F.create_map(F.lit("title"), F.col("document")).alias("metadata"), "embedding")
+    queries = spark.createDataFrame([(q, 0, f"q{q}") for q in range(9)], "qid bigint, qpos int, query string")
+    cfg = AnswerConfig(vectors=vectors, summary_results=3)
+    chosen = shortlist_docs(queries, summaries, cfg).cache()
+    chosen.count()
+    assert len(list(tmp_path.iterdir())) == 9
+    asked = queries.select("qid", F.concat(F.lit("full"), "query").alias("question"))
+    assert context_of(asked, chosen, index, cfg).count() == 9
+    assert len(list(tmp_path.iterdir())) == 18

@@ -34,18 +34,19 @@ def base_metadata(*names: str):
 USAGE = ("completion_tokens", "prompt_tokens", "response_us")
 
 
-def summarize(docs: DataFrame, fn: Completion | None = None, parallelism: int = 5, options: dict | None = None, usage: bool = False) -> DataFrame:
+def summarize(docs: DataFrame, fn: Completion | None = None, parallelism: int = 5, options: dict | None = None, usage: bool = False,
+              log: str | None = None) -> DataFrame:
     """Summary rows ``id, metadata, document`` of ``docs`` (``id, title, last_edited_time, chunks, metadata``).
 
     Without ``fn`` the lead sentences stand in for the model, as a column and without Python. With ``usage`` the rows have
-    the counts of their call, null without a model.
+    the counts of their call, null without a model. Calls whose reply is in ``log`` are not made again.
     """
     texts = full_text(docs)
     if fn is None:
         answered = texts.withColumn("document", lead_sentences(F.col("text"), SUMMARY_SENTENCES))
     else:
         asked = build_summary_prompt(texts).drop("chunks", "text")
-        replies = normalize_reply(complete(asked, fn, parallelism, options=options), strict=True)
+        replies = normalize_reply(complete(asked, fn, parallelism, options=options, log=log), strict=True)
         answered = replies.withColumnRenamed("reply_content", "document")
     none = F.lit(None).cast("bigint")
     counts = [(none if fn is None else F.col(c)).alias(c) for c in USAGE] if usage else []

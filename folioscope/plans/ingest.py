@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -15,8 +16,8 @@ from folioscope.operators.packing import pack_chunks
 from folioscope.operators.summary import base_metadata, summarize
 from folioscope.schema import CHUNK_INDEX, MARKS, SEEN, SUMMARY_INDEX
 from folioscope.session import cut_lineage
-from folioscope.sources.pages import changed_pages, fetch_pages, page_blocks, project_metadata
-from folioscope.sources.tables import latest_per_key, open_index, read_mark, stamp, stamp_text, write_batch, write_mark
+from folioscope.sources.pages import changed_by_loader, changed_pages, fetch_pages, page_blocks, project_metadata
+from folioscope.sources.tables import PARTS, latest_per_key, open_index, read_mark, stamp, stamp_text, write_batch, write_mark
 
 
 @dataclass
@@ -40,11 +41,15 @@ class IndexConfig:
     vectors: Callable[[list[str]], Sequence[Sequence[float]]] | None = None
     summary: Completion | None = None
     parallelism: int = 5
+    #: What a summary call takes besides the messages, as ``{"temperature": 0.6}``.
+    options: dict | None = None
+    #: Parts of a new index, see ``sources.tables``.
+    parts: int = PARTS
 
 
-def described_pages(pages: DataFrame, cfg: LoaderConfig, lookup: DataFrame | None = None) -> DataFrame:
-    """``id, title, last_edited_time, metadata`` of pages."""
-    return project_metadata(pages, cfg.metadata, cfg.title, cfg.edited, lookup).withColumnRenamed("page_id", "id")
+def described_pages(pages: DataFrame, cfg: LoaderConfig, lookup: DataFrame | None = None, scope: Sequence[str] = ()) -> DataFrame:
+    """``scope, id, title, last_edited_time, metadata`` of pages."""
+    return project_metadata(pages, cfg.metadata, cfg.title, cfg.edited, lookup, scope).withColumnRenamed("page_id", "id")
 
 
 def packed_chunks(blocks: DataFrame, cfg: LoaderConfig) -> DataFrame:
@@ -78,16 +83,16 @@ def build_chunk_index(described: DataFrame, packed: DataFrame, index: IndexConfi
     return embed(rows, "document", index.dim, fn=index.vectors)
 
 
-def build_summary_index(docs: DataFrame, index: IndexConfig = IndexConfig()) -> DataFrame:
+def build_summary_index(docs: DataFrame, index: IndexConfig = IndexConfig(), log: str | None = None) -> DataFrame:
     """Summary index rows of ``docs`` (see ``chunked_docs``)."""
-    return embed(summarize(docs, index.summary, index.parallelism), "document", index.dim, fn=index.vectors)
+    return embed(summarize(docs, index.summary, index.parallelism, index.options, log=log), "document", index.dim, fn=index.vectors)
 
 
-def index_rows(kind: str, described: DataFrame, packed: DataFrame, index: IndexConfig) -> DataFrame:
+def index_rows(kind: str, described: DataFrame, packed: DataFrame, index: IndexConfig, log: str | None = None) -> DataFrame:
     if kind == "chunk":
         return build_chunk_index(described, packed, index)
     if kind == "summary":
-        return build_summary_index(chunked_docs(described, packed), index)
+        return build_summary_index(chunked_docs(described, packed), index, log)
     raise ValueError(f"unknown index kind: {kind}")
 
 
@@ -95,15 +100,20 @@ SCHEMAS = {"chunk": CHUNK_INDEX, "summary": SUMMARY_INDEX}
 
 
 def feed_indexes(pages: DataFrame, blocks: DataFrame, root: str, kinds: Sequence[str], cfg: LoaderConfig = LoaderConfig(),
-                 index: IndexConfig = IndexConfig(), lookup: DataFrame | None = None, tag: str = "") -> None:
-    """Upsert the given pages into every index below ``root``. Pages are described and packed once for all of them."""
-    described = cut_lineage(described_pages(pages, cfg, lookup))
-    packed = packed_chunks(page_blocks(blocks, described.select(F.col("id").alias("page_id")), cfg.max_blocks), cfg)
-    for kind in sorted(kinds):  # the chunk index first: what it wrote is what summaries are made of
-        folder = write_batch(index_rows(kind, described, packed, index), f"{root}/{kind}", tag)
+                 index: IndexConfig = IndexConfig(), lookup: DataFrame | None = None, scope: Sequence[str] = ()) -> None:
+    """Upsert the given pages, one row an id, into every index below ``root``. Pages are described and packed once for all of them.
+
+    Replies of the summary model are logged below ``root``, so pages that are fed again after a failure are not paid for again.
+    """
+    described = cut_lineage(described_pages(pages, cfg, lookup, scope))
+    ids = described.select(*scope, F.col("id").alias("page_id"))
+    described = described.drop(*scope)
+    packed = packed_chunks(page_blocks(blocks, ids, cfg.max_blocks, [*scope, "page_id"]), cfg)
+    for kind in sorted(kinds):  # the chunk index first: its rows are what summaries are made of
+        rows = cut_lineage(index_rows(kind, described, packed, index, f"{root}/replies"))
+        write_batch(rows, f"{root}/{kind}", parts=index.parts)
         if kind == "chunk":
-            stored = pages.sparkSession.read.schema(CHUNK_INDEX).parquet(folder)
-            packed = stored.select(F.regexp_replace("id", "_[^_]*$", "").alias("page_id"), "chunk_id", F.col("document").alias("text"))
+            packed = rows.select(F.regexp_replace("id", "_[^_]*$", "").alias("page_id"), "chunk_id", F.col("document").alias("text"))
 
 
 @dataclass
@@ -117,56 +127,85 @@ class Source:
     indexes: Sequence[str] = ("summary", "chunk")
 
 
+PAGE = ["loader", "page_id"]
+
+
 def _sums(rows: DataFrame, text: Column) -> DataFrame:
-    """``page_id, content``: what a page's rows hold, in any order. Rows are added up in the map tasks, however many a page has."""
+    """``loader, page_id, content``: what a page's rows hold, in any order. Rows are added up in the map tasks, however many a page has."""
     hashes = [F.xxhash64(F.lit(seed), text).cast("decimal(20,0)") for seed in (0, 1)]
-    return rows.groupBy("page_id").agg(F.concat_ws(":", F.count("*"), *(F.sum(h).cast("string") for h in hashes)).alias("content"))
+    return rows.groupBy(*PAGE).agg(F.concat_ws(":", F.count("*"), *(F.sum(h).cast("string") for h in hashes)).alias("content"))
 
 
-def page_contents(source: Source, ids: DataFrame) -> DataFrame:
-    """``page_id, content``: a 128-bit hash of the properties and one of the blocks of each listed page."""
+def page_contents(pages: DataFrame, blocks: DataFrame, ids: DataFrame, max_blocks: int | None = None) -> DataFrame:
+    """``loader, page_id, content``: a 128-bit hash of the properties and one of the blocks of each listed page."""
     plain = {"ignoreNullFields": "false"}
-    pages = _sums(fetch_pages(source.pages, ids), F.to_json(F.struct(F.array_sort(F.map_entries("properties"))), plain))
-    blocks = page_blocks(source.blocks, ids, source.config.max_blocks)
-    blocks = _sums(blocks, F.to_json(F.struct(*(F.col(f"`{c}`") for c in blocks.columns if c != "page_id")), plain))
-    both = pages.join(blocks.withColumnRenamed("content", "_blocks"), "page_id", "left")
-    return both.select("page_id", F.concat_ws("/", "content", F.coalesce("_blocks", F.lit(""))).alias("content"))
+    own = _sums(fetch_pages(pages, ids, PAGE), F.to_json(F.struct(F.array_sort(F.map_entries("properties"))), plain))
+    held = page_blocks(blocks, ids, max_blocks, PAGE)
+    held = _sums(held, F.to_json(F.struct(*(F.col(f"`{c}`") for c in held.columns if c not in PAGE)), plain))
+    both = own.join(held.withColumnRenamed("content", "_blocks"), PAGE, "left")
+    return both.select(*PAGE, F.concat_ws("/", "content", F.coalesce("_blocks", F.lit(""))).alias("content"))
+
+
+def _alike(sources: Sequence[Source]) -> list[list[Source]]:
+    """Sources that are read in the same way, together."""
+    groups: list[list[Source]] = []
+    for source in sources:
+        same = next((g for g in groups if g[0].config == source.config and list(g[0].indexes) == list(source.indexes)), None)
+        same.append(source) if same else groups.append([source])
+    return groups
+
+
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 def run_ingest(spark: SparkSession, sources: Sequence[Source], root: str, index: IndexConfig = IndexConfig()) -> dict[str, bool]:
     """Feed every source's edited pages to its indexes below ``root``; says which sources had any.
 
+    Sources with equal settings are read together, each row against the mark of its own loader, so the number of jobs
+    grows with the settings that differ and not with the sources. Of a page id that several of them edited the row of the last source stays.
+
     The mark of a source moves to the newest edit that was read, and only after all its indexes are written, so a run
     that fails is repeated from the old mark; repeated upserts change nothing. Since stamps are no finer than the source's
     granularity, the next run looks back by that much and leaves out only pages whose stamp and content are what it has
     read: neither another page nor another edit of the same page is lost when it shows up later with the stamp of the mark.
     """
-    fed = {}
-    for source in sources:
-        state = open_index(spark, f"{root}/marks", MARKS, "loader")
-        name = spark.range(1).select(F.lit(source.name).alias("loader"))
-        back = F.expr(f"interval {source.config.granularity_s} seconds")
-        mark, after = read_mark(state, name).select(stamp_text(F.col("ts")), stamp_text(F.col("ts") - back)).first()
-        seen = open_index(spark, f"{root}/seen", SEEN, ["loader", "page_id"]).filter(F.col("loader") == source.name)
-        changed = changed_pages(source.pages, stamp(F.lit(after)), keep=["last_edited"])
-        stamped = seen.select("page_id", F.col("last_edited").cast(changed.schema["last_edited"].dataType).alias("last_edited"), F.col("content").alias("_read"))
-        again = cut_lineage(changed.join(stamped, ["page_id", "last_edited"]))
-        same = again.join(page_contents(source, again), "page_id").filter(F.col("content") == F.col("_read"))
-        ids = cut_lineage(changed.join(same.select("page_id", "last_edited"), ["page_id", "last_edited"], "left_anti"))
-        newest = ids.select(stamp_text(F.max("last_edited"))).first()[0]
-        fed[source.name] = newest is not None
-        if newest is None:
-            continue
-        moved = max(mark, newest)  # texts of one zone, so they sort as times do
-        recent = ids.filter(F.col("last_edited") > stamp(F.lit(moved)) - back)
+    fed: dict[str, bool] = {}
+    for group in _alike(sources):
+        fed |= _run_together(spark, group, root, index)
+    return {s.name: fed[s.name] for s in sources}
+
+
+def _run_together(spark: SparkSession, sources: Sequence[Source], root: str, index: IndexConfig) -> dict[str, bool]:
+    cfg = sources[0].config
+    pages = _union([s.pages.withColumns({"loader": F.lit(s.name), "_place": F.lit(i)}) for i, s in enumerate(sources)])
+    blocks = _union([s.blocks.withColumn("loader", F.lit(s.name)) for s in sources])
+    names = spark.createDataFrame([(s.name,) for s in sources], "loader string")
+    back = F.expr(f"interval {cfg.granularity_s} seconds")
+    marks = cut_lineage(read_mark(open_index(spark, f"{root}/marks", MARKS), names))  # a row a source
+    # Every loader's own mark decides; the earliest of them, a constant, reaches the scans.
+    earliest = marks.select(stamp_text(F.min(F.col("ts") - back))).first()[0]
+    after = marks.select("loader", (F.col("ts") - back).alias("ts"))
+    recent = changed_pages(pages, stamp(F.lit(earliest)), keep=["loader", "_place", "last_edited"])
+    changed = cut_lineage(changed_by_loader(recent, after))
+    seen = open_index(spark, f"{root}/seen", SEEN).join(F.broadcast(names), "loader")
+    stamped = seen.select(*PAGE, F.col("last_edited").cast(changed.schema["last_edited"].dataType).alias("last_edited"), F.col("content").alias("_read"))
+    again = cut_lineage(changed.join(stamped, [*PAGE, "last_edited"]))
+    same = again.join(page_contents(pages, blocks, again, cfg.max_blocks), PAGE).filter(F.col("content") == F.col("_read"))
+    ids = cut_lineage(changed.join(same.select(*PAGE, "last_edited"), [*PAGE, "last_edited"], "left_anti"))
+    newest = ids.groupBy("loader").agg(F.max("last_edited").cast("timestamp").alias("newest"))
+    moved = cut_lineage(marks.join(newest, "loader").select("loader", F.greatest("ts", "newest").alias("ts")))
+    fed = {r.loader for r in moved.select("loader").collect()}
+    if fed:
         # Before the pages are fed: what changes in between differs from what is noted and is read again.
-        noted = cut_lineage(recent.join(page_contents(source, recent), "page_id"))
-        pages = fetch_pages(source.pages, ids)
-        feed_indexes(pages, source.blocks, root, source.indexes, source.config, index, source.pages)
-        noted = noted.select(F.lit(source.name).alias("loader"), "page_id", F.col("last_edited").cast("timestamp"), "content")
-        write_batch(latest_per_key(noted, ["loader", "page_id"], ["last_edited"]), f"{root}/seen")
-        write_mark(name.withColumn("ts", stamp(F.lit(moved))), f"{root}/marks")
-    return fed
+        recent = ids.join(moved, "loader").filter(F.col("last_edited") > F.col("ts") - back).drop("ts")
+        noted = cut_lineage(recent.join(page_contents(pages, blocks, recent, cfg.max_blocks), PAGE))
+        last = latest_per_key(ids.select("page_id", "loader", "_place").distinct(), "page_id", ["_place"])
+        feed_indexes(fetch_pages(pages, last, PAGE).drop("_place"), blocks, root, sources[0].indexes, cfg, index, pages, ["loader"])
+        noted = noted.select(*PAGE, F.col("last_edited").cast("timestamp"), "content")
+        write_batch(latest_per_key(noted, PAGE, ["last_edited"]), f"{root}/seen", PAGE)
+        write_mark(moved, f"{root}/marks")
+    return {s.name: s.name in fed for s in sources}
 
 
 def open_indexes(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -218,6 +218,8 @@ BODIES = {
     "embedding_hook": "SELECT doc_id, length(text) AS n_chars, length(text) - length(replace(text, ' ', '')) AS n_blanks FROM documents",
     "summary_usage": rf"""SELECT CAST(c AS BIGINT) AS completion_tokens, CAST(c + p AS BIGINT) AS prompt_tokens, CAST(2 * c + p AS BIGINT) AS total_tokens FROM
       (SELECT sum(len(regexp_extract_all(text, '\S+'))) AS c, count(*) * len(regexp_extract_all({_text(SUMMARY_INSTRUCTIONS)}, '\S+')) AS p FROM rebuilt)""",
+    "stream_indexes": f"""SELECT 'chunk' AS kind, c.id, t.title, c.text AS document FROM chunks c JOIN titles t ON t.doc_id = c.doc_id
+      UNION ALL SELECT 'summary', CAST(t.doc_id AS VARCHAR), t.title, {_lead("coalesce(r.text, '')")} FROM titles t LEFT JOIN rebuilt r ON r.doc_id = t.doc_id""",
     "stream_ingest": _newest("edits", "page_id", "page_id, edit_id, title"),
     "props": f"""SELECT doc_id, 'title' AS key, title AS value FROM titles UNION ALL SELECT doc_id, 'source', source || ' ' || lang FROM documents
       UNION ALL SELECT doc_id, 'edited', '2024-02-' || {DATE} FROM documents UNION ALL SELECT doc_id, 'date', '2024-01-' || {DATE} FROM documents WHERE doc_id % 5 <> 0""",
@@ -305,3 +307,6 @@ def _full(name: str) -> str:
 
 for _name in ("knn_within", "snippets", "context", "prompt", "answers", "transcript"):
     ORACLE[f"{_name}_full"] = _full(_name)
+
+ORACLE["usage_stream"] = ORACLE["usage_by_model"]
+ORACLE["changed_pages_log"] = ORACLE["changed_pages"]

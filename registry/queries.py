@@ -24,10 +24,10 @@ from folioscope.plans.answer import context_of, nearest_snippets, retrieve_snipp
 from folioscope.plans.ingest import LoaderConfig, Source, chunk_rows, open_indexes, run_ingest
 from folioscope.schema import MARKS
 from folioscope.session import cut_lineage, run_dir
-from folioscope.sources.pages import changed_by_loader, changed_pages, fetch_pages, page_blocks, project_metadata
+from folioscope.sources.pages import changed_by_loader, changed_pages, fetch_pages, page_blocks, project_metadata, write_page_log
 from folioscope.sources.raw import raw_blocks
-from folioscope.sources.tables import advance_mark, compact, latest_per_key, open_index, read_mark, stamp, stamp_text, upsert, write_batch, write_mark
-from folioscope.streaming.ingest import ingest_stream
+from folioscope.sources.tables import advance_mark, latest_per_key, open_index, read_mark, stamp, stamp_text, upsert, write_batch, write_mark
+from folioscope.streaming.ingest import index_stream, ingest_stream, usage_stream
 from registry import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,20 +102,18 @@ def q_mark_text(spark, sf):
     zoned = V.edits(spark, sf).select(F.col("title").alias("loader"), stamp(F.concat(F.date_format("last_edited", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+02:00"))).alias("ts"))
     path = run_dir(spark, "marks")
     write_mark(zoned.groupBy("loader").agg(F.max("ts").alias("ts")), path)
-    marks = read_mark(open_index(spark, path, MARKS, "loader"), _loaders(V.edits(spark, sf)))
+    marks = read_mark(open_index(spark, path, MARKS), _loaders(V.edits(spark, sf)))
     return marks.select("loader", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.substring(stamp_text(F.col("ts")), 27, 6)).alias("mark"))
 
 
 def q_index_upsert(spark, sf):
-    """A table written in three upserts and compacted in between, opened again and read."""
+    """A table written in three upserts that overlap, opened again and read."""
     edits = V.edits(spark, sf)
     path = run_dir(spark, "edits-table")
     third = F.pmod(F.xxhash64("edit_id"), F.lit(3))
     for part in range(3):
-        write_batch(latest_per_key(edits.filter(third == part), "page_id", EDIT), path)
-        if part == 1:
-            compact(spark, path, edits.schema, "page_id", EDIT)
-    return open_index(spark, path, edits.schema, "page_id", EDIT).select("page_id", "edit_id", "title")
+        write_batch(latest_per_key(edits.filter(third == part), "page_id", EDIT), path, "page_id", EDIT)
+    return open_index(spark, path, edits.schema).select("page_id", "edit_id", "title")
 
 
 def _ingested(spark, sf) -> tuple[dict[str, bool], str]:
@@ -163,7 +161,7 @@ def q_ingest_sources(spark, sf):
     rows = indexes["chunk"].select("doc_id", F.lit(1).alias("chunk")).unionByName(indexes["summary"].select(F.col("id").alias("doc_id"), F.lit(0).alias("chunk")))
     name = F.when(F.col("doc_id").cast("bigint") % 2 == 0, "even").otherwise("odd")
     counts = rows.groupBy(name.alias("loader")).agg(F.sum("chunk").alias("n_chunks"), F.sum(1 - F.col("chunk")).alias("n_summaries"))
-    marks = open_index(spark, f"{root}/marks", MARKS, "loader").select("loader", F.unix_seconds("ts").alias("mark_s"))
+    marks = open_index(spark, f"{root}/marks", MARKS).select("loader", F.unix_seconds("ts").alias("mark_s"))
     once = F.col("loader").isin([n for n, ok in fed.items() if ok])
     return counts.join(marks, "loader").select("loader", "n_chunks", "n_summaries", "mark_s", once.alias("fed_once"))
 
@@ -175,7 +173,37 @@ def q_stream_ingest(spark, sf):
     edits.repartitionByRange(4, "last_edited").write.parquet(folder)
     schema = T.StructType([f for f in edits.schema.fields])
     ingest_stream(spark, folder, schema, path, checkpoint, "page_id", EDIT, max_files=1).awaitTermination()
-    return open_index(spark, path, schema, "page_id", EDIT).select("page_id", "edit_id", "title")
+    return open_index(spark, path, schema).select("page_id", "edit_id", "title")
+
+
+def q_stream_indexes(spark, sf):
+    """Pages arrive as a stream of files: an old edit of every page, its last one, then, late, old ones again and repeated last ones."""
+    pages, root, folder, checkpoint = V.pages(spark, sf), *(run_dir(spark, name) for name in ("stream", "page-edits", "stream-checkpoint"))
+    wrong = F.transform_values("properties", lambda k, v: F.when(k == "Title", v.withField("title", F.array(F.struct(F.lit("old").alias("plain_text"))))).otherwise(v))
+    number = F.col("page_id").cast("bigint")
+    early = pages.withColumns({"last_edited": F.col("last_edited") - F.expr("interval 1 day"), "properties": wrong})
+    cfg = LoaderConfig(edited="Edited", metadata={"source": "Source"}, max_tokens=V.MAX_TOKENS)
+
+    def arrive(*parts: DataFrame) -> None:
+        for part in parts:
+            part.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        index_stream(stream, V.rich_blocks(spark, sf), root, checkpoint, cfg=cfg).awaitTermination()
+
+    arrive(early, pages)
+    arrive(early.filter(number % 3 == 0).unionByName(pages.filter(number % 5 == 0)))  # after a restart
+    indexes = open_indexes(spark, root)
+    title = F.col("metadata")["title"].alias("title")
+    return indexes["chunk"].select(F.lit("chunk").alias("kind"), "id", title, "document").unionByName(
+        indexes["summary"].select(F.lit("summary").alias("kind"), "id", title, "document"))
+
+
+def q_changed_pages_log(spark, sf):
+    """The edit log stored by day; only the days from the mark on are read."""
+    path = run_dir(spark, "page-log")
+    write_page_log(V.edits(spark, sf), path)
+    changed = changed_pages(spark.read.parquet(path), V.mark(), keep=["edit_id", "last_edited", "title"])
+    return latest_per_key(changed, "page_id", EDIT)
 
 
 # Properties
@@ -535,6 +563,18 @@ def q_usage_by_model(spark, sf):
     return usage_by(V.calls(spark, sf), ["model"], "response_us")
 
 
+def q_usage_stream(spark, sf):
+    """Calls arrive as a stream of files, the second half after a restart."""
+    calls = V.calls(spark, sf)
+    folder, path, checkpoint = (run_dir(spark, name) for name in ("calls", "usage", "usage-checkpoint"))
+    half = F.pmod(F.xxhash64("qid", "turn"), F.lit(2))
+    for part in range(2):
+        calls.filter(half == part).repartition(2).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        usage_stream(stream, path, checkpoint, ["model"]).awaitTermination()
+    return open_index(spark, path, usage_by(calls, ["model"], "response_us").schema)
+
+
 def q_running_usage(spark, sf):
     return running_usage(V.calls(spark, sf), ["model"], ["qid", "turn"], "response_us")
 

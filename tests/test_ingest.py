@@ -3,15 +3,17 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.plans import ingest
 from folioscope.plans.answer import AnswerConfig, answer, answer_context, split_queries, transcript
 from folioscope.plans.ingest import IndexConfig, LoaderConfig, Source, open_indexes, run_ingest
 from folioscope.sources import tables
 from folioscope.schema import BLOCKS, MARKS, PAGES, SUMMARY_INDEX
-from folioscope.sources.pages import page_blocks
+from folioscope.operators.usage import usage_by
+from folioscope.sources.pages import changed_pages, page_blocks, write_page_log
 from folioscope.operators.blocks import read_blocks
 from folioscope.sources.raw import raw_blocks, raw_pages
-from folioscope.sources.tables import compact, latest_per_key, open_index, read_mark, stamp, stamp_text, upsert, write_batch, write_mark
-from folioscope.streaming.ingest import index_stream, ingest_stream
+from folioscope.sources.tables import latest_per_key, open_index, read_mark, stamp, stamp_text, upsert, write_batch, write_mark
+from folioscope.streaming.ingest import index_stream, ingest_stream, usage_stream
 
 ROWS = "id string, at int, v string"
 
@@ -33,25 +35,37 @@ def test_latest_per_key(spark):
 
 
 @pytest.mark.parametrize("order", [(), ("at",)])
-def test_table_generations(spark, tmp_path, order):
+def test_table_versions(spark, tmp_path, order):
     path, schema = str(tmp_path / "t"), frame(spark, []).schema
-    read = lambda: sorted(map(tuple, open_index(spark, path, schema, order=order).collect()))
+    read = lambda: sorted(map(tuple, open_index(spark, path, schema).collect()))
+    put = lambda *rows: write_batch(frame(spark, list(rows)), path, order=order, parts=3)
+    assert read() == []
+    put()
     assert read() == []
-    write_batch(frame(spark, [("a", 1, "x"), ("b", 1, "y")]), path)
-    write_batch(frame(spark, [("b", 2, "z"), ("c", 2, "w")]), path)
-    expected = [("a", 1, "x"), ("b", 2, "z"), ("c", 2, "w")]
-    assert read() == expected
-    assert compact(spark, path, schema, order=order) == 3 and read() == expected
-    write_batch(frame(spark, [("a", 0, "old")]), path)
+    put(("a", 1, "x"), ("b", 1, "y"))
+    put(("b", 2, "z"), ("c", 2, "w"))
+    held = open_index(spark, path, schema)
+    assert read() == [("a", 1, "x"), ("b", 2, "z"), ("c", 2, "w")]
+    put(("a", 0, "old"))
     assert read()[0] == (("a", 1, "x") if order else ("a", 0, "old"))
-    first = write_batch(frame(spark, [("a", 9, "new")]), path, "s-1")
-    assert write_batch(frame(spark, [("a", 9, "new")]), path, "s-1") == first  # a repeated batch is there already
-    write_batch(frame(spark, [("c", 9, "more")]), path, "s-2")
-    assert read() == [("a", 9, "new"), ("b", 2, "z"), ("c", 9, "more")]
-    assert compact(spark, path, schema, order=order) == 7 and read() == [("a", 9, "new"), ("b", 2, "z"), ("c", 9, "more")]
+    put(("a", 9, "new"))
+    put(("a", 9, "new"))  # a repeated batch changes nothing
+    put(*((f"k{i}", i, None) for i in range(20)))
+    assert read() == [("a", 9, "new"), ("b", 2, "z"), ("c", 2, "w"), *sorted((f"k{i}", i, None) for i in range(20))]
+    assert sorted(map(tuple, held.collect())) == [("a", 1, "x"), ("b", 2, "z"), ("c", 2, "w")]  # what was opened stays as it was
+
+
+def test_an_upsert_leaves_parts_alone_that_it_does_not_touch(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), frame(spark, []).schema
+    write_batch(frame(spark, [(f"k{i}", 0, "x") for i in range(40)]), path, parts=8)
+    before, parts = tables._folders(spark, path, tables._pointers(spark, path)[0])
+    write_batch(frame(spark, [("k3", 1, "y")]), path)
+    after, same = tables._folders(spark, path, tables._pointers(spark, path)[0])
+    assert parts == same == 8 and sum(before[p] != after[p] for p in before) == 1
+    assert sorted(r.id for r in open_index(spark, path, schema).collect()) == sorted(f"k{i}" for i in range(40))
 
 
-def test_batch_that_fails_before_its_commit_is_not_lost(spark, tmp_path, monkeypatch):
+def test_batch_that_fails_before_its_pointer_is_not_lost(spark, tmp_path, monkeypatch):
     path, schema = str(tmp_path / "t"), frame(spark, []).schema
     read = lambda: sorted(map(tuple, open_index(spark, path, schema).collect()))
 
@@ -59,21 +73,25 @@ def test_batch_that_fails_before_its_commit_is_not_lost(spark, tmp_path, monkeyp
         raise OSError("store is down")
 
     with monkeypatch.context() as broken:
-        broken.setattr(tables, "_commit", down)
+        broken.setattr(tables, "_point", down)
         with pytest.raises(OSError):
-            write_batch(frame(spark, [("a", 1, "slow")]), path, "s-1")
+            write_batch(frame(spark, [("a", 1, "slow")]), path)
     assert read() == []
     write_batch(frame(spark, [("b", 1, "other")]), path)
-    compact(spark, path, schema)
-    write_batch(frame(spark, [("a", 1, "slow")]), path, "s-1")
+    write_batch(frame(spark, [("a", 1, "slow")]), path)
+    assert read() == [("a", 1, "slow"), ("b", 1, "other")]
+    # A pointer that was not written to its end is passed over, and its number is not used again.
+    (tmp_path / "t" / "pointer" / "3").mkdir()
     assert read() == [("a", 1, "slow"), ("b", 1, "other")]
+    write_batch(frame(spark, [("c", 1, "next")]), path)
+    assert [r[0] for r in read()] == ["a", "b", "c"]
 
 
 def test_two_writers_fail(spark, tmp_path):
     path = str(tmp_path / "t")
     write_batch(frame(spark, [("a", 1, "x")]), path)
     with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
-        tables._commit(spark, path, 1, "1-other")
+        tables._point(spark, path, 1, {0: "other"}, 16)
 
 
 def test_edits_with_the_stamp_of_the_mark_are_read(spark, tmp_path):
@@ -106,7 +124,7 @@ def test_another_edit_of_a_page_within_one_stamp_is_read(spark, tmp_path):
 def test_marks(spark, tmp_path):
     path = str(tmp_path / "marks")
     loaders = spark.createDataFrame([("a",), ("b",)], "loader string")
-    state = lambda: open_index(spark, path, MARKS, "loader")
+    state = lambda: open_index(spark, path, MARKS)
     text = lambda: {r.loader: r.t for r in read_mark(state(), loaders).select("loader", stamp_text(F.col("ts")).alias("t")).collect()}
     assert text() == {"a": "1970-01-01T00:00:00.000000+00:00", "b": "1970-01-01T00:00:00.000000+00:00"}
     write_mark(spark.sql("SELECT 'a' AS loader").withColumn("ts", stamp(F.lit("2024-01-01T02:00:00+02:00"))), path)
@@ -123,9 +141,9 @@ def test_stream_equals_batch_whatever_the_slices(spark, tmp_path):
         for part in slices:
             frame(spark, part).coalesce(1).write.mode("append").parquet(source)
             ingest_stream(spark, source, df.schema, path, checkpoint, "id", ["at"]).awaitTermination()
-        assert sorted(map(tuple, open_index(spark, path, df.schema, order=["at"]).collect())) == expected
+        assert sorted(map(tuple, open_index(spark, path, df.schema).collect())) == expected
         ingest_stream(spark, source, df.schema, path, checkpoint, "id", ["at"]).awaitTermination()  # nothing new
-        assert sorted(map(tuple, open_index(spark, path, df.schema, order=["at"]).collect())) == expected
+        assert sorted(map(tuple, open_index(spark, path, df.schema).collect())) == expected
 
 
 def page(page_id, day, title, source=None):
@@ -243,3 +261,115 @@ def test_raw_json(spark):
     assert [(r.pos, r.btype, r.text) for r in rows] == [
         (0, "paragraph", "<caption> c <\\caption> ab"), (1, "code", "<caption> d{e{f <\\caption> "),
         (2, "equation", "<equation> e=1 <\\equation> "), (3, "divider", ""), (4, "to_do", "")]
+
+
+def test_late_and_repeated_edits_of_a_page_stream(spark, tmp_path):
+    """An old edit that comes late, in the same batch, in a later one and after a restart, never takes the place of a newer one."""
+    blocks = spark.createDataFrame([block(p, 0, "paragraph", p) for p in ("p1", "p2", "p3")], BLOCKS)
+    source, root, checkpoint = str(tmp_path / "in"), str(tmp_path / "stream"), str(tmp_path / "check")
+    titles = lambda: {r.id: r.metadata["title"] for r in open_indexes(spark, root)["summary"].collect()}
+
+    def arrive(*batches):
+        for rows in batches:
+            spark.createDataFrame(rows, PAGES).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", 1).parquet(source)
+        index_stream(stream, blocks, root, checkpoint, cfg=LoaderConfig(edited="Edited")).awaitTermination()
+        return titles()
+
+    assert arrive([page("p1", 5, "five"), page("p1", 3, "three"), page("p2", 2, "two")]) == {"p1": "five", "p2": "two"}
+    assert arrive([page("p1", 4, "four"), page("p2", 2, "two")], [page("p2", 6, "six"), page("p3", 1, "one")]) == {"p1": "five", "p2": "six", "p3": "one"}
+    assert arrive([page("p1", 1, "first"), page("p2", 5, "late"), page("p3", 1, "one again")]) == {"p1": "five", "p2": "six", "p3": "one again"}
+
+
+def test_summaries_of_a_run_that_failed_are_not_paid_for_again(spark, tmp_path, monkeypatch):
+    root, seen = str(tmp_path / "root"), tmp_path / "calls"
+    seen.mkdir()
+    folder = str(seen)
+
+    def model(messages):
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return {"role": "assistant", "content": "short"}, {"completion_tokens": 1, "prompt_tokens": 1}
+
+    pages = spark.createDataFrame([page(f"p{i}", 1, "t") for i in range(6)], PAGES)
+    blocks = spark.createDataFrame([block(f"p{i}", 0, "paragraph", "x") for i in range(6)], BLOCKS)
+    source = Source("main", pages, blocks, LoaderConfig(edited="Edited"))
+
+    def down(batch, path, *args, **kwargs):
+        if path.endswith("/summary"):
+            raise OSError("store is down")
+        write_batch(batch, path, *args, **kwargs)
+
+    with monkeypatch.context() as broken:
+        broken.setattr(ingest, "write_batch", down)
+        with pytest.raises(OSError):
+            run_ingest(spark, [source], root, IndexConfig(summary=model))
+    assert len(list(seen.iterdir())) == 6
+    assert run_ingest(spark, [source], root, IndexConfig(summary=model)) == {"main": True}
+    assert len(list(seen.iterdir())) == 6 and {r.document for r in open_indexes(spark, root)["summary"].collect()} == {"short"}
+
+
+def test_usage_of_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    schema = "model string, completion_tokens bigint, prompt_tokens bigint, response_us bigint"
+    rows = [(f"m{i % 3}", i if i % 4 else None, 2 * i, 10 * i) for i in range(40)]
+    folder, path, checkpoint = (str(tmp_path / n) for n in ("in", "table", "check"))
+    for part in (rows[:15], rows[15:25], rows[25:]):
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(folder)
+        usage_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder), path, checkpoint, ["model"]).awaitTermination()
+    want = usage_by(spark.createDataFrame(rows, schema), ["model"], "response_us")
+    assert sorted(map(tuple, open_index(spark, path, want.schema).collect())) == sorted(map(tuple, want.collect()))
+
+
+def jobs_of(spark, name, work):
+    spark.sparkContext.setJobGroup(name, "")
+    try:
+        out = work()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_many_sources_take_no_more_jobs_than_two(spark, tmp_path):
+    def sources(n):
+        pages = spark.createDataFrame([page(f"s{s}-p{i}", s % 27 + 1, f"t{s}") for s in range(n) for i in range(2)], PAGES)
+        blocks = spark.createDataFrame([block(f"s{s}-p{i}", 0, "paragraph", f"{s} {i}") for s in range(n) for i in range(2)], BLOCKS)
+        return [Source(f"s{s}", pages.filter(F.col("page_id").startswith(f"s{s}-")), blocks, LoaderConfig(edited="Edited")) for s in range(n)]
+
+    counts = {}
+    for n in (2, 20):
+        root = str(tmp_path / f"root{n}")
+        fed, counts[n] = jobs_of(spark, f"sources{n}", lambda: run_ingest(spark, sources(n), root))
+        assert fed == {f"s{s}": True for s in range(n)}
+        assert open_indexes(spark, root)["chunk"].count() == 2 * n
+        marks = {r.loader: r.t[:10] for r in open_index(spark, f"{root}/marks", MARKS).select("loader", stamp_text(F.col("ts")).alias("t")).collect()}
+        assert marks == {f"s{s}": f"2024-01-{s % 27 + 1:02}" for s in range(n)}
+    assert counts[20] <= counts[2] + 8  # stages of larger inputs may be re-planned
+
+
+def test_sources_keep_marks_settings_and_relations_of_their_own(spark, tmp_path):
+    """Equal page ids in two sources: each sees its own blocks; of the index row the last source stays."""
+    root = str(tmp_path / "root")
+    one, two = ([page("x", 3, "X one"), page("y", 4, "Y")], [page("x", 2, "X two")])
+    cfg, other = LoaderConfig(edited="Edited"), LoaderConfig(edited="Edited", metadata={"source": "Source"})
+    made = [Source(name, spark.createDataFrame(rows, PAGES), spark.createDataFrame([block(r[0], 0, "paragraph", f"{name} {r[0]}") for r in rows], BLOCKS), c)
+            for name, rows, c in (("a", one, cfg), ("b", two, cfg), ("c", [page("z", 1, "Z", "zoo")], other))]
+    assert run_ingest(spark, made, root) == {"a": True, "b": True, "c": True}
+    chunks = {r.id: r for r in open_indexes(spark, root)["chunk"].collect()}
+    assert {k: r.document for k, r in chunks.items()} == {"x_1": "\nb x", "y_1": "\na y", "z_1": "\nc z"}
+    assert chunks["x_1"].metadata["title"] == "X two" and chunks["z_1"].metadata["source"] == "zoo" and "source" not in chunks["x_1"].metadata
+    assert run_ingest(spark, made, root) == {"a": False, "b": False, "c": False}
+
+
+def test_a_page_log_reads_the_days_from_the_mark_on(spark, tmp_path):
+    path = str(tmp_path / "log")
+    pages = spark.createDataFrame([page(f"p{d}", d, "t") for d in range(1, 29)], PAGES)
+    write_page_log(pages.filter("day(last_edited) % 2 = 0"), path)
+    write_page_log(pages.filter("day(last_edited) % 2 = 1"), path)
+    schema = spark.read.parquet(path).schema
+    for day in range(1, 18):
+        for f in (tmp_path / "log" / f"edit_day=2024-01-{day:02}").glob("*.parquet"):
+            f.write_bytes(b"nobody reads this")
+    changed = changed_pages(spark.read.schema(schema).parquet(path), stamp(F.lit("2024-01-20T00:00:00+00:00")))
+    assert "edit_day" in changed._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert sorted(r.page_id for r in changed.collect()) == sorted(f"p{d}" for d in range(21, 29))

@@ -34,13 +34,17 @@ def content_text(text: Column, caption: Column, expression: Column) -> Column:
 
 
 def n_tokens(text: Column, encode: Callable[[str], Sequence] | None = None) -> Column:
-    """Number of tokens. Default: runs of non-blank characters, in the JVM; ``encode`` swaps in a tokenizer."""
+    """Number of tokens. Default: runs of non-blank characters, in the JVM; ``encode`` swaps in a tokenizer.
+
+    A tokenizer with a method ``counts`` (``tokens.Vocabulary``) is given a batch of texts at a time, any other a text a call.
+    """
     if encode is None:
         return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(TOKEN), 0)), F.lit(0)).cast("bigint")
 
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array([0 if t is None else len(encode(t)) for t in texts.to_pylist()], pa.int64())
+        found = encode.counts(texts.to_pylist()) if hasattr(encode, "counts") else [0 if t is None else len(encode(t)) for t in texts.to_pylist()]
+        return pa.array(found, pa.int64())
 
     return count(text)
 

@@ -11,6 +11,8 @@ from folioscope.functions.messages import message, message_from_json, message_st
 from folioscope.functions.properties import merge_metadata, metadata_map
 from folioscope.functions.rows import unnest
 from folioscope.functions.text import content_text, lead_sentences, n_tokens, two_decimals
+from folioscope.functions.tokens import Vocabulary
+from folioscope.operators.approximate import approximate_knn, recall
 from folioscope.operators.blocks import classify_blocks, group_runs, read_blocks
 from folioscope.operators.context import build_prompt, number_context
 from folioscope.operators.embedding import embed, term_counts
@@ -277,6 +279,11 @@ def q_token_hook(spark, sf):
     return V.documents(spark, sf).select("doc_id", n_tokens(F.col("text"), str.split).alias("n_tok"))
 
 
+def q_token_vocabulary(spark, sf):
+    """Counts of a byte-pair vocabulary over every text."""
+    return V.documents(spark, sf).select("doc_id", n_tokens(F.col("text"), Vocabulary(V.vocabulary_path())).alias("n_tok"))
+
+
 def q_block_runs(spark, sf):
     return _doc_id(group_runs(V.blocks(spark, sf))).select("doc_id", "run", "kind", "text", F.col("n_tokens").alias("n_tok"))
 
@@ -391,6 +398,14 @@ def q_vector_knn_cells(spark, sf):
     return _vector_knn(spark, sf, block_bytes=100_000)
 
 
+def q_vector_knn_recall(spark, sf):
+    """How many of the 20 exact neighbours the approximate form finds, for every 20th vector."""
+    index = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = index.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    found = approximate_knn(index, asked, V.BUCKET_LENGTH, V.FULL.summary_results, ["qid"])
+    return recall(found, knn(index, asked, V.FULL.summary_results, ["qid"]), ["qid"])
+
+
 # Retrieval
 
 

@@ -19,9 +19,17 @@ from folioscope.sources.chunks import write_chunks
 MAX_TOKENS = 128
 CONFIG = AnswerConfig(chunk_results=2, budget=100)
 FULL = AnswerConfig()
+#: Unit vectors of 64 random directions have no clusters: buckets must be long to find nine in ten neighbours.
+BUCKET_LENGTH = 0.12
 MARK = "2024-01-15 00:00:00"
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

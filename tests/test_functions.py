@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 from folioscope.functions.hooks import complete, normalize_reply
 from folioscope.functions.messages import message, message_from_json, message_str, message_to_json, to_request
 from folioscope.functions.properties import merge_metadata, metadata_map, parse_properties, prop_value
+from folioscope.functions.tokens import Vocabulary
 from folioscope.functions.text import content_text, lead_sentences, n_tokens, query_list, strip, two_decimals
 from folioscope.operators.relations import resolve_relations
 
+from registry import views
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
@@ -205,3 +208,33 @@ def test_scores_near_nothing(spark):
     values = [0.0, 0.004, 0.005, 0.0149, 0.015, 0.025, 0.031, 1 / 200, 1 / 32, 0.125, 0.575]
     df = spark.createDataFrame([(v,) for v in values], "v double").select("v", two_decimals(F.col("v")).alias("t"))
     assert {r.v: r.t for r in df.collect()} == {v: f"{v:.2f}" for v in values}
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_vocabulary_counts_equal_the_plain_library(spark, name):
+    from tokenizers import Tokenizer
+
+    path = views.vocabulary_path(name)
+    plain = Tokenizer.from_file(path)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    odd = spark.createDataFrame([(None,), ("",), (" \n\t x  y",), ("a <|endoftext|> b",), ("don't they'll 123 \u00e9\u4f60\u597d \U0001f600",), ("x" * 300_000,)], "text string")
+    for r in docs.unionByName(odd).select("text", n_tokens(F.col("text"), Vocabulary(path)).alias("n")).collect():
+        assert r.n == (len(plain.encode(r.text, add_special_tokens=False).ids) if r.text else 0)
+
+
+def test_a_distinct_pre_token_is_counted_once():
+    calls, vocabulary = [], Vocabulary(views.vocabulary_path())
+    tokenizer = vocabulary._tokenizer()
+
+    class Model:
+        def tokenize(self, piece):
+            calls.append(piece)
+            return tokenizer.model.tokenize(piece)
+
+    class Watched:
+        normalizer, pre_tokenizer, model = tokenizer.normalizer, tokenizer.pre_tokenizer, Model()
+        get_added_tokens_decoder = tokenizer.get_added_tokens_decoder
+
+    vocabulary._loaded = Watched()
+    assert vocabulary.counts(["the house the house", None, " the house"] * 50)[1] == 0
+    assert len(calls) == len(set(calls)) == 3

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators.embedding import embed, term_counts
 from folioscope.operators import knn as knn_module
+from folioscope.operators.approximate import approximate_knn, recall
 from folioscope.operators.knn import _without_spare_copies, knn, squared_l2
 
 
@@ -132,3 +133,20 @@ def test_many_ties_and_copies(spark):
     for k in (1, 7, 150):
         assert rows(knn(index, asked, k)) == brute(index, asked, k)
     assert rows(knn(index, asked, 7, block_bytes=64)) == brute(index, asked, 7)
+
+
+def test_approximate_neighbours_of_clustered_vectors(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(30, 16)) * 3
+    x = np.repeat(centres, 40, axis=0) + rng.normal(size=(1_200, 16)) * 0.3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5_000, None), (5_001, [float("nan")] * 16)]
+    index = spark.createDataFrame(rows, "id long, embedding array<double>")
+    asked = index.where("id % 20 = 0 or id >= 5000").select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    found, exact = approximate_knn(index, asked, 1.0, 20, ["qid"]).cache(), knn(index, asked, 20, ["qid"]).cache()
+    n_exact, n_found = recall(found, exact, ["qid"]).agg(F.sum("n_exact"), F.sum("n_found")).first()
+    assert n_exact == 60 * 20 and n_found >= 0.9 * n_exact
+    # Distances are exact, ranks follow them, and nothing is found twice.
+    known = {(r.qid, r.id): r.distance for r in exact.collect()}
+    got = found.collect()
+    assert all(known[r.qid, r.id] == r.distance for r in got if (r.qid, r.id) in known) and len({(r.qid, r.id) for r in got}) == len(got)
+    assert approximate_knn(index, asked.where("qid < 0"), 1.0, 20, ["qid"]).count() == 0

@@ -8,12 +8,13 @@ match anything. What agrees often enough is confirmed on the full shingle sets.
 Groups of copies cost what they hold, not its square. Equal sets are one node. In a posting list every node is first
 compared with one leader, the one whose whole signature is most common in the corpus: the hub of its group. Confirmed
 links make components, and from then on only nodes of different components are compared: first with a second leader by
-hash, then all that are left. Those are compared inside the join, sketch by sketch and set by set, so that only links come out
-of it, however many pairs of a large group are just not similar enough. No link is lost: a pair is left out only if both
-are already in one component.
+hash, then all that are left, block by block of a list and in as many tasks as it has pairs of blocks: sizes, then signatures, then
+full sets, so that only links come out of it, however many pairs of a large group are just not similar enough. A pair is left
+out only if both are already in one component, or if fewer than ``MATCHES`` coordinates of their signatures agree; ``matches=1`` leaves
+out those alone that agree in none.
 
 Null or empty text has no shingles and is linked with nothing; fewer words than a shingle are one shingle. Rows without a
-doc_id are linked with nothing. Rows that repeat a doc_id are one node. An empty table gives an empty result.
+doc_id are linked with nothing. Rows that repeat a doc_id are linked with each other. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +34,12 @@ SIMILAR_PERCENT = 80
 COORDINATES = 32
 #: A pair at the threshold agrees in 25.6 places on average, 2.3 the standard deviation; it has fewer than 15 once in 150,000 times.
 MATCHES = 15
+#: A list is compared in pairs of blocks of about so many nodes, or shingles if that is fewer nodes.
+BLOCK_NODES = 256
+BLOCK_SHINGLES = 1 << 20
+PAIRS_AT_ONCE = 1 << 16
+COLUMNS_AT_ONCE = 4_096
+TASK = ("key", "a", "b")
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -87,18 +94,16 @@ def signatures(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDINATES
 
 
 def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """node, its full set, and the set's lower 32 bits. Names that differ may be equal there, within a set too."""
+    """node and its full set, sorted."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column("text")):
                 names, ends = _shingle_sets(Words(data, offsets, SPACES, LOWER), k)
-                at = pa.array(ends.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").slice(lo, hi - lo), pa.ListArray.from_arrays(at, pa.array(signed(names))),
-                     pa.ListArray.from_arrays(at, pa.array(names.astype(np.uint32).view(np.int32)))], names=["node", "shingles", "short"])
+                    [batch.column("node").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed(names)))], names=["node", "shingles"])
 
-    return docs.select("node", "text").mapInArrow(sets, "node long, shingles array<long>, short array<int>")
+    return docs.select("node", "text").mapInArrow(sets, "node long, shingles array<long>")
 
 
 def shared_pairs(nodes: DataFrame) -> DataFrame:
@@ -155,24 +160,163 @@ def contested(shared: DataFrame, labels: DataFrame, matches: int) -> DataFrame:
     return named.join(mixed, "key").groupBy("node").count().where(F.col("count") >= matches).select("node")
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by TASK, a whole group at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in TASK]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        new[0] = tuple(c[0] for c in columns) != last
+        last = tuple(c[-1] for c in columns)
+        cuts = np.append(np.flatnonzero(new), batch.num_rows).tolist()
+        if held and (not cuts or cuts[0] == 0):
+            yield pa.Table.from_batches(held)
+            held = []
+        if cuts[0]:
+            held.append(batch.slice(0, cuts[0]))
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    flat = lists.combine_chunks()
+    return flat.flatten().to_numpy().reshape(len(flat), -1)
+
+
+def _may_match(group: pa.Table, matches: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a block pair that are worth a look at their sets.
+
+    Sizes near enough, different components, collisions in enough coordinates; and this list must be the first that both are
+    posted in, so that no pair is looked at twice.
+    """
+    node, label, mask, size, side, key = (group[c].to_numpy() for c in ("node", "label", "mask", "n_shingles", "side", "key"))
+    signature = _matrix(group["signature"])
+    own, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    inside = not len(other)
+    if inside:
+        other = own
+    bit = np.int64(1) << (key[0] >> np.int64(32))
+    out = []
+    step = max(1, PAIRS_AT_ONCE // max(1, len(other)))
+    for lo in range(0, len(own), step):
+        a = own[lo:lo + step]
+        near = (label[a, None] != label[other]) & (size[a, None] * 100 >= size[other] * SIMILAR_PERCENT) & (size[other] * 100 >= size[a, None] * SIMILAR_PERCENT)
+        if inside:
+            near &= a[:, None] < other
+        i, j = np.nonzero(near)
+        same = signature[a[i]] == signature[other[j]]
+        enough = same.sum(axis=1) >= matches
+        i, j, same = i[enough], j[enough], same[enough]
+        shared = same @ (np.int64(1) << np.arange(signature.shape[1], dtype=np.int64)) & mask[a[i]] & mask[other[j]]
+        first = (shared & -shared) == bit
+        out.append((a[i[first]], other[j[first]]))
+    x, y = (np.concatenate(p) for p in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+    return node[x], node[y]
+
+
+def _joined(label: dict, x: int) -> int:
+    while label.setdefault(x, x) != x:
+        x = label[x]
+    return x
+
+
+def _similar(group: pa.Table) -> list[tuple[int, int]]:
+    """Of the pairs of a block pair those whose full sets are similar enough, as many as connect what they connect."""
+    nodes, partners, sets = (group[c].combine_chunks() for c in ("node", "partners", "shingles"))
+    names, size = sets.flatten().to_numpy(), sets.value_lengths().to_numpy()
+    ids = nodes.to_numpy()
+    place: dict[int, list[int]] = {}
+    for r, n in enumerate(ids.tolist()):
+        place.setdefault(n, []).append(r)
+    pairs = [(r, q) for r, own in enumerate(partners.to_pylist()) for p in own or () for q in place.get(p, ())]
+    if not pairs:
+        return []
+    x, y = np.array(pairs).T
+    row = np.repeat(np.arange(len(ids)), size)
+    if len(pairs) > len(ids):  # one product for all pairs, over the shingles that several rows have
+        _, at, count = np.unique(names, return_inverse=True, return_counts=True)
+        several = count[at] > 1
+        row, at = row[several], np.unique(at[several], return_inverse=True)[1]
+        common = np.zeros((len(ids), len(ids)), np.float32)
+        for lo in range(0, int(at.max(initial=-1)) + 1, COLUMNS_AT_ONCE):
+            part = (at >= lo) & (at < lo + COLUMNS_AT_ONCE)
+            m = np.zeros((len(ids), COLUMNS_AT_ONCE), np.float32)
+            m[row[part], at[part] - lo] = 1
+            common += m @ m.T  # counts far below 2^24, exact
+        shared = common[x, y].astype(np.int64)
+    else:
+        ends = np.cumsum(size)
+        own = [names[e - n:e] for e, n in zip(ends.tolist(), size.tolist())]
+        shared = np.array([len(np.intersect1d(own[a], own[b], assume_unique=True)) for a, b in pairs], np.int64)
+    good = shared * 100 >= (size[x] + size[y] - shared) * SIMILAR_PERCENT
+    tree: dict[int, int] = {}
+    links = []
+    for a, b in zip(ids[x[good]].tolist(), ids[y[good]].tolist()):
+        u, v = _joined(tree, a), _joined(tree, b)
+        if u != v:
+            tree[u] = v
+            links.append((a, b))
+    return links
+
+
 def all_left(postings: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
-    """a, b: of all pairs of a list in different components those that agree often enough and whose shortened sets may be similar.
+    """u, v: links among all pairs of a list in different components.
 
-    Shared names that are equal when shortened count once, so as many as either set loses by that are added: too many pairs
-    may pass, never too few. Lists of one component are left out first. A pair is looked at in the first list it shares, the cheap conditions first.
+    Lists of one component are left out first. The nodes of a list are cut into blocks, and every pair of blocks is a task of its own, so a
+    list of any length is spread: signatures meet first, the sets only of the nodes that some pair is left of.
     """
-    mixed = postings.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    mixed = materialize(mixed, "mixed-lists")
-    rows = postings.join(mixed, "key").select("key", "node", "label")
-    known = rows.groupBy("node").agg(F.collect_set("key").alias("keys")).join(nodes.select("node", "n_shingles", "signature"), "node").join(
-        sets.select("node", "short", (F.size("short") - F.size(F.array_distinct("short"))).alias("lost")), "node")
-    rows = rows.join(materialize(known, "compared-nodes"), "node")
-    x, y = rows.alias("x"), rows.alias("y")
-    first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
-    shared = F.size(F.array_intersect("x.short", "y.short")) + F.least("x.lost", "y.lost")
-    similar = shared * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - shared) * SIMILAR_PERCENT
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & first & _enough("x", "y", matches) & similar)
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    mixed = postings.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    known = postings.join(materialize(mixed.select("key", "n"), "mixed-lists"), "key")
+    known = materialize(known.select("key", "node", "label", "n"), "left-postings")
+    posted = known.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 32) as int))")).alias("mask"))
+    info = materialize(posted.join(nodes.select("node", "n_shingles", "signature"), "node"), "left-nodes")
+    weight = known.join(info.select("node", "n_shingles"), "node").groupBy("key").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("words"))
+    cut = weight.select("key", F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK_NODES), F.ceil(F.col("words") / BLOCK_SHINGLES)).cast("int").alias("cut"))
+    rows = known.select("key", "node", "label").join(cut, "key").join(info, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
+    spread = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    spread = spread.withColumns({"a": F.least("own", "_j"), "b": F.greatest("own", "_j"), "side": (F.col("own") > F.col("_j")).cast("int")})
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for group in _groups(batches):
+            x, y = _may_match(group, matches)
+            if len(x):
+                order = np.argsort(x, kind="stable")
+                x, y = x[order], y[order]
+                edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                task = tuple(group[c][0].as_py() for c in TASK)
+                lists = dict(zip(x[edge].tolist(), np.split(y, edge[1:])))
+                out += [(*task, n, lists.get(n, ())) for n in {*x.tolist(), *y.tolist()}]
+            if len(out) >= 4_096:
+                yield packed(out)
+                out = []
+        if out:
+            yield packed(out)
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=[*TASK, "node", "partners"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            links = _similar(group)
+            if links:
+                u, v = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    columns = [*TASK, "side", "node", "label", "mask", "n_shingles", "signature"]
+    found = spread.select(*columns).repartition(*TASK).sortWithinPartitions(*TASK).mapInArrow(look, "key long, a int, b int, node long, partners array<long>")
+    found = materialize(found, "pairs-left")
+    return found.join(sets, "node").repartition(*TASK).sortWithinPartitions(*TASK).mapInArrow(compare, "u long, v long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -188,6 +332,14 @@ def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return postings.drop("label").join(known, "node", "left").withColumn("label", F.coalesce("_l", "node")).drop("_l")
 
 
+def of_one_document(posted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """u, v: links between the sets of rows that share a doc_id."""
+    name = F.struct("s1", "s2")
+    several = posted.groupBy("doc_id").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).where("lo <> hi").select("doc_id")
+    held = posted.select("doc_id", "s1", "s2").join(several, "doc_id").join(nodes.select("s1", "s2", "node"), ["s1", "s2"])
+    return held.where("node <> doc_id").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
     signed_docs = materialize(signatures(docs, k, coordinates), "signatures")
@@ -203,7 +355,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDI
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text").join(involved, "node")
     sets = materialize(shingle_sets(texts, k), "shingle-sets")
 
-    links = None
+    links = of_one_document(posted, nodes)
     for step in ("hub", "second", "rest"):
         if step == "hub":
             pairs = with_leaders(postings, nodes, matches, F.col("score"))
@@ -211,9 +363,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDI
             pairs = with_leaders(postings, nodes, matches, F.xxhash64("node", "key"))
         else:
             open_nodes = materialize(contested(shared, labels, matches), "contested-nodes")
-            pairs = all_left(postings.join(open_nodes, "node"), nodes, sets, matches)
-        new = confirmed(pairs, sets)
-        links = materialize(new if links is None else links.unionByName(new), "near-links")
+            pairs = None
+        new = all_left(postings.join(open_nodes, "node"), nodes, sets, matches) if pairs is None else confirmed(pairs, sets)
+        links = materialize(links.unionByName(new), "near-links")
         labels = materialize(components(links), "labels")
         if step != "rest":
             postings = materialize(_labelled(postings, labels), "labelled-postings")

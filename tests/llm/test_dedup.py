@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 from collections import Counter
 
 import numpy as np
@@ -55,15 +56,67 @@ def test_near_duplicates_against_the_definition(documents, seed):
     assert sum(not r[3] for r in want) > 5
 
 
-def test_shortened_sets_drop_no_pair_at_the_threshold(spark):
-    """8 of 10 names are shared, two of which are equal in their lower 32 bits."""
-    common = [5, 5 + (1 << 32), *range(10, 16)]
-    full = {1: [*common, 20], 2: [*common, 30]}
-    sets = spark.createDataFrame([(n, s, [v & 0xFFFFFFFF for v in s]) for n, s in full.items()], "node long, shingles array<long>, short array<int>")
-    nodes = spark.createDataFrame([(n, 9, [1] * 32) for n in full], "node long, n_shingles long, signature array<int>")
-    postings = spark.createDataFrame([(7, n, n) for n in full], "key long, node long, label long")
-    pairs = minhash.all_left(postings, nodes, sets, minhash.MATCHES)
-    assert [tuple(r) for r in minhash.confirmed(pairs, sets).collect()] == [(1, 2)]
+def test_a_pair_at_the_threshold_is_linked_and_one_below_is_not(spark):
+    sets = spark.createDataFrame([(1, list(range(9))), (2, list(range(8)) + [20]), (3, list(range(7)) + [30, 31])], "node long, shingles array<long>")
+    nodes = spark.createDataFrame([(n, 9, [1] * 32) for n in (1, 2, 3)], "node long, n_shingles long, signature array<int>")
+    postings = spark.createDataFrame([(7, n, n) for n in (1, 2, 3)], "key long, node long, label long")
+    got = minhash.all_left(postings, nodes, sets, minhash.MATCHES).collect()
+    assert {frozenset(r) for r in got} == {frozenset((1, 2))}  # 8 of 10; 7 of 11
+
+
+def test_rows_that_repeat_a_doc_id_are_linked(documents):
+    x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    rows = [(1, y), (5, x), (5, y), (6, x + " more"), (7, "alone here")]
+    got = minhash.near_duplicates(documents(rows))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == Counter(minhash.brute_force(rows))
+
+
+def test_many_documents_just_below_the_threshold(documents, monkeypatch):
+    """1,500 documents of which any two share most of their words, but too few to be linked; two pairs are links."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for d in range(1_500):
+        words = list(base)
+        for at in rng.choice(72, 9, replace=False) * 4 + 3:
+            words[at] = f"v{d}-{at}"
+        rows.append((d, " ".join(words)))
+    rows += [(2_000, rows[7][1] + " end"), (2_001, rows[9][1] + " end")]
+    started = time.perf_counter()
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(rows)).collect()}
+    assert time.perf_counter() - started < 200
+    sets = [{tuple(w[i:i + 4]) for i in range(len(w) - 3)} for w in (t.split() for _, t in rows)]
+    names = sorted(set().union(*sets))
+    place = {n: i for i, n in enumerate(names)}
+    m = np.zeros((len(rows), len(names)), np.float32)
+    for r, own in enumerate(sets):
+        m[r, [place[n] for n in own]] = 1
+    shared, size = m @ m.T, m.sum(axis=1)
+    label = list(range(len(rows)))
+    links = [(a, b) for a, b in zip(*np.nonzero(100 * shared >= 80 * (size[:, None] + size - shared))) if a < b]
+    change = True
+    while change:
+        change = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            change |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    assert got == {rows[i][0]: rows[label[i]][0] for i in range(len(rows))} and len(links) < len(rows)
+
+
+def test_lists_in_small_blocks_give_the_same_links(documents, monkeypatch):
+    rows = corpus(9, 60)
+    ordinary = minhash.all_left
+    seen = []
+
+    def small(postings, nodes, sets, matches):
+        monkeypatch.setattr(minhash, "BLOCK_NODES", 2)
+        seen.append(1)
+        return ordinary(postings, nodes, sets, matches)
+
+    monkeypatch.setattr(minhash, "all_left", small)
+    got = minhash.near_duplicates(documents(rows))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == Counter(minhash.brute_force(rows)) and seen
 
 
 def test_chains_of_near_copies_are_one_group(documents):

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from folioscope.llm.components import components
 from folioscope.llm.store import materialize, table
 from folioscope.llm.words import LOWER, SPACES, Words, blocks, mix, pair, signed
+from folioscope.operators.joins import join_chosen
 
 SHINGLE = 4
 SIMILAR_PERCENT = 80
@@ -351,8 +352,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDI
     # A list of one node links nothing.
     several = materialize(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
     postings = materialize(postings.join(several, "key"), "shared-postings")
-    involved = postings.select("node").distinct()
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text").join(involved, "node")
+    # Sent to the texts while it is small, which then stay where they are; beyond that both sides are shuffled.
+    involved = materialize(postings.select("node").distinct(), "posted-nodes")
+    texts = join_chosen(docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text"), involved, "node")
     sets = materialize(shingle_sets(texts, k), "shingle-sets")
 
     links = of_one_document(posted, nodes)

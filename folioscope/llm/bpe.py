@@ -9,6 +9,7 @@ single blank stands between two other characters, since a pre-token always begin
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -42,6 +43,21 @@ def cut_long(text: str, size: int = PIECE_CHARS) -> list[str]:
     return [*pieces, text[lo:]]
 
 
+class Known(dict):
+    """Pre-token to the bytes of its ids; one that is looked up for the first time goes to the model."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.tokenize, self.letters = model.tokenize, byte_letters()
+
+    def __missing__(self, token: str) -> bytes:
+        if len(self) >= MAX_KNOWN:
+            self.clear()
+        ids = self.tokenize(token.encode().decode("latin-1").translate(self.letters))
+        found = self[token] = array("I", [t.id for t in ids]).tobytes()
+        return found
+
+
 class Encoder:
     """One per task. ``path`` is the vocabulary's ``tokenizers`` file."""
 
@@ -49,32 +65,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = byte_letters()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self.tokenizer.model)
 
     def _whole(self, text: str) -> list[int]:
         return [i for piece in cut_long(text) for i in self.tokenizer.encode(piece, add_special_tokens=False).ids]
 
-    def _learn(self, tokens: set[str]) -> None:
-        if len(self.known) + len(tokens) > MAX_KNOWN:
-            self.known.clear()
-        tokenize, letters = self.model.tokenize, self.letters
-        for token in tokens:
-            self.known[token] = tuple([t.id for t in tokenize(token.encode().decode("latin-1").translate(letters))])
-
     def encode(self, text: str) -> np.ndarray:
         """Ids of the whole text, as unsigned 32-bit numbers."""
         if SPECIAL in text or not WELL_KNOWN.fullmatch(text):
-            return np.array(self._whole(text), dtype="<u4")
-        ids: list[int] = []
-        for piece in cut_long(text):
-            tokens = PATTERN.findall(piece)
-            new = set(tokens).difference(self.known)
-            if new:
-                self._learn(new)
-                if not self.known.keys() >= set(tokens):  # the cache was emptied in between
-                    self._learn(set(tokens).difference(self.known))
-            for found in map(self.known.__getitem__, tokens):
-                ids += found
-        return np.array(ids, dtype="<u4")
+            return np.array(self._whole(text), np.uint32)
+        ids = [b"".join(map(self.known.__getitem__, PATTERN.findall(piece))) for piece in cut_long(text)]
+        return np.frombuffer(b"".join(ids), np.uint32)

@@ -7,8 +7,8 @@ are put together where they fit (largest first into the fullest), and what then
 
 Tokenizing is one pass and writes only narrow rows (or ids too, with ``keep_ids``). Those are dealt into groups of about
 ``GROUP_PIECES`` pieces by hash, as many groups as the table needs, and each group is packed as a stream in doc_id order:
-memory holds the open windows of one group. Cuts and checksums depend on the document alone and ids of sequences on
-(group, order), so a repeated task gives the same rows.
+memory holds the open windows of one group. The place of a row in the stored table is hashed too, so equal rows are spread over all
+groups. Cuts and checksums depend on the document alone and ids of sequences on (group, order), so a repeated task gives the same rows.
 
 Null or empty text is a document of its end mark alone. Repeated rows are packed as often as they occur; null doc_ids
 are packed like others.
@@ -124,7 +124,7 @@ def packed(cut: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECE
     """Stored pieces with ``sequence_id`` and ``offset``."""
     groups = max(1, -(-cut.count() // group_pieces))
     dealt = (
-        cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
+        cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
         .repartition(groups, "_group")
         .sortWithinPartitions("_group", "doc_id", "start", "ids_crc32")
     )

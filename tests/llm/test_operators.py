@@ -205,6 +205,13 @@ def test_packing_places_where_squares_stay_smallest():
         assert int((brute.level[1:12] ** 2).sum()) == min(costs.values())
 
 
+def test_equal_rows_are_packed_in_all_groups(documents):
+    got = packing.pack_documents(documents([(1, "same text")] * 2_000), packing.tokenizer_path(), window=64, group_pieces=100).collect()
+    assert len(got) == 2_000
+    groups = Counter(r.sequence_id >> 32 for r in got)
+    assert len(groups) == 20 and max(groups.values()) < 200
+
+
 def test_packing_of_nothing(documents):
     assert packing.pack_documents(documents([]), packing.tokenizer_path()).collect() == []
 

@@ -108,8 +108,11 @@ def not_unique(suffixes: DataFrame, hot_rows: int) -> DataFrame:
         .where("_low < _high").select("rank", (F.col("_n") > hot_rows).alias("hot")))
 
 
-def passages(docs: DataFrame, window: int, hot_rows: int, long_bytes: int = LONG_BYTES) -> DataFrame:
-    """rank, mark, doc_id, text hash, start and bytes of the runs of passages whose 16-byte rank is in two documents."""
+def passages(docs: DataFrame, window: int, hot_rows: int, long_bytes: int = LONG_BYTES) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text hash, place and bytes of the runs of passages whose 16-byte rank is in two documents, those of hot ranks apart.
+
+    ``place`` is the start of the run times ``window`` and where in it the ranked bytes begin: a rank is not stored beside its bytes.
+    """
     suffixes = ranked(docs, window, long_bytes)
     place = (F.col("pos") * 2 + F.col("hot").cast("int")).alias("p")
     found = materialize(
@@ -119,7 +122,7 @@ def passages(docs: DataFrame, window: int, hot_rows: int, long_bytes: int = LONG
         for batch in batches:
             lists = batch.column("found")
             for lo, hi, data, offsets, shift in _pieces(batch.column("text"), window, long_bytes):
-                names, at, first, last = _runs(data, offsets, window)
+                _, at, first, last = _runs(data, offsets, window)
                 own = lists.slice(lo, hi - lo)
                 places = own.flatten().to_numpy()
                 row = np.repeat(np.arange(hi - lo), np.diff(own.offsets.to_numpy()))
@@ -132,19 +135,25 @@ def passages(docs: DataFrame, window: int, hot_rows: int, long_bytes: int = LONG
                 rows = pa.array(row + lo)
                 flat = data.tobytes()
                 runs = [flat[a:b + window] for a, b in zip(first[keep].tolist(), last[keep].tolist())]
+                begin = first[keep] - offsets[row] + shift
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(names[keep])), pa.array(mark[at[keep]] == 2), batch.column("doc_id").take(rows), batch.column("_text").take(rows),
-                     pa.array((first[keep] - offsets[row] + shift).astype(np.int32)), pa.array(runs, pa.binary())],
-                    names=["rank", "hot", "doc_id", "_text", "start", "run"])
+                    [pa.array(mark[at[keep]] == 2), batch.column("doc_id").take(rows), batch.column("_text").take(rows),
+                     pa.array(begin * window + (at[keep] - first[keep])), pa.array(runs, pa.binary())],
+                    names=["hot", "doc_id", "_text", "place", "run"])
+
+    def runs_of(hot: bool) -> DataFrame:
+        held = found.where(F.exists("found", lambda p: p % 2 == int(hot)))  # other texts have none
+        texts = docs.join(held, ["doc_id", "_text"]).select("doc_id", "_text", "text", "found")
+        rows = texts.mapInArrow(extend, "hot boolean, doc_id long, _text long, place long, run binary")
+        return rows.where(F.col("hot") == hot).drop("hot")
 
-    return docs.join(found, ["doc_id", "_text"]).select("doc_id", "_text", "text", "found").mapInArrow(
-        extend, "rank long, hot boolean, doc_id long, _text long, start int, run binary")
+    return runs_of(False), runs_of(True)
 
 
 def _spans_of(rows: pa.Table, window: int) -> pa.RecordBatch:
     """Spans to remove in whole groups of rows sorted by (rank, run, doc_id)."""
     rank, doc = rows.column("rank").to_numpy(), rows.column("doc_id").to_numpy()
-    start = rows.column("start").to_numpy()
+    start = rows.column("place").to_numpy() // window
     runs = rows.column("run").combine_chunks().cast(pa.large_binary())
     offsets = np.frombuffer(runs.buffers()[1], np.int64)[runs.offset:runs.offset + len(runs) + 1]
     data = np.frombuffer(runs.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
@@ -231,7 +240,7 @@ def _hot_spans(hot: DataFrame, window: int) -> DataFrame:
                 index = offsets[:-1][owner] + at
                 n1, n2 = ranks(data, window)[index], ranks(data, window, _SECOND)[index]
                 rows = pa.array(owner + lo)
-                start = batch.column("start").take(rows).to_numpy() + at
+                start = batch.column("place").take(rows).to_numpy() // window + at
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(n1)), pa.array(signed(n2)), batch.column("doc_id").take(rows), batch.column("_text").take(rows), pa.array(start.astype(np.int32))],
                     names=["n1", "n2", "doc_id", "_text", "start"])
@@ -245,9 +254,10 @@ def _hot_spans(hot: DataFrame, window: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, hot_rows: int = HOT_ROWS, long_bytes: int = LONG_BYTES,
                    chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, text hash, start and stop of bytes a smaller doc_id has too; spans may overlap."""
-    rows = passages(docs, window, hot_rows, long_bytes)
-    cold = rows.where("not hot").repartition("rank").sortWithinPartitions("rank", "run", "doc_id").mapInArrow(_walk(window, chunk_bytes), SPAN)
-    return cold.unionByName(_hot_spans(rows.where("hot"), window))
+    cold, hot = passages(docs, window, hot_rows, long_bytes)
+    prefix = F.expr(f"substring(run, cast(place % {window} as int) + 1, {PREFIX})")
+    ranked_runs = cold.repartition(prefix).withColumn("rank", F.xxhash64(prefix)).sortWithinPartitions("rank", "run", "doc_id")
+    return ranked_runs.mapInArrow(_walk(window, chunk_bytes), SPAN).unionByName(_hot_spans(hot, window))
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, hot_rows: int = HOT_ROWS, long_bytes: int = LONG_BYTES,

@@ -34,12 +34,23 @@ def _state(links: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """(u, v) links -> (node, label): every node that has a link, with the smallest node it is connected to."""
     links = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = _state(links)
+    before, now = None, _state(links)
     for _ in range(MAX_ROUNDS):
-        links = materialize(_small_star(_large_star(links)), "stars")
-        now = _state(links)
-        if now == before:
+        if now == before or not now[0]:
             return links.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
                 links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        before = now
+        links = materialize(_small_star(_large_star(links)), "stars")
+        before, now = now, _state(links)
     raise RuntimeError(f"links still change after {MAX_ROUNDS} rounds")
+
+
+def _at_label(links: DataFrame, end: str, labels: DataFrame) -> DataFrame:
+    known = labels.select(F.col("node").alias(end), F.col("label").alias("_l"))
+    return links.join(known, end, "left").withColumn(end, F.coalesce("_l", end)).drop("_l")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` of ``components`` after more links: known components take part as one node each, so rounds run over what is new alone."""
+    between = materialize(components(_at_label(_at_label(links, "u", labels), "v", labels)), "merged-components")
+    moved = labels.join(between.select(F.col("node").alias("label"), F.col("label").alias("_l")), "label", "left")
+    return moved.select("node", F.coalesce("_l", "label").alias("label")).unionByName(between).distinct()

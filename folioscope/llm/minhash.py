@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from folioscope.llm.components import components
+from folioscope.llm.components import components, merged
 from folioscope.llm.store import materialize, table
 from folioscope.llm.words import LOWER, SPACES, Words, blocks, mix, pair, signed
 from folioscope.operators.joins import join_chosen
@@ -357,7 +357,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDI
     texts = join_chosen(docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text"), involved, "node")
     sets = materialize(shingle_sets(texts, k), "shingle-sets")
 
-    links = of_one_document(posted, nodes)
+    labels = None
     for step in ("hub", "second", "rest"):
         if step == "hub":
             pairs = with_leaders(postings, nodes, matches, F.col("score"))
@@ -367,8 +367,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDI
             open_nodes = materialize(contested(shared, labels, matches), "contested-nodes")
             pairs = None
         new = all_left(postings.join(open_nodes, "node"), nodes, sets, matches) if pairs is None else confirmed(pairs, sets)
-        links = materialize(links.unionByName(new), "near-links")
-        labels = materialize(components(links), "labels")
+        links = materialize(new if labels is not None else new.unionByName(of_one_document(posted, nodes)), "near-links")
+        labels = materialize(components(links) if labels is None else merged(labels, links), "labels")
         if step != "rest":
             postings = materialize(_labelled(postings, labels), "labelled-postings")
 

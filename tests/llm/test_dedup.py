@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontamination, minhash, substrings, suffixes, words
-from folioscope.llm.components import components
+from folioscope.llm.components import components, merged
 from tests.llm.conftest import corpus
 
 
@@ -145,6 +145,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def test_components_grow_by_more_links(spark):
+    def table(links):
+        return spark.createDataFrame(links, "u long, v long")
+
+    first, second = [(5, 6), (6, 7), (10, 11), (20, 21)], [(7, 10), (7, 6), (30, 31), (31, 2), (21, 21)]
+    got = merged(components(table(first)), table(second))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, components(table(first + second)).collect()))
+    assert Counter(map(tuple, merged(components(table(first)), table([])).collect())) == Counter(map(tuple, components(table(first)).collect()))
+    assert Counter(map(tuple, merged(components(table([])), table(first)).collect())) == Counter(map(tuple, components(table(first)).collect()))
+
+
 BENCH = [(1, "One two THREE four five six seven, eight nine ten eleven twelve"), (2, "short item"), (3, None), (4, "..."), (5, "one"),
          (6, "two three four five six seven eight nine ten eleven x"), (7, "short item")]
 

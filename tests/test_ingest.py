@@ -373,3 +373,16 @@ def test_a_page_log_reads_the_days_from_the_mark_on(spark, tmp_path):
     changed = changed_pages(spark.read.schema(schema).parquet(path), stamp(F.lit("2024-01-20T00:00:00+00:00")))
     assert "edit_day" in changed._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
     assert sorted(r.page_id for r in changed.collect()) == sorted(f"p{d}" for d in range(21, 29))
+
+
+def test_a_micro_batch_asks_the_state_of_its_pages_once(spark, tmp_path, monkeypatch):
+    from folioscope.streaming import ingest
+
+    plans = []
+    monkeypatch.setattr(ingest, "feed_indexes", lambda batch, *rest: plans.append((batch.count(), batch._jdf.queryExecution().toString())))
+    source = str(tmp_path / "in")
+    spark.createDataFrame([page("p1", 1, "one"), page("p1", 2, "two"), page("p2", 1, "three")], PAGES).write.parquet(source)
+    blocks = spark.createDataFrame([block("p1", 0, "paragraph", "x")], BLOCKS)
+    index_stream(spark.readStream.schema(PAGES).parquet(source), blocks, str(tmp_path / "root"), str(tmp_path / "check")).awaitTermination()
+    assert [n for n, _ in plans] == [2]
+    assert "InPandas" not in plans[0][1]  # what feeds the indexes reads stored pages

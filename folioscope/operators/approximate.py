@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, functions as F
 
-from folioscope.functions.rows import unnest
-from folioscope.operators.knn import is_vector, squared_l2
+from folioscope.operators.knn import is_vector, nearest
 from folioscope.session import cut_lineage
 
 TABLES = 8
@@ -24,22 +23,19 @@ def approximate_knn(index: DataFrame, queries: DataFrame, bucket_length: float,
     their exact distance, ties on id. What shares no bucket with a question is missed: longer buckets and more tables find
     more and compare more. A question may have fewer than ``k`` rows. Rows without a usable vector are left out.
     """
-    index = index.select(id_col, vec_col, *carry).where(is_vector(F.col(vec_col)))
-    asked = cut_lineage(queries.select(*keys, query_col)).where(is_vector(F.col(query_col)))
+    index = index.select(id_col, vec_col, *carry).where(is_vector(F.col(vec_col)) & F.col(id_col).isNotNull())
+    asked = cut_lineage(queries.select(*keys, query_col).dropna(subset=list(keys))).where(is_vector(F.col(query_col)))
     if not asked.head(1):
         return index.join(asked, F.lit(False)).select(*keys, F.lit(1).alias("rank"), id_col, F.lit(0.0).alias("distance"), *carry)
     lines = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length, numHashTables=tables, seed=SEED)
     model = lines.fit(asked.select(array_to_vector(query_col).alias("_v")))  # only the length of the vectors is learned
 
-    def buckets(rows: DataFrame, vector: str, names: Sequence[str]) -> DataFrame:
-        hashed = model.transform(rows.select(*names, array_to_vector(vector).alias("_v")))
-        return unnest(hashed, list(names), "_h", "_t", "_b")
+    def buckets(rows: DataFrame, vector: str) -> DataFrame:
+        hashed = model.transform(rows.withColumn("_v", array_to_vector(vector)))
+        return hashed.withColumn("_buckets", F.transform("_h", lambda b: F.get(vector_to_array(b), F.lit(0)))).drop("_v", "_h")
 
-    # Ids alone meet in the buckets and are made distinct; vectors join the pairs that are left.
-    pairs = buckets(index, vec_col, [id_col]).join(buckets(asked, query_col, keys), ["_t", "_b"]).select(*keys, id_col).distinct()
-    near = pairs.join(asked, list(keys)).join(index, id_col).withColumn("distance", squared_l2(F.col(vec_col), F.col(query_col)))
-    order = Window.partitionBy(*keys).orderBy("distance", id_col)
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*keys, "rank", id_col, "distance", *carry)
+    # Long buckets hold a large part of all pairs, so pairs are met in place, as by ``knn``, and never stored or shuffled.
+    return nearest(buckets(index, vec_col), buckets(asked, query_col), k, keys, id_col, vec_col, query_col, carry, bucket_col="_buckets")
 
 
 def recall(found: DataFrame, exact: DataFrame, keys: Sequence[str] = ("qid", "qpos"), id_col: str = "id") -> DataFrame:

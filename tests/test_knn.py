@@ -150,3 +150,51 @@ def test_approximate_neighbours_of_clustered_vectors(spark):
     got = found.collect()
     assert all(known[r.qid, r.id] == r.distance for r in got if (r.qid, r.id) in known) and len({(r.qid, r.id) for r in got}) == len(got)
     assert approximate_knn(index, asked.where("qid < 0"), 1.0, 20, ["qid"]).count() == 0
+
+
+def test_pairs_that_share_a_bucket_are_not_shuffled(spark):
+    """One bucket holds every row: all pairs are met, and none but the answers leaves its task."""
+    index = spark.createDataFrame([(i, [float(i % 97), 1.0]) for i in range(400)], "id long, embedding array<double>")
+    asked = index.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    found = approximate_knn(index, asked, 1e6, 5, ["qid"])
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: (r.qid, r["rank"], r.id, r.distance)
+    assert sorted(map(key, found.collect())) == sorted(map(key, knn(index, asked, 5, ["qid"]).collect()))
+
+
+def test_buckets_decide_which_rows_are_compared(spark):
+    index = spark.createDataFrame([(i, [float(i), 0.0], [float(i // 4), float(i % 3 + 50)]) for i in range(24)], "id long, embedding array<double>, b array<double>")
+    asked = index.select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"), "b")
+    got = sorted((r.qid, r["rank"], r.id) for r in knn_module.nearest(index, asked, 3, ["qid"], "id", "embedding", "qvec", [], bucket_col="b").collect())
+    meet = lambda a, b: a // 4 == b // 4 or a % 3 == b % 3
+    assert got == [(q, n + 1, i) for q in range(24) for n, i in enumerate(sorted(filter(lambda i: meet(q, i), range(24)), key=lambda i: (abs(i - q), i))[:3])]
+
+
+def test_blocks_share_jobs_and_read_a_stored_index(spark, monkeypatch):
+    """Blocks do not make or shuffle the index again, and are fewer jobs than they are."""
+    scanned = []
+    scan = knn_module._scan
+
+    def noted(index, *rest):
+        scanned.append("Exchange" in index._jdf.queryExecution().executedPlan().toString())
+        return scan(index, *rest)
+
+    monkeypatch.setattr(knn_module, "_scan", noted)
+    monkeypatch.setattr(knn_module, "BLOCKS_AT_ONCE", 4)
+    index = spark.createDataFrame([(i, [float(i)]) for i in range(64)], "id long, embedding array<double>").repartition(5)
+    asked = index.select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    got = knn(index, asked, 1, ["qid"], block_bytes=128)
+    assert sorted((r.qid, r.id) for r in got.collect()) == [(i, i) for i in range(64)]
+    assert len(scanned) == 8 and not any(scanned)
+
+
+@pytest.mark.parametrize("rows_at_once", [3, 50])
+def test_a_task_looks_at_a_bounded_number_of_rows(vectors, monkeypatch, rows_at_once):
+    index, asked = vectors
+    batch = index.toArrow().filter(np.array([r is not None for r in index.toArrow()["embedding"].to_pylist()]))
+    seen, matrix = [], knn_module._matrix
+    monkeypatch.setattr(knn_module, "ROWS_AT_ONCE", rows_at_once)
+    monkeypatch.setattr(knn_module, "_matrix", lambda column, dim=None: seen.append(len(column)) or matrix(column, dim))
+    questions = knn_module._Questions(np.array([r.qvec for r in asked.collect() if r.qvec], np.float64))
+    best = knn_module._local_best([batch], questions, 5, "embedding", "id", [])
+    assert max(seen) <= rows_at_once and best.num_rows == 5 * len(questions.vectors)

@@ -238,3 +238,18 @@ def test_a_distinct_pre_token_is_counted_once():
     vocabulary._loaded = Watched()
     assert vocabulary.counts(["the house the house", None, " the house"] * 50)[1] == 0
     assert len(calls) == len(set(calls)) == 3
+
+
+def test_requests_reach_the_model_in_batches_bounded_in_bytes(spark):
+    """Long requests are not held in Python by the thousand: the worker of the map stays small."""
+    def watched(messages):
+        import resource
+
+        return {"role": "assistant", "content": "x"}, {"completion_tokens": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024}
+
+    def peak(chars):
+        asked = spark.range(3_000).select("id", F.array(message("user", F.concat(F.repeat(F.lit("x"), chars), F.col("id").cast("string")))).alias("messages"))
+        return complete(asked, watched, parallelism=1).agg(F.max("completion_tokens")).first()[0]
+
+    few = peak(10)
+    assert peak(100_000) < few + 150  # 300 MB of requests

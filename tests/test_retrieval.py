@@ -171,3 +171,13 @@ def test_the_embedding_function_sees_a_question_once(spark, tmp_path):
     asked = queries.select("qid", F.concat(F.lit("full"), "query").alias("question"))
     assert context_of(asked, chosen, index, cfg).count() == 9
     assert len(list(tmp_path.iterdir())) == 18
+
+
+def test_a_join_without_hot_keys_is_not_salted(spark):
+    """Beyond a broadcast the large side is shuffled by the key alone, unless a key has very many rows."""
+    large = spark.range(200).select((F.col("id") % 20).alias("k"), "id")
+    chosen = spark.createDataFrame([(1,), (2,), (None,)], "k long")
+    for hot_rows, salted in ((1_000, False), (5, True)):
+        joined = join_chosen(large, chosen, "k", salt_by=["id"], max_rows=0, hot_rows=hot_rows)
+        assert ("_salt" in joined._jdf.queryExecution().analyzed().toString()) == salted
+        assert sorted(r.id for r in joined.collect()) == [i for i in range(200) if i % 20 in (1, 2)]

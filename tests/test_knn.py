@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,37 @@ def test_a_task_looks_at_a_bounded_number_of_rows(vectors, monkeypatch, rows_at_
     questions = knn_module._Questions(np.array([r.qvec for r in asked.collect() if r.qvec], np.float64))
     best = knn_module._local_best([batch], questions, 5, "embedding", "id", [])
     assert max(seen) <= rows_at_once and best.num_rows == 5 * len(questions.vectors)
+
+
+def test_blocks_share_a_pass_over_the_index(spark, vectors, monkeypatch):
+    """Many small blocks read the index as often as a task may hold the answers of some of them, and are not collected one by one."""
+    passes, collected = [], []
+    together, arrow = knn_module._pass, type(vectors[0]).toArrow
+    monkeypatch.setattr(knn_module, "_pass", lambda scans, tasks: passes.append(len(scans)) or together(scans, tasks))
+    monkeypatch.setattr(knn_module, "BLOCKS_AT_ONCE", 2)
+    monkeypatch.setattr(type(vectors[0]), "toArrow", lambda df: collected.append(1) or arrow(df))
+    assert rows(knn(*vectors, 5, block_bytes=6 * 8)) == brute(*vectors, 5)
+    assert len(passes) == 2 and sum(passes) > 30 and len(collected) == 1
+    passes.clear()
+    monkeypatch.setattr(knn_module, "BLOCK_ANSWERS", 50)
+    assert rows(knn(*vectors, 5, block_bytes=6 * 8)) == brute(*vectors, 5)
+    assert max(passes) <= 20 and len(passes) > 2  # a question here has five answers, and a block about one question
+
+
+@pytest.mark.parametrize("scale", [1e-25, 1e-3, 1.0, 1e14, 1e16, 1e155])
+@pytest.mark.parametrize("rows_at_once", [40, 4_096])
+def test_candidates_hold_the_best_whatever_the_scale(monkeypatch, scale, rows_at_once):
+    """Norms of very different size side by side, copies, and rows that differ by less than single precision shows."""
+    monkeypatch.setattr(knn_module, "ROWS_AT_ONCE", rows_at_once)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 8)) * np.repeat([1.0, 1e-3, 1e3, 1.0], 100)[:, None]
+    x[300:] = x[0] + rng.normal(size=(100, 8)) * 1e-9
+    x[350:370] = x[0]
+    x *= scale
+    q = np.vstack([x[::13], rng.normal(size=(10, 8)) * scale])
+    batch = pa.record_batch({"id": pa.array(np.arange(len(x))), "embedding": pa.array(x.tolist())})
+    with np.errstate(all="ignore"):
+        best = knn_module._local_best([batch], knn_module._Questions(q), 7, "embedding", "id", [])
+        truth = sum((x[None, :, d] - q[:, None, d]) ** 2 for d in range(8))
+    want = [(i, j, truth[i, j]) for i in range(len(q)) for j in np.lexsort((np.arange(len(x)), truth[i]))[:7]]
+    assert list(zip(best["_q"].to_pylist(), best["_id"].to_pylist(), best["distance"].to_pylist())) == want

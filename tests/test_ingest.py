@@ -386,3 +386,48 @@ def test_a_micro_batch_asks_the_state_of_its_pages_once(spark, tmp_path, monkeyp
     index_stream(spark.readStream.schema(PAGES).parquet(source), blocks, str(tmp_path / "root"), str(tmp_path / "check")).awaitTermination()
     assert [n for n, _ in plans] == [2]
     assert "InPandas" not in plans[0][1]  # what feeds the indexes reads stored pages
+
+
+def _stored(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_a_stream_takes_the_room_of_two_versions(spark, tmp_path):
+    """Rows are stored once a batch, as the index's own, and what batches before the last one replaced goes."""
+    blocks = spark.createDataFrame([block(f"p{i}", j, "paragraph", " ".join(f"w{i * j * n}" for n in range(200))) for i in range(6) for j in range(4)], BLOCKS)
+    source, root, sizes, held = str(tmp_path / "in"), str(tmp_path / "stream"), [], []
+    for n in range(5):
+        spark.createDataFrame([page(f"p{i}", n + 1, f"edit {n}") for i in range(6)], PAGES).coalesce(1).write.mode("append").parquet(source)
+        index_stream(spark.readStream.schema(PAGES).parquet(source), blocks, root, str(tmp_path / "check"), cfg=LoaderConfig(max_tokens=300)).awaitTermination()
+        sizes.append(_stored(tmp_path / "stream"))
+        held.append(open_indexes(spark, root)["chunk"])
+        if n:
+            assert {r.metadata["title"] for r in held[-2].collect()} == {f"edit {n - 1}"}  # what was opened before the batch stays readable
+    assert {r.metadata["title"] for kind in open_indexes(spark, root).values() for r in kind.collect()} == {"edit 4"}
+    assert max(sizes) < 2.5 * sizes[0]
+
+
+@pytest.mark.parametrize("gather", [True, False])
+def test_dropping_older_versions_keeps_the_rows(spark, tmp_path, gather):
+    path, schema = str(tmp_path / "t"), frame(spark, []).schema
+    want: dict[str, tuple] = {}
+    for n in range(6):
+        rows = [(f"k{i}", n, f"v{n}") for i in range(n, 40, n + 1)]
+        want |= {r[0]: r for r in rows}
+        tables.drop_replaced(spark, path)
+        batch = tables.store_batch(frame(spark, rows), path, parts=4, gather=gather)
+        assert sorted(map(tuple, batch.rows.collect())) == sorted(rows)
+        write_batch(batch, path, parts=4)
+        assert sorted(map(tuple, open_index(spark, path, schema).collect())) == sorted(want.values())
+    folders, _ = tables._folders(spark, path, tables._pointers(spark, path)[0])
+    assert all(len(some) <= 2 for some in folders.values())
+    assert len(list((tmp_path / "t" / "pointer").iterdir())) == 2
+
+
+def test_a_batch_that_replaces_everything_moves_no_old_row(spark, tmp_path, monkeypatch):
+    path, schema, written = str(tmp_path / "t"), frame(spark, []).schema, []
+    write = tables._write_parts
+    monkeypatch.setattr(tables, "_write_parts", lambda rows, *rest: written.append(rows.count()) or write(rows, *rest))
+    for n in range(3):
+        write_batch(frame(spark, [(f"k{i}", n, "x") for i in range(30)]), path)
+    assert written == [30, 30, 30] and open_index(spark, path, schema).where("at = 2").count() == 30

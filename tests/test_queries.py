@@ -59,3 +59,13 @@ def test_results_do_not_depend_on_partitions(spark, name):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", 8)
     assert results[0] == results[1]
+
+
+def test_context_is_not_cut_short(spark, tmp_path):
+    """Documents of a few hundred words are in the context with the words that are read of them, not with the first hundred of all."""
+    texts = [(d, "\n".join(" ".join(f"w{d % 7}x{line}y{i}" for i in range(10)) for line in range(40)), "en", "web", 0) for d in range(24)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(q, f"w{q}x0y0 w{q}x1y1. w{q}x2y2") for q in range(3)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = QUERIES["context"](spark, str(tmp_path)).collect()
+    assert sorted(r.qid for r in rows) == [0, 1, 2] and min(len(r.context.split()) for r in rows) > 500
+    assert sorted(map(str, rows)) == sorted(map(str, QUERIES["context_full"](spark, str(tmp_path)).collect()))
